@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe, language, media
-from fragmill.llm.common import documents, fold
+from fragmill.llm import bpe, classifier, language, lines, media, packing, rules
+from fragmill.llm.common import documents, fold, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +52,44 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_frequent(documents(spark, sf_dir), min_docs=10, least_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = rules.judge(docs, rules.fit(docs, labels(spark, sf_dir)))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = classifier.fit(docs, labels(spark, sf_dir), fold("doc_id", 5) != 0)
+    return classifier.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_media_columns, op7_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op6_best_fit_packing, op7_language_id, op8_quality_classifier)}
+
+
+ORACLE_OP2 = r"""
+with lines as (
+  select doc_id, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as stripped
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents)),
+keyed as (
+  select doc_id, i, line, translate(stripped, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+frequent as (select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where f.key is null), '')) as kept_sha256
+from keyed left join frequent f using (key) group by doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": ORACLE_OP2}
