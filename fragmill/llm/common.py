@@ -20,6 +20,8 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and Arrow batches of few rows: texts may be long, and workers hold a batch or two."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -2,17 +2,15 @@
 
 Texts with equal shingle sets form a class, of which the smallest id goes on. Bands of
 MinHash values deal the classes into buckets; each member of a bucket is paired with the
-bucket's smallest. A pair's similarity is estimated from odd sketches: MinHash samples
-toggle bits of a bitmap, and the XOR's population count tells how many samples differ.
-What the estimate leaves is confirmed on the full sets. Links become components; then
-buckets that still hold several components are compared across them, in blocks, so
-that no pair within a component and no group's square is ever listed.
+bucket's smallest. A pair's similarity is estimated from odd sketches: one-permutation
+MinHash samples toggle bits of a bitmap, and the XOR's population count tells how many
+samples differ. What the estimate leaves is confirmed on the full sets. Links become
+components; then buckets that still hold several components are compared across them,
+in blocks, so that no pair within a component and no group's square is ever listed.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,17 +21,18 @@ from pyspark.sql import functions as F
 from fragmill.llm.common import Hashes, map_rows, mix, shared_folder, staged, texts
 
 #: 24 bands of 5: of two texts at a similarity of exactly 0.85 all bands miss with a probability of 8e-7.
-BANDS, ROWS, SKETCH_BITS = 24, 5, 512
+BANDS, ROWS = 24, 5
+#: Bins of the samples (2^BIN_BITS) and bits of the sketch (2^SKETCH_BITS).
+BIN_BITS, SKETCH_BITS = 12, 11
 #: Standard deviations of the estimate below the threshold at which a pair still goes on.
-SIGMAS = 6.0
+SIGMAS = 5.5
 #: Members of a block when a bucket is compared across its components.
-BLOCK = 256
+BLOCK = 1024
 
 _WORDS = Hashes(400_000)
 _RNG = np.random.default_rng(20240229)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_PLACE = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes, width: int = 3) -> np.ndarray:
@@ -65,35 +64,206 @@ def bands(m: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def odd_sketch(m: np.ndarray) -> bytes:
-    bits = np.bincount((mix(m + _PLACE) >> np.uint64(64 - 9)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def odd_sketch(s: np.ndarray) -> tuple[int, bytes]:
+    """Samples (the least hash of each bin that isn't empty) and the bitmap that they toggle."""
+    bins = s >> np.uint64(64 - BIN_BITS)
+    samples = s[np.append(True, bins[1:] != bins[:-1])]
+    bits = np.bincount((mix(samples) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    return len(samples), np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _filled(n: np.ndarray) -> np.ndarray:
+    """Expected bins with one of n or more elements."""
+    k = 1 << BIN_BITS
+    return k * -np.expm1(n * np.log1p(-1 / k))
 
 
-def most_odd(threshold: float) -> int:
-    """Odd bits in an XOR beyond which the similarity is surely below the threshold."""
-    k = BANDS * ROWS
-    differ = k * (1 - threshold) + SIGMAS * math.sqrt(k * threshold * (1 - threshold))
-    return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ)))
+def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, odd: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of na and nb elements, with ka and kb samples and so many odd bits, may be that similar.
+
+    Samples in common follow from odd bits. At the threshold the samples of the union are a draw without
+    replacement, which gives their mean and deviation; a pair goes on unless it falls SIGMAS short.
+    """
+    k, m = float(1 << BIN_BITS), float(1 << SKETCH_BITS)
+    differ = np.log(np.maximum(1 - 2 * odd / m, 1e-6)) / np.log1p(-2 / m)
+    common = (ka + kb - differ) / 2
+    union = (na + nb) / (1 + threshold)
+    drawn = np.minimum(_filled(union) + ((ka - _filled(na)) + (kb - _filled(nb))) / 2, union)
+    c = union / k
+    spread = drawn * threshold * (1 - threshold) * np.maximum(union - drawn, 0) / np.maximum(union - 1, 1)
+    spread = spread + 0.5 * threshold**2 * k * np.maximum(np.exp(-c) - (1 + c) * np.exp(-2 * c), 0)
+    d = 2 * (1 - threshold) * drawn
+    noise = m / 4 * -np.expm1(-4 * d / m) - d * np.exp(-4 * d / m)
+    spread = spread + np.maximum(noise, 0) / np.exp(-4 * d / m) / 4 + 1
+    sizes = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
+    return sizes & (common >= threshold * drawn - SIGMAS * np.sqrt(spread))
 
 
 def sketches(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (a hash of the set), bands array<long>, sketch binary; the last four null for an empty set."""
+    """doc_id, n_shingles, s1, s2 (a hash of the set), bands array<long>, k (samples), sketch binary; null but for the first two for an empty set."""
 
     def batch(b: pa.RecordBatch) -> dict:
-        n, s1, s2, band, sketch = [], [], [], [], []
+        out: dict[str, list] = {x: [] for x in ("n", "s1", "s2", "bands", "k", "sketch")}
         for text in texts(b.column(1)):
             s = shingles(text, width)
-            n.append(len(s))
-            if not len(s):
-                for x in (s1, s2, band, sketch):
-                    x.append(None)
-                continue
-            h, m = xxhash.xxh3_128_intdigest(s.tobytes()), minhash(s)
-            s1.append((h >> 64) - (1 << 63))
-            s2.append((h & ((1 << 64) - 1)) - (1 << 63))
-            band.append(bands(m))
-            sketch.append(odd_sketch(m))
-        return {"doc_id": b.column(0), "n_shingles": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "bands": pa.array(band, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())}
-
-    return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", batch)
+            row: tuple = (len(s), None, None, None, None, None)
+            if len(s):
+                h = xxhash.xxh3_128_intdigest(s.tobytes())
+                row = (len(s), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), bands(minhash(s)), *odd_sketch(s))
+            for column, value in zip(out.values(), row, strict=True):
+                column.append(value)
+        return {
+            "doc_id": b.column(0),
+            "n_shingles": pa.array(out["n"], pa.int64()),
+            **{x: pa.array(out[x], pa.int64()) for x in ("s1", "s2")},
+            "bands": pa.array(out["bands"], pa.list_(pa.int64())),
+            "k": pa.array(out["k"], pa.int64()),
+            "sketch": pa.array(out["sketch"], pa.binary()),
+        }
+
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, k long, sketch binary"
+    return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], schema, batch)
+
+
+def _words64(sketch: pa.Array | list) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, (1 << SKETCH_BITS) // 64)
+
+
+def _plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs a, b those that the sketches don't exclude."""
+    side = lambda x: info.select(*(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "k", "sketch")))
+    joined = pairs.join(side("a"), F.col("a") == F.col("rep_a")).join(side("b"), F.col("b") == F.col("rep_b"))
+
+    def batch(b: pa.RecordBatch) -> dict:
+        v = {n: b.column(i).to_numpy() for i, n in enumerate(("a", "b", "na", "nb", "ka", "kb"))}
+        odd = np.bitwise_count(_words64(b.column(6).to_pylist()) ^ _words64(b.column(7).to_pylist())).sum(axis=1)
+        ok = may_link(v["na"], v["nb"], v["ka"], v["kb"], odd, threshold)
+        return {"a": v["a"][ok], "b": v["b"][ok]}
+
+    return map_rows(joined, ["a", "b", "n_a", "n_b", "k_a", "k_b", "sketch_a", "sketch_b"], "a long, b long", batch)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs a, b those with 100 * intersection >= percent * union, by the full sets."""
+    side = lambda x: sets.select(F.col("rep").alias(f"rep_{x}"), F.col("items").alias(f"items_{x}"))
+    joined = pairs.join(side("a"), F.col("a") == F.col("rep_a")).join(side("b"), F.col("b") == F.col("rep_b"))
+
+    def batch(b: pa.RecordBatch) -> dict:
+        ok = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            common = int((x[at] == y).sum())
+            ok.append(100 * common >= percent * (len(x) + len(y) - common))
+        return {n: b.column(i).filter(pa.array(ok, pa.bool_())) for i, n in enumerate(("a", "b"))}
+
+    return map_rows(joined, ["a", "b", "items_a", "items_b"], "a long, b long", batch)
+
+
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Plausible pairs a, b of members(band, bucket, lead, size, rep, comp, n, k, sketch, bands) in one bucket
+    but different components, each in the first band that the two share, without pairs that hold the lead."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks", "size")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = int(pdf["band"].iloc[0]), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        pdf = pdf[pdf["rep"] != pdf["lead"]].drop_duplicates("rep").sort_values("rep")
+        x, y = (pdf, pdf) if i == j else (pdf[pdf["mine"] == i], pdf[pdf["mine"] == j])
+        found = []
+        if len(x) and len(y):
+            get = lambda p, c: p[c].to_numpy()
+            sy, by = _words64(y["sketch"].tolist()), np.stack(y["bands"].tolist())[:, :band] if band else None
+            ry, cy, ny, ky = (get(y, c) for c in ("rep", "comp", "n", "k"))
+            sx, bx = _words64(x["sketch"].tolist()), np.stack(x["bands"].tolist())[:, :band] if band else None
+            rx, cx, nx, kx = (get(x, c) for c in ("rep", "comp", "n", "k"))
+            for at in range(len(x)):
+                near = (cy != cx[at]) & ((ry > rx[at]) if i == j else True)
+                if band and near.any():
+                    near &= ~(by == bx[at]).any(axis=1)
+                near = np.flatnonzero(near)
+                if len(near):
+                    odd = np.bitwise_count(sy[near] ^ sx[at]).sum(axis=1)
+                    near = near[may_link(np.full(len(near), nx[at]), ny[near], np.full(len(near), kx[at]), ky[near], odd, threshold)]
+                    found.append(np.column_stack([np.full(len(near), rx[at]), ry[near]]))
+        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)})
+
+    return dealt.groupBy("band", "bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """node, comp: the least node that edges a, b connect each of their nodes with.
+
+    Large and small stars in turn: each node hands its larger, then its other neighbours to the least one.
+    Each round is written to the shared folder; a round that changes nothing ends it.
+    """
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/edges-0")
+    before = None
+    for i in range(1, 100):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("m", "u").alias("m"))
+        large = both.where("v > u").join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = low.withColumnRenamed("u", "node")
+        small = large.join(low, F.col("u") == F.col("node"))
+        small = small.select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
+        now = staged(small, f"{folder}/edges-{i}")
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == before:
+            break
+        before = mark
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+
+
+def link(df: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row.
+
+    Words are runs without ASCII white space, A-Z in lower case; a set holds the distinct shingles of `width`
+    words, of a shorter text its words as one. Ids are taken to be unique: of several texts under one id the
+    first in byte order of its set stands for it in comparisons. Texts link if 100 * intersection >= percent * union. A null, empty
+    or blank text has an empty set, links with nothing and is kept. Rows with equal texts link, also with the
+    same id; a null id gives a null component unless a link gives another, and is then not kept. Other columns
+    are left out.
+    """
+    spark, threshold = df.sparkSession, percent / 100
+    folder = shared_folder(spark, "neardup")
+    rows = staged(sketches(df, width, id_col, text_col), f"{folder}/sketches")
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    firsts = full.groupBy("s1", "s2").agg(F.min_by(F.struct("n_shingles", "bands", "k", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
+    classes = staged(firsts.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n"), "x.bands", "x.k", "x.sketch"), f"{folder}/classes")
+
+    spread = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    leads = spread.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    multi = staged(spread.join(leads, ["band", "bucket"]), f"{folder}/buckets")
+    info = classes.select("rep", "n", "k", "sketch")
+    pairs = multi.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = staged(_plausible(pairs, info, threshold), f"{folder}/pairs")
+
+    ids = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = multi.select(F.col("rep").alias("wanted")).distinct()
+    texts_of = ids.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+
+    def items(b: pa.RecordBatch) -> dict:
+        found = [shingles(t, width) for t in texts(b.column(1))]
+        return {"rep": b.column(0), "n": pa.array(map(len, found), pa.int64()), "items": pa.array([x.tobytes() for x in found], pa.binary())}
+
+    sets = map_rows(texts_of, ["doc_id", "text"], "rep long, n long, items binary", items)
+    sets = staged(sets.where("n > 0").groupBy("rep").agg(F.min("items").alias("items")), f"{folder}/sets")
+    links = staged(_confirmed(pairs, sets, percent), f"{folder}/links")
+
+    comp = components(links, f"{folder}/first")
+    members = multi.join(comp, F.col("rep") == F.col("node"), "left").select(*multi.columns, F.coalesce("comp", "rep").alias("comp"))
+    mixed = members.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
+    members = members.join(mixed, ["band", "bucket"], "left_semi").join(classes.select("rep", "n", "k", "sketch", "bands"), "rep")
+    more = staged(_across(members, threshold), f"{folder}/across")
+    links = links.unionByName(staged(_confirmed(more, sets, percent), f"{folder}/more"))
+
+    comp = staged(components(links, f"{folder}/second"), f"{folder}/components")
+    known = classes.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("comp", "rep").alias("component"))
+    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(known, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe, classifier, language, lines, media, packing, rules
+from fragmill.llm import bpe, classifier, language, lines, media, neardup, packing, rules
 from fragmill.llm.common import documents, fold, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -16,7 +16,7 @@ WORD_BPE = "word_bpe_49k.json"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     coded = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return bpe.decode(coded, path, public_tokenizers.PATTERN).select(
+    return bpe.decode(coded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
@@ -73,8 +73,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(documents(spark, sf_dir), percent=85, width=3)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op6_best_fit_packing, op7_language_id, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op6_best_fit_packing, op7_language_id, op8_quality_classifier, op9_minhash_neardup)}
 
 
 ORACLE_OP2 = r"""
