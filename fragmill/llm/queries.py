@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe, classifier, language, lines, media, neardup, packing, rules
+from fragmill.llm import bpe, classifier, language, lines, media, neardup, packing, pii, rules
 from fragmill.llm.common import documents, fold, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir)).select(
+        "doc_id",
+        *(f"n_{k}" for k in pii.KINDS),
+        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE)))
 
@@ -78,7 +87,7 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op6_best_fit_packing, op7_language_id, op8_quality_classifier, op9_minhash_neardup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op5_pii, op6_best_fit_packing, op7_language_id, op8_quality_classifier, op9_minhash_neardup)}
 
 
 ORACLE_OP2 = r"""
