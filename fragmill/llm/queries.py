@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import bpe, classifier, language, lines, media, neardup, packing, pii, rules
+from fragmill.llm import bpe, classifier, language, lines, lm, media, neardup, packing, pii, rules
 from fragmill.llm.common import documents, fold, labels
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -86,8 +86,14 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(documents(spark, sf_dir), percent=85, width=3)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = lm.fit(docs, F.coalesce(fold("doc_id", 7) != 2, F.lit(True)))
+    return lm.score(docs, model).select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op5_pii, op6_best_fit_packing, op7_language_id, op8_quality_classifier, op9_minhash_neardup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_media_columns, op4_quality_rules, op5_pii, op6_best_fit_packing, op7_language_id, op8_quality_classifier, op9_minhash_neardup, op10_lm_scoring)}
 
 
 ORACLE_OP2 = r"""
