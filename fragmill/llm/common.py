@@ -60,8 +60,9 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 def map_rows(df: DataFrame, columns: list[str | Column], schema: str, per_batch: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """mapInArrow over chosen columns; per_batch returns the output's columns by name."""
+    """mapInArrow over chosen columns, which per_batch finds by place; it returns the output's columns by name."""
     df = df.select(*columns)
+    df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # the input may repeat names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from fragmill.llm.common import Hashes, map_rows, mix, shared_folder, staged, texts
 
-#: 24 bands of 5: of two texts at a similarity of exactly 0.85 all bands miss with a probability of 8e-7.
-BANDS, ROWS = 24, 5
+#: MinHash values of a text, and the probability at most that all bands miss a pair at the threshold.
+HASHES, MISS = 120, 1e-6
 #: Bins of the samples (2^BIN_BITS) and bits of the sketch (2^SKETCH_BITS).
 BIN_BITS, SKETCH_BITS = 12, 11
 #: Standard deviations of the estimate below the threshold at which a pair still goes on.
@@ -31,8 +31,8 @@ BLOCK = 1024
 
 _WORDS = Hashes(400_000)
 _RNG = np.random.default_rng(20240229)
-_MULTIPLIERS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDENDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLIERS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDENDS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def shingles(text: bytes, width: int = 3) -> np.ndarray:
@@ -57,10 +57,16 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(m: np.ndarray) -> np.ndarray:
-    h = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m.reshape(BANDS, ROWS)[:, i])
+def band_rows(threshold: float) -> int:
+    """Values in a band: as many as MISS allows. 5 (24 bands) for 0.85, 4 (30 bands) for 0.8."""
+    return next((r for r in range(8, 1, -1) if (1 - threshold**r) ** (HASHES // r) <= MISS), 1)
+
+
+def bands(m: np.ndarray, rows: int) -> np.ndarray:
+    n = HASHES // rows
+    h = np.arange(n, dtype=np.uint64)
+    for i in range(rows):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[: n * rows].reshape(n, rows)[:, i])
     return h.view(np.int64)
 
 
@@ -99,9 +105,11 @@ def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, odd
     return sizes & (common >= threshold * drawn - SIGMAS * np.sqrt(spread))
 
 
-def sketches(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(df: DataFrame, width: int = 3, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, s1, s2 (a hash of the set), bands array<long>, k (samples), sketch binary; null but for the first two for an empty set."""
 
+    of_band = band_rows(threshold)
+
     def batch(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {x: [] for x in ("n", "s1", "s2", "bands", "k", "sketch")}
         for text in texts(b.column(1)):
@@ -109,7 +117,7 @@ def sketches(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: st
             row: tuple = (len(s), None, None, None, None, None)
             if len(s):
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
-                row = (len(s), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), bands(minhash(s)), *odd_sketch(s))
+                row = (len(s), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), bands(minhash(s), of_band), *odd_sketch(s))
             for column, value in zip(out.values(), row, strict=True):
                 column.append(value)
         return {
@@ -231,7 +239,7 @@ def link(df: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id
     """
     spark, threshold = df.sparkSession, percent / 100
     folder = shared_folder(spark, "neardup")
-    rows = staged(sketches(df, width, id_col, text_col), f"{folder}/sketches")
+    rows = staged(sketches(df, width, threshold, id_col, text_col), f"{folder}/sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
     firsts = full.groupBy("s1", "s2").agg(F.min_by(F.struct("n_shingles", "bands", "k", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
     classes = staged(firsts.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n"), "x.bands", "x.k", "x.sketch"), f"{folder}/classes")
