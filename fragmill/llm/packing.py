@@ -33,15 +33,16 @@ MARK = "\x01"
 
 
 class WordTokens:
-    """A tokenizer that drops white space, kept for up to `most` words."""
+    """A tokenizer that drops white space; the ids of the last words met are kept, up to about twice `most`."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -50,19 +51,16 @@ class WordTokens:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
             ids = np.array(self._ids(f" {MARK} ".join(some)), "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if self.mark is None or len(cuts) != len(some) - 1:
-                parts = [np.array(self._ids(w), "<u4") for w in some]
-            else:
-                starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-                parts = [ids[a:b] for a, b in zip(starts, ends, strict=True)]
-            for w, p in zip(some, parts, strict=True):
-                self.known[w] = p.tobytes()
+                self.known |= {w: np.array(self._ids(w), "<u4").tobytes() for w in some}
+                continue
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            for w, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True):
+                self.known[w] = data[a:b]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
@@ -71,16 +69,16 @@ class WordTokens:
                 yield np.array(self._ids(text), "<u4").tobytes()
                 continue
             words = text.split()
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if new:
-                if len(new) > self.most or len(self.known) + len(new) > self.most:
-                    self.known.clear()
-                    new = list(dict.fromkeys(words))
-                if len(new) > self.most:
-                    yield np.array(self._ids(text), "<u4").tobytes()
-                    continue
-                self._learn(new)
+            new = []
+            for w in set(words).difference(self.known):
+                if (old := self.older.get(w)) is not None:
+                    self.known[w] = old
+                else:
+                    new.append(w)
+            self._learn(new)
             yield b"".join(map(self.known.__getitem__, words))
+            if len(self.known) > self.most:
+                self.known, self.older = {}, self.known
 
 
 @lru_cache(1)
@@ -146,7 +144,7 @@ def _exchange(a: list[int], b: list[int], size: list[int], fill_a: int, fill_b:
     return found
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 40) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
     """Local search. Fewer bins than the lengths' sum needs are impossible, so it may stop there."""
     size = [int(x) for x in lengths]
     total = sum(size)
