@@ -3,11 +3,11 @@
 A byte string's BPE tokens are the one chain of vocabulary tokens in which every
 neighbouring pair is stable: encoding the pair's bytes gives the pair back. So each
 prefix has one last token, and a transducer can read bytes from left to right. A
-state is the last emitted token with the bytes read since; a byte leads to a state
+state is the last emitted token with the ways on from there; a byte leads to a state
 in which every token that all still possible continuations share has been emitted.
 A continuation can only start where the bytes read so far could begin a longer
-token, which bounds the lookahead. States and arrows are made when first met and
-thrown away when there are too many.
+token, which bounds the lookahead. States and arrows are made when first met, up to
+a number; beyond it states serve once, and after many of those all start afresh.
 
 Decoding concatenates tokens' bytes; a UTF-8 state machine, run token by token,
 says where characters are complete, so that text can be handed out as ids arrive.
@@ -37,83 +37,113 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("anchor", "pending", "last", "arrows")
+    """ways: the last emitted token, where it still matters; then, for each place from which a token may still come,
+    in order, the trie's node reached from there and the tokens between the anchor and there. The last place is here."""
 
-    def __init__(self, anchor: int, pending: bytes, last: tuple[int, ...]):
-        self.anchor, self.pending, self.last, self.arrows = anchor, pending, last, {}
+    __slots__ = ("ways", "arrows")
+
+    def __init__(self, ways: tuple):
+        self.ways, self.arrows = ways, {}
 
 
 class Transducer:
     """ranks: token bytes to id. most: states kept before the machine starts afresh."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         self.ranks, self.most = ranks, most
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.longest = max(map(len, ranks))
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.below: dict[int, int] = {}  # node * 256 + byte to node
+        self.token, inner = [-1], [True]
+        for t, r in ranks.items():
+            node = 0
+            for byte in t:
+                inner[node] = True
+                then = self.below.get(node << 8 | byte)
+                if then is None:
+                    then = self.below[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    inner.append(False)
+                node = then
+            self.token[node] = r
+        self.inner = bytes(inner)
+        self.stable: dict[int, bool] = {}
         self._afresh()
 
     def _afresh(self) -> None:
-        self.start = _State(-1, b"", ())
-        self.states = {(-1, b""): self.start}
+        self.start = _State((-1, 0, ()))
+        self.states = {self.start.ways: self.start}
+        self.chains: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.over = 0
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens by repeated merging of the lowest ranked pair, the definition itself."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        ranks = [self.ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+        while ranks and (least := min(ranks)) < 1 << 60:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], 1 << 60)
+            if i < len(ranks):
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], 1 << 60)
         return [self.ranks[p] for p in parts]
 
     def _fits(self, before: int, token: int) -> bool:
-        if before < 0:
-            return True
-        known = self.stable.get((before, token))
+        key = before << 32 | token
+        known = self.stable.get(key)
         if known is None:
-            if len(self.stable) > 400_000:
+            if len(self.stable) > 300_000:
                 self.stable.clear()
-            known = self.stable[before, token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            known = self.stable[key] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
         return known
 
-    def _chain(self, state_last: tuple[int, ...], end: int) -> list[int]:
-        """Places where the tokens of the prefix of this length end, the first place 0."""
-        ends = [end]
-        while ends[-1]:
-            ends.append(ends[-1] - len(self.bytes_of[state_last[ends[-1] - 1]]))
-        return ends[::-1]
-
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        pending = state.pending + bytes((byte,))
-        n = len(pending)
-        token = -1
-        for start in range(max(0, n - self.longest), n):
-            t = self.ranks.get(pending[start:])
-            if t is not None and self._fits(state.last[start - 1] if start else state.anchor, t):
-                token = t
-                break
-        if token < 0:
+        below, token, mine, ways = self.below, self.token, None, state.ways
+        anchor, nodes, chains = ways[0], [], []
+        for node, chain in zip(ways[1::2], ways[2::2], strict=True):
+            node = below.get(node << 8 | byte)
+            if node is None:
+                continue
+            if mine is None and (t := token[node]) >= 0:
+                before = chain[-1] if chain else anchor
+                if before < 0 or self._fits(before, t):
+                    mine = (*chain, t)
+            if self.inner[node]:
+                nodes.append(node)
+                chains.append(chain)
+        if mine is None:
             raise ValueError("the vocabulary lacks a byte")
-        last = (*state.last, token)
-        shared = self._chain(last, n)
-        for start in range(max(0, n - self.longest), n):
-            if pending[start:] in self.begins:
-                other = self._chain(last, start)
-                k = 0
-                while k < min(len(shared), len(other)) and shared[k] == other[k]:
-                    k += 1
-                shared = shared[:k]
-        cut = shared[-1]
-        out = tuple(last[e - 1] for e in shared[1:])
-        key = (out[-1] if out else state.anchor, pending[cut:])
+        shared = len(mine)
+        for chain in chains:
+            if not chain or chain[0] != mine[0]:
+                shared = 0
+                break
+            k, most = 1, min(shared, len(chain))
+            while k < most and mine[k] == chain[k]:
+                k += 1
+            shared = k
+        nodes.append(0)
+        chains.append(mine)
+        out = mine[:shared]
+        if shared:
+            anchor = mine[shared - 1]
+            chains = [chain[shared:] for chain in chains]
+        flat = [anchor if () in chains else -2]  # else every way on knows its own last token
+        for pair in zip(nodes, chains, strict=True):
+            flat += pair
+        key = tuple(flat)
         found = self.states.get(key)
         if found is None:
-            if len(self.states) >= self.most:
-                self._afresh()
-            found = self.states[key] = _State(*key, last[cut:])
-        state.arrows[byte] = (found, out)
+            found = _State(key)
+            if len(self.states) >= self.most:  # full: this state serves once
+                self.over += 1
+                if self.over > 20 * self.most:
+                    self._afresh()
+                return found, out
+            found.ways = tuple(self.chains.setdefault(x, x) if i % 2 == 0 and i else x for i, x in enumerate(key))
+            self.states[found.ways] = found
+        state.arrows[byte] = (found, self.chains.setdefault(out, out))
         return found, out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -123,7 +153,8 @@ class Transducer:
             state, out = arrow if arrow is not None else self._step(state, byte)
             if out:
                 ids += out
-        return ids + [state.last[e - 1] for e in self._chain(state.last, len(state.pending))[1:]]
+        ids += state.ways[-1]
+        return ids
 
 
 class Utf8Machine:
@@ -163,6 +194,9 @@ class Decoder:
             self.moves[state, token] = then
         return then
 
+    def bytes(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
     def whole(self, ids: np.ndarray) -> bool:
         """Closed tokens leave state 0 as it is; the machine walks the runs from each open one."""
         i, n = 0, len(ids)
@@ -196,36 +230,51 @@ class Decoder:
 
 class Codec:
     """Text to ids and back. Chunks (a run without white space and a space before it, or white space) are
-    encoded once and kept, up to `most`; the pattern cannot match across them."""
+    encoded once and kept, the last met up to twice `most`; the pattern cannot match across them."""
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000):
+    def __init__(self, path: str, pattern: str, most: int = 200_000):
         import re
 
         import regex
 
         self.machine = Transducer(read_ranks(path))
-        self.decoder = Decoder(self.machine.bytes_of)
         self.pattern = regex.compile(pattern.replace("[^\\s", f"[^{SPACES}").replace("\\S", f"[^{SPACES}]").replace("\\s", f"[{SPACES}]"))
         self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-        self.most, self.known = most, {}
+        self.most, self.known, self.older = most, {}, {}
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(i for piece in self.pattern.findall(chunk) for i in self.machine.encode(piece.encode()))
-        if len(chunk) <= 64:
+    def _keep(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(piece) <= 64:
             if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[chunk] = ids
+                self.known, self.older = {}, self.known
+            self.known[piece] = ids
         return ids
 
+    def _find(self, piece: str) -> tuple[int, ...] | None:
+        """From the older half of what is kept, which then counts as new."""
+        got = self.older.get(piece)
+        return got if got is None else self._keep(piece, got)
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        got = self._find(chunk)
+        if got is not None:
+            return got
+        out: list[int] = []
+        pieces = [chunk] if chunk.lstrip(" ").isalpha() and chunk[:2] != "  " else self.pattern.findall(chunk)
+        for piece in pieces:
+            got = self.known.get(piece) or self._find(piece)
+            out += got if got is not None else self._keep(piece, tuple(self.machine.encode(piece.encode())))
+        return self._keep(chunk, tuple(out)) if len(pieces) > 1 else tuple(out)
+
     def encode(self, text: str) -> list[int]:
-        known, ids = self.known, []
+        ids: list[int] = []
         for chunk in self.chunks.findall(text):
-            got = known.get(chunk)
+            got = self.known.get(chunk)
             ids += got if got is not None else self._chunk(chunk)
         return ids
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.machine.bytes_of.__getitem__, ids))
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder({r: t for t, r in read_ranks(path).items()})
 
 
 @lru_cache(2)
@@ -250,17 +299,18 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], "doc_id long, ids array<int>", batch)
 
 
-def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded binary, whole boolean (the bytes are whole UTF-8 characters) of doc_id, ids.
 
     Null or no ids decode to no bytes, which are whole.
     """
 
     def batch(b: pa.RecordBatch) -> dict:
-        c, out, whole = codec(path, pattern), [], []
-        for ids in b.column(1).to_pylist():
-            out.append(c.decode(ids or ()))
-            whole.append(c.decoder.whole(np.array(ids or (), np.int64)))
+        d, out, whole = decoder(path), [], []
+        for ids in b.column(1):
+            ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+            out.append(d.bytes(ids.tolist()))
+            whole.append(d.whole(ids))
         return {"doc_id": b.column(0), "ids": b.column(1), "decoded": pa.array(out, pa.binary()), "whole": whole}
 
     return map_rows(df, ["doc_id", "ids"], "doc_id long, ids array<int>, decoded binary, whole boolean", batch)
