@@ -97,7 +97,7 @@ def cluster_hits(at: np.ndarray, n_minimizers: int, errors: int, least: int) ->
         size, before = size + 1, p
     if size >= least and size:
         out.append((place, support))
-    return out + 0.0
+    return out
 
 
 def banded_distance(pattern: str, text: str, errors: int) -> tuple[int, int]:

@@ -29,16 +29,20 @@ def _blocks(df: DataFrame, one, schema_in: list[str]) -> DataFrame:
 
         data, n = [], 0
         for pdf in parts:
-            data += [one(*row) for row in pdf.itertuples(index=False)]
+            data += [one(*row) for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False)]
             n += len(pdf)
         yield pd.DataFrame({"block": [TaskContext.get().partitionId()], "data": [b"".join(data)], "n": [n]})
 
     return df.select(*schema_in).mapInPandas(run, "block int, data binary, n long")
 
 
+def _aev1_row(*values: int) -> bytes:
+    return ROW.pack(*values)
+
+
 def aev1_blocks(frags: DataFrame) -> DataFrame:
     """frags(chrom_id, start, stop, count, barcode_key)."""
-    return _blocks(frags, lambda c, s, e, n, b: ROW.pack(c, s, e, n, b), ["chrom_id", "start", "stop", "count", "barcode_key"])
+    return _blocks(frags, _aev1_row, ["chrom_id", "start", "stop", "count", "barcode_key"])
 
 
 def write_aev1(frags: DataFrame, chroms: list[str], path: str) -> int:
