@@ -4,15 +4,19 @@ Texts with equal shingle sets form a class, of which the smallest id goes on. Ba
 MinHash values deal the classes into buckets; each member of a bucket is paired with the
 bucket's smallest. A pair's similarity is estimated from odd sketches: one-permutation
 MinHash samples toggle bits of a bitmap, and the XOR's population count tells how many
-samples differ. What the estimate leaves is confirmed on the full sets. Links become
-components; then buckets that still hold several components are compared across them,
-in blocks, so that no pair within a component and no group's square is ever listed.
+samples differ. For sets of up to FINE elements every element is its own sample, so the
+count of odd bits never exceeds the true difference and excludes a pair for certain.
+What the estimate leaves is confirmed on the full sets. Links become components; then
+buckets that still hold several components are compared across them, in blocks, so that
+no pair within a component and no group's square is ever listed.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +28,8 @@ from fragmill.llm.common import Hashes, map_rows, mix, shared_folder, staged, te
 HASHES, MISS = 120, 1e-6
 #: Bins of the samples (2^BIN_BITS) and bits of the sketch (2^SKETCH_BITS).
 BIN_BITS, SKETCH_BITS = 12, 11
+#: Elements of a set up to which its sketch holds them all.
+FINE = 1500
 #: Standard deviations of the estimate below the threshold at which a pair still goes on.
 SIGMAS = 5.5
 #: Members of a block when a bucket is compared across its components.
@@ -70,12 +76,18 @@ def bands(m: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _bitmap(samples: np.ndarray) -> bytes:
+    bits = np.bincount((mix(samples) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def odd_sketch(s: np.ndarray) -> tuple[int, bytes]:
-    """Samples (the least hash of each bin that isn't empty) and the bitmap that they toggle."""
+    """Samples (the least hash of each bin that isn't empty) and two bitmaps: of all elements, up to FINE of them,
+    and of the samples, if the set could link with one above FINE; else zeros."""
     bins = s >> np.uint64(64 - BIN_BITS)
     samples = s[np.append(True, bins[1:] != bins[:-1])]
-    bits = np.bincount((mix(samples) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) & 1
-    return len(samples), np.packbits(bits.astype(np.uint8)).tobytes()
+    none = bytes((1 << SKETCH_BITS) // 8)
+    return len(samples), (_bitmap(s) if len(s) <= FINE else none) + (_bitmap(samples) if 2 * len(s) > FINE else none)
 
 
 def _filled(n: np.ndarray) -> np.ndarray:
@@ -84,25 +96,33 @@ def _filled(n: np.ndarray) -> np.ndarray:
     return k * -np.expm1(n * np.log1p(-1 / k))
 
 
-def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, odd: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sets of na and nb elements, with ka and kb samples and so many odd bits, may be that similar.
+def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of na and nb elements, with ka and kb samples and such sketches, may be that similar (from 0.5).
 
-    Samples in common follow from odd bits. At the threshold the samples of the union are a draw without
-    replacement, which gives their mean and deviation; a pair goes on unless it falls SIGMAS short.
+    Of sets with all elements in their sketches the odd bits are at most what differs, and at the threshold
+    that is (1 - t) / (1 + t) of both sizes. For others samples in common follow from odd bits. At the threshold
+    the samples of the union are a draw without replacement, which gives their mean and deviation; a pair goes
+    on unless it falls SIGMAS short.
     """
     k, m = float(1 << BIN_BITS), float(1 << SKETCH_BITS)
-    differ = np.log(np.maximum(1 - 2 * odd / m, 1e-6)) / np.log1p(-2 / m)
-    common = (ka + kb - differ) / 2
-    union = (na + nb) / (1 + threshold)
-    drawn = np.minimum(_filled(union) + ((ka - _filled(na)) + (kb - _filled(nb))) / 2, union)
-    c = union / k
-    spread = drawn * threshold * (1 - threshold) * np.maximum(union - drawn, 0) / np.maximum(union - 1, 1)
-    spread = spread + 0.5 * threshold**2 * k * np.maximum(np.exp(-c) - (1 + c) * np.exp(-2 * c), 0)
-    d = 2 * (1 - threshold) * drawn
-    noise = m / 4 * -np.expm1(-4 * d / m) - d * np.exp(-4 * d / m)
-    spread = spread + np.maximum(noise, 0) / np.exp(-4 * d / m) / 4 + 1
-    sizes = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-    return sizes & (common >= threshold * drawn - SIGMAS * np.sqrt(spread))
+    half = sa.shape[1] // 2
+    both = np.bitwise_count(sa ^ sb)
+    fine = np.maximum(na, nb) <= FINE
+    ok = both[:, :half].sum(axis=1) * (1 + threshold) <= (na + nb) * (1 - threshold) + 1e-9
+    if not fine.all():
+        odd = both[:, half:].sum(axis=1)
+        differ = np.log(np.maximum(1 - 2 * odd / m, 1e-6)) / np.log1p(-2 / m)
+        common = (ka + kb - differ) / 2
+        union = (na + nb) / (1 + threshold)
+        drawn = np.minimum(_filled(union) + ((ka - _filled(na)) + (kb - _filled(nb))) / 2, union)
+        c = union / k
+        spread = drawn * threshold * (1 - threshold) * np.maximum(union - drawn, 0) / np.maximum(union - 1, 1)
+        spread = spread + 0.5 * threshold**2 * k * np.maximum(np.exp(-c) - (1 + c) * np.exp(-2 * c), 0)
+        d = 2 * (1 - threshold) * drawn
+        noise = m / 4 * -np.expm1(-4 * d / m) - d * np.exp(-4 * d / m)
+        spread = spread + np.maximum(noise, 0) / np.exp(-4 * d / m) / 4 + 1
+        ok = np.where(fine, ok, common >= threshold * drawn - SIGMAS * np.sqrt(spread))
+    return ok & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
 
 
 def sketches(df: DataFrame, width: int = 3, threshold: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +154,7 @@ def sketches(df: DataFrame, width: int = 3, threshold: float = 0.85, id_col: str
 
 
 def _words64(sketch: pa.Array | list) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, (1 << SKETCH_BITS) // 64)
+    return np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, 2 * (1 << SKETCH_BITS) // 64)
 
 
 def _plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
@@ -144,8 +164,7 @@ def _plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame
 
     def batch(b: pa.RecordBatch) -> dict:
         v = {n: b.column(i).to_numpy() for i, n in enumerate(("a", "b", "na", "nb", "ka", "kb"))}
-        odd = np.bitwise_count(_words64(b.column(6).to_pylist()) ^ _words64(b.column(7).to_pylist())).sum(axis=1)
-        ok = may_link(v["na"], v["nb"], v["ka"], v["kb"], odd, threshold)
+        ok = may_link(v["na"], v["nb"], v["ka"], v["kb"], _words64(b.column(6).to_pylist()), _words64(b.column(7).to_pylist()), threshold)
         return {"a": v["a"][ok], "b": v["b"][ok]}
 
     return map_rows(joined, ["a", "b", "n_a", "n_b", "k_a", "k_b", "sketch_a", "sketch_b"], "a long, b long", batch)
@@ -176,31 +195,57 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks", "size")
+    names = ["band", "bucket", "i", "j", "lead", "rep", "comp", "n", "k", "mine"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = int(pdf["band"].iloc[0]), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        pdf = pdf[pdf["rep"] != pdf["lead"]].drop_duplicates("rep").sort_values("rep")
-        x, y = (pdf, pdf) if i == j else (pdf[pdf["mine"] == i], pdf[pdf["mine"] == j])
+    def compare(v: dict[str, np.ndarray], band: int, sketch: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Pairs of a group's members (at: their places, by rep)."""
+        first, second = (at, at) if v["i"][at[0]] == v["j"][at[0]] else (at[v["mine"][at] == v["i"][at[0]]], at[v["mine"][at] == v["j"][at[0]]])
         found = []
-        if len(x) and len(y):
-            get = lambda p, c: p[c].to_numpy()
-            sy, by = _words64(y["sketch"].tolist()), np.stack(y["bands"].tolist())[:, :band] if band else None
-            ry, cy, ny, ky = (get(y, c) for c in ("rep", "comp", "n", "k"))
-            sx, bx = _words64(x["sketch"].tolist()), np.stack(x["bands"].tolist())[:, :band] if band else None
-            rx, cx, nx, kx = (get(x, c) for c in ("rep", "comp", "n", "k"))
-            for at in range(len(x)):
-                near = (cy != cx[at]) & ((ry > rx[at]) if i == j else True)
-                if band and near.any():
-                    near &= ~(by == bx[at]).any(axis=1)
-                near = np.flatnonzero(near)
-                if len(near):
-                    odd = np.bitwise_count(sy[near] ^ sx[at]).sum(axis=1)
-                    near = near[may_link(np.full(len(near), nx[at]), ny[near], np.full(len(near), kx[at]), ky[near], odd, threshold)]
-                    found.append(np.column_stack([np.full(len(near), rx[at]), ry[near]]))
-        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)})
-
-    return dealt.groupBy("band", "bucket", "i", "j").applyInPandas(compare, "a long, b long")
+        for part in range(0, len(first), 128):
+            x = first[part : part + 128]
+            near = v["comp"][x][:, None] != v["comp"][second][None, :]
+            if first is second:
+                near &= v["rep"][x][:, None] < v["rep"][second][None, :]
+            for k in range(band):
+                near &= v["bands"][x, k][:, None] != v["bands"][second, k][None, :]
+            p, q = np.nonzero(near)
+            for some in range(0, len(p), 65536):
+                a, b = x[p[some : some + 65536]], second[q[some : some + 65536]]
+                ok = may_link(v["n"][a], v["n"][b], v["k"][a], v["k"][b], sketch[a], sketch[b], threshold)
+                if ok.any():
+                    found.append(np.column_stack([v["rep"][a[ok]], v["rep"][b[ok]]]))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; the last group of a batch waits for the next batch."""
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                keys = [batch.column(c).to_numpy() for c in range(4)]
+                if all((x[0] == x[-1]) for x in keys) and all(h.column(c)[0] == batch.column(c)[0] for h in held[:1] for c in range(4)):
+                    continue
+            if not held:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            v = {n: t[n].to_numpy() for n in names}
+            new = np.append(True, np.any([v[c][1:] != v[c][:-1] for c in names[:4]], axis=0))
+            starts = np.append(np.flatnonzero(new), len(new))
+            last = len(starts) - 1 if batch is None else len(starts) - 2
+            held = t.slice(starts[last]).to_batches()
+            bands_of = t["bands"].combine_chunks()
+            v["bands"] = bands_of.flatten().to_numpy().reshape(len(new), -1)
+            sketch, out = _words64(t["sketch"].to_pylist()), []
+            for k in range(last):
+                at = np.arange(starts[k], starts[k + 1])
+                at = at[v["rep"][at] != v["lead"][at]]
+                if len(at) > 1:
+                    out.append(compare(v, int(v["band"][at[0]]), sketch, at))
+            both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
+
+    dealt = dealt.select(*names, "bands", "sketch").repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "rep")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
