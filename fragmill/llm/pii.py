@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import shared_folder, staged
+from fragmill.llm.common import shared_folder, staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 #: A pattern's known instances at least, its known share of the cue's occurrences, and an instance's score.
 MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 5, 0.5, 0.5
+#: Cues that are sent to every task, and the share of texts (one in so many) that rules out common cues.
+FEW_CUES, PART = 100_000, 64
 
 #: The formats, written so that Java's engine neither recurses nor reads a run of characters twice: a match is
 #: tried only where a run starts (or the match before it ended), and repeats keep what they took. A card's own
@@ -119,6 +121,33 @@ def _candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("_cand", F.transform("_words", one)).drop("_words", "_hits", "_gaps")
 
 
+def _counted(docs: DataFrame, cues: DataFrame, n: int) -> DataFrame:
+    """cue, seen: occurrences of each of n cues among the words. Many cues are joined after counting."""
+    words = docs.select(F.explode(F.split(F.lower("text"), f"[{_SPACE}]+")).alias("cue"))
+    if n <= FEW_CUES:
+        words = words.join(F.broadcast(cues), "cue")
+    counts = words.groupBy("cue").agg(F.count(F.lit(1)).alias("seen"))
+    return counts if n <= FEW_CUES else counts.join(cues, "cue")
+
+
+def _occurrences(edges: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """cue, seen of the cues that can be patterns: with enough instances, and not more often without one.
+
+    A part of the corpus bounds a cue's occurrences from below, which rules out common words for certain; the
+    others are counted in all of it.
+    """
+    cues = edges.groupBy("cue").agg(F.countDistinct("inst").alias("k"), F.count(F.lit(1)).alias("most")).where(F.col("k") >= MIN_SUPPORT)
+    cues = staged(cues.select("cue", "most"), f"{folder}/cues")
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0)
+    least = _counted(part, cues.select("cue"), cues.count())
+    left = cues.join(least, "cue", "left").where(F.col("most") >= MIN_PATTERN * F.coalesce("seen", F.lit(0))).select("cue")
+    left = staged(left, f"{folder}/rare")
+    n = left.count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], "cue string, seen long")
+    return staged(_counted(docs, left, n), f"{folder}/seen")
+
+
 def discover(rows: DataFrame, docs: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
     """key_id, key_text, start, stop of new identifiers in rows(key_id, key_text, base, _cand); docs(text) is the corpus.
 
@@ -127,9 +156,7 @@ def discover(rows: DataFrame, docs: DataFrame, folder: str, rounds: int = ROUNDS
     """
     edges = rows.select("key_id", "key_text", "base", F.explode("_cand").alias("c")).select("key_id", "key_text", "c.*", F.exists("base", lambda b: (b["start"] < F.col("c.stop")) & (F.col("c.start") < b["stop"])).alias("seed"))
     edges = staged(edges.where("inst <> '' and cue <> ''").withColumn("known", F.col("seed")), f"{folder}/edges-0")
-    cues = edges.groupBy("cue").agg(F.countDistinct("inst").alias("k")).where(F.col("k") >= MIN_SUPPORT).select("cue")
-    words = docs.select(F.explode(F.split(F.lower("text"), f"[{_SPACE}]+")).alias("cue"))
-    seen = staged(words.join(cues, "cue").groupBy("cue").agg(F.count(F.lit(1)).alias("seen")), f"{folder}/cues")
+    seen = _occurrences(edges, docs, folder)
     for i in range(1, rounds + 1):
         scored = edges.where("known").groupBy("cue").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("inst").alias("support"))
         patterns = scored.where(F.col("support") >= MIN_SUPPORT).join(seen, "cue").select("cue", F.least(F.col("hits") / F.col("seen"), F.lit(0.999)).alias("trust")).where(F.col("trust") >= MIN_PATTERN)
@@ -163,8 +190,9 @@ def redact(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null texts stay null.
     """
-    spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t"), F.col("spans").alias("_s")).dropDuplicates(["_i", "_t"])
-    joined = df.join(spans.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_t")), "left")
+    i, t, s_ = (unused(df, x) for x in ("i", "t", "spans"))
+    spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_hash").alias(t), F.col("spans").alias(s_)).dropDuplicates([i, t])
+    joined = df.join(spans.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(t)), "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -173,6 +201,6 @@ def redact(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: st
         clear = s["start"] >= acc["at"]
         return F.struct(F.when(clear, s["stop"]).otherwise(F.greatest(acc["at"], s["stop"])).alias("at"), F.when(clear, piece).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_s", start, add)
-    new = F.when(F.col("_s").isNull() | text.isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, new).drop("_i", "_t", "_s")
+    done = F.aggregate(s_, start, add)
+    new = F.when(F.col(s_).isNull() | text.isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return joined.withColumn(text_col, new).drop(i, t, s_)
