@@ -54,6 +54,13 @@ def staged(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
