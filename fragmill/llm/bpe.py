@@ -282,21 +282,29 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int> of each row's whole text.
+def _decoded(path: str, rows: list[np.ndarray]) -> dict:
+    d = decoder(path)
+    return {"decoded": pa.array([d.bytes(ids.tolist()) for ids in rows], pa.binary()), "whole": [d.whole(ids) for ids in rows]}
+
+
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, ids array<int> of each row's whole text; with `decoded`, decode()'s columns of those ids too, from
+    the same worker.
 
     A null or empty text has no ids. Rows are independent: repeated rows and ids give repeated rows,
     an empty table an empty one. Other columns are left out.
     """
 
     def batch(b: pa.RecordBatch) -> dict:
-        c, values, ends = codec(path, pattern), [], [0]
-        for text in b.column(1).to_pylist():
-            values += c.encode(text or "")
-            ends.append(len(values))
-        return {"doc_id": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))}
+        c = codec(path, pattern)
+        rows = [np.array(c.encode(text or ""), np.int32) for text in b.column(1).to_pylist()]
+        ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
+        values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        out = {"doc_id": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
+        return out | (_decoded(path, rows) if decoded else {})
 
-    return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], "doc_id long, ids array<int>", batch)
+    schema = "doc_id long, ids array<int>" + ", decoded binary, whole boolean" * decoded
+    return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], schema, batch)
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
@@ -306,11 +314,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     """
 
     def batch(b: pa.RecordBatch) -> dict:
-        d, out, whole = decoder(path), [], []
-        for ids in b.column(1):
-            ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
-            out.append(d.bytes(ids.tolist()))
-            whole.append(d.whole(ids))
-        return {"doc_id": b.column(0), "ids": b.column(1), "decoded": pa.array(out, pa.binary()), "whole": whole}
+        rows = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in b.column(1)]
+        return {"doc_id": b.column(0), "ids": b.column(1)} | _decoded(path, rows)
 
     return map_rows(df, ["doc_id", "ids"], "doc_id long, ids array<int>, decoded binary, whole boolean", batch)

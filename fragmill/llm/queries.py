@@ -14,9 +14,8 @@ WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    coded = bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return bpe.decode(coded, path).select(
+    coded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
