@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a whitelist is sent to every task; longer ones are joined by a shuffle.
@@ -35,6 +35,12 @@ def gate(reads: DataFrame, whitelist: DataFrame, first: int = 100_000, order: st
     return out.withColumn("share", F.round(F.col("hits") / F.col("n"), 6)).withColumn("passed", (F.col("hits") * 20 >= F.col("n")).cast("int"))
 
 
+def error_chance(qual: Column, at: Column) -> Column:
+    """The chance that the base at a 1-based place is wrong, by its clamped quality."""
+    q = F.least(F.greatest(F.ascii(F.substring(qual, at, F.lit(1))) - QUAL_OFFSET, F.lit(LEAST_QUAL)), F.lit(MOST_QUAL))
+    return F.pow(F.lit(10.0), -q / 10)
+
+
 def correct(reads: DataFrame, known: DataFrame, id_col: str, errors: int = 1, least: float = 0.9) -> DataFrame:
     """id, bc, corrected, status (exact, corrected, rejected) of each read.
 
@@ -49,7 +55,7 @@ def correct(reads: DataFrame, known: DataFrame, id_col: str, errors: int = 1, le
     wl = small(known.select(F.col("bc").alias("wl"), "abundance"))
     tested = reads.join(wl, F.col("asis") == F.col("wl"), "left").withColumn("on", F.col("wl").isNotNull()).drop("wl", "abundance")
     off = tested.where(~F.col("on") & (F.col("ns") <= errors))
-    quality = F.least(F.greatest(F.ascii(F.substring(F.col("qual"), F.col("at"), F.lit(1))) - QUAL_OFFSET, F.lit(LEAST_QUAL)), F.lit(MOST_QUAL))
+    chance = error_chance(F.col("qual"), F.col("at"))
 
     def changed(df: DataFrame, source: str, after: str | None) -> DataFrame:
         """Every substitution at each place, or only after the place named; score multiplies the error's chance."""
@@ -61,7 +67,7 @@ def correct(reads: DataFrame, known: DataFrame, id_col: str, errors: int = 1, le
         fixed = (F.substring(F.col("bc"), F.col("at"), F.lit(1)) == "N") if after is None else F.lit(False)
         df = df.where((F.col("to") != "") & ((F.col("to") != here) | fixed))
         new = F.concat(F.substring(F.col(source), F.lit(1), F.col("at") - 1), F.col("to"), F.substring(F.col(source), F.col("at") + 1, F.length(source)))
-        return df.withColumns({"cand": new, "score": F.col("score") * F.pow(F.lit(10.0), -quality / 10)})
+        return df.withColumns({"cand": new, "score": F.col("score") * chance})
 
     start = off.withColumn("score", F.lit(1.0)).withColumn("n_at", F.locate("N", "bc"))
     first = changed(start, "asis", None).where((F.col("n_at") == 0) | (F.col("at") == F.col("n_at")))

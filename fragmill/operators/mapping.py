@@ -132,6 +132,14 @@ def pair_drafts(drafts: DataFrame, insert: int = 1000, read_len: int = 50, least
     return pairs.select("read_id", "rid", "forward_mate", "pos1", "pos2", (F.col("err1") + F.col("err2")).alias("err_sum"))
 
 
+def split_pairs(drafts: DataFrame) -> DataFrame:
+    """read_id, rid1, pos1, rid2, pos2: every place with the least errors of mate 0 with every such place of mate 1,
+    joined on the read."""
+    low = drafts.withColumn("least", F.min("err").over(Window.partitionBy("read_id", "mate"))).where("err = least")
+    side = lambda m: low.where(F.col("mate") == m - 1).select("read_id", F.col("rid").alias(f"rid{m}"), F.col("pos").alias(f"pos{m}"))
+    return side(1).join(side(2), "read_id")
+
+
 def best_and_second(rows: DataFrame, key: list[str], error: str, none: int) -> DataFrame:
     """key, best, n_best, second, n_second: the two least errors and their counts; second is `none` without one."""
     counts = rows.groupBy(*key, error).agg(F.count(F.lit(1)).alias("n"))

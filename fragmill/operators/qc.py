@@ -31,12 +31,13 @@ def inverse_logit(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def derived(counts: DataFrame, coefficients: tuple[float, ...] = FRIP) -> DataFrame:
-    """Adds unmapped, fric and est_frip (0 where nothing was in the cache)."""
+def derived(counts: DataFrame, coefficients: tuple[float, ...] = FRIP, digits: int | None = 6) -> DataFrame:
+    """Adds unmapped, fric and est_frip (0 where nothing was in the cache), rounded unless digits is None."""
     b0, b1, b2, b3, b4 = coefficients
     out = counts.withColumn("unmapped", F.col("total") - F.col("mapped")).withColumn("fric", F.when(F.col("mapped") > 0, F.col("cachehit") / F.col("mapped")).otherwise(0.0))
     est = inverse_logit(b0 + b1 * F.col("fric") + b2 * F.col("dup") + b3 * F.col("unmapped") + b4 * F.col("lowmapq"))
-    return out.withColumn("est_frip", F.round(F.when(F.col("fric") == 0, 0.0).otherwise(est), 6)).withColumn("fric", F.round("fric", 6))
+    out = out.withColumn("est_frip", F.when(F.col("fric") == 0, 0.0).otherwise(est))
+    return out if digits is None else out.withColumns({c: F.round(c, digits) for c in ("fric", "est_frip")})
 
 
 def halved(counts: DataFrame) -> DataFrame:

@@ -793,3 +793,78 @@ def multiset_equality(spark, d):
     b = dedup.dedup(table(spark, d, "frag_pe").repartition(7, "read_id")).select(*a.columns)
     n = lambda df, name: df.agg(F.count(F.lit(1)).cast("int").alias(name))
     return n(a.exceptAll(b), "only_left").crossJoin(n(b.exceptAll(a), "only_right"))
+
+
+# Smaller operators
+
+@query(with_all("sam_lite") + """select 'r' || cast(read_id as varchar) as qname, flag, 'chr' || cast(tid + 1 as varchar) as rname, pos + 1 as pos, 60 as mapq, '50M' as cigar,
+  case when mtid = tid then '=' else 'chr' || cast(mtid + 1 as varchar) end as rnext, mpos + 1 as pnext, isize as tlen, '*' as seq, '*' as qual, 'NM:i:0' || chr(9) || 'MD:Z:50' || chr(9) || 'CB:Z:AC' as tags from sam_lite where tid >= 0""")
+def fmt_sam(spark, d):
+    rows = table(spark, d, "sam_lite").where("tid >= 0")
+    name = lambda c: F.concat(F.lit("chr"), (F.col(c) + 1).cast("string"))
+    rows = rows.select(F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("qname"), "flag", name("tid").alias("rname"), "pos", F.lit(60).alias("mapq"), F.lit("50M").alias("cigar"), name("mtid").alias("mrname"), "mpos", F.col("isize").alias("tlen"), F.lit("*").alias("seq"), F.lit(None).cast("string").alias("qual"), F.lit(0).alias("nm"), F.lit("50").alias("md"), F.lit("AC").alias("bc"))
+    return formats.sam(rows)
+
+
+@query(_QC + _QC_ROWS + "select bc as barcode, total, dup as duplicate, total - mapped as unmapped, lowmapq, cachehit, printf('%.5f', cachehit / mapped) as fric from c")
+def fmt_qc_csv(spark, d):
+    return formats.qc_csv(qc.derived(_summary(spark, d), digits=None)).drop("estfrip")
+
+
+@query(_BC + "select bc, s1 as seed1, s2 as seed2, min(event_id) as read_id, count(*) as n from (select bc, event_id, substr(true_bc, 1, 6) as s1, substr(true_bc, 8, 6) as s2 from barcodes) group by bc, s1, s2")
+def seed_duplicates(spark, d):
+    reads = table(spark, d, "barcodes").select("bc", F.col("event_id").alias("read_id"), F.col("true_bc").alias("seq1"), F.substring("true_bc", 8, 9).alias("seq2"))
+    return dedup.seed_duplicates(reads, 6)
+
+
+@query(_DR + ", m as (select *, min(err) over (partition by read_id, mate) as least from drafts), b as (select * from m where err = least)\nselect a.read_id, a.rid as rid1, a.pos as pos1, c.rid as rid2, c.pos as pos2 from b a join b c on a.read_id = c.read_id and a.mate = 0 and c.mate = 1")
+def split_pairs(spark, d):
+    """Split alignments: every best place of one mate with every best place of the other."""
+    return mapping.split_pairs(table(spark, d, "drafts"))
+
+
+@query()
+def pick_best(spark, d):
+    """One of each read's best pairs, drawn by a hash."""
+    return mapping.pick_best(mapping.pair_drafts(table(spark, d, "drafts")), ["read_id"], "err_sum", ["rid", "pos1", "pos2"])
+
+
+@query(_DR + "select read_id, rid, pos, err, row_number() over (partition by read_id order by err desc, rid, pos, mate, strand) as nth from (select distinct * from drafts)")
+def candidate_order(spark, d):
+    """The candidates' order: support (here the errors) from the highest, then the place."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "drafts").distinct()
+    w = Window.partitionBy("read_id").orderBy(F.desc("err"), "rid", "pos", "mate", "strand")
+    return rows.select("read_id", "rid", "pos", "err", F.row_number().over(w).alias("nth"))
+
+
+@query(_DR + "select read_id, pos, cast(err + 1 as varchar) || 'M' || case when err > 4 then cast(err as varchar) || 'I' else '' end || '20M' as cigar from (select distinct read_id, pos, err from drafts)")
+def cigar_text(spark, d):
+    op = lambda n, o: F.struct(n.cast("int").alias("len"), F.lit(o).alias("op"))
+    ops = F.array_compact(F.array(op(F.col("err") + 1, "M"), F.when(F.col("err") > 4, op(F.col("err"), "I")), op(F.lit(20), "M")))
+    return table(spark, d, "drafts").select("read_id", "pos", "err").distinct().select("read_id", "pos", sam.cigar_text(ops).alias("cigar"))
+
+
+@query(with_all("names") + "select p_partkey, 'lane_' || cast(p_partkey as varchar) as grp from names")
+def read_groups(spark, d):
+    path = F.concat(F.lit("/data/run/lane_"), F.col("p_partkey").cast("string"), F.lit(".fastq.gz"))
+    return table(spark, d, "names").select("p_partkey", sam.read_group(path).alias("grp"))
+
+
+@query(_SEQ + "select doc_id, length(seq) as n from sequences where length(seq) >= 100")
+def read_length_filter(spark, d):
+    return table(spark, d, "sequences").select("doc_id", F.length("seq").alias("n")).where("n >= 100")
+
+
+@query(_YR.replace(", y as", ", nm as (select read_id, '@r' || cast(read_id % 997 as varchar) || '/1 x' as name, chrom, mapq from frag_pe), y as") + "select distinct 'r' || cast(read_id % 997 as varchar) as name from nm where chrom = 'chr5' and mapq = 60")
+def y_read_names(spark, d):
+    rows = table(spark, d, "frag_pe").where("chrom = 'chr5' and mapq = 60")
+    raw = F.concat(F.lit("@r"), (F.col("read_id") % 997).cast("string"), F.lit("/1 x"))
+    return rows.select(sam.read_name(raw).alias("name")).distinct()
+
+
+@query(_WL + "select bc, round(power(10.0, -least(greatest(ascii(substr(qual, 3, 1)) - 33, 3), 40) / 10.0), 8) as weight, count(*) as n from barcodes group by 1, 2")
+def barcode_error_weight(spark, d):
+    reads = table(spark, d, "barcodes").withColumn("weight", F.round(barcode.error_chance(F.col("qual"), F.lit(3)), 8))
+    return reads.groupBy("bc", "weight").agg(F.count(F.lit(1)).alias("n"))

@@ -36,7 +36,7 @@ SEQUENCES = """
 select doc_id, upper(translate(lower(regexp_replace(substr(text, 1, 400), '[^a-zA-Z]', ''{g})),
        'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac')) as seq from documents"""
 DRAFTS = """
-select l_orderkey % 4096 as read_id, cast(l_linenumber % 2 as int) as mate, cast(l_suppkey % 2 as int) as strand, cast(l_suppkey % 5 as int) as rid,
+select l_orderkey - l_orderkey % 4 as read_id, cast(l_linenumber % 2 as int) as mate, cast(l_suppkey % 2 as int) as strand, cast(l_suppkey % 5 as int) as rid,
        (l_partkey % 500) * 50 + l_linenumber as pos, cast(cast(l_quantity as bigint) % 9 as int) as err
 from lineitem"""
 SAM_LITE = """
