@@ -103,3 +103,39 @@ def test_streamed_shards_equal_one_batch(spark, tmp_path):
 def test_live_counts_keep_a_bounded_state(spark, tmp_path):
     src = streaming.read_shards(spark, f"{tmp_path}")
     assert streaming.live_counts(src).isStreaming and streaming.first_copies(src).isStreaming
+
+
+def test_columnar_reads_by_range(spark, tmp_path):
+    import random
+
+    from fragmill.sources import cbq
+
+    r = random.Random(4)
+    records = []
+    for i in range(25):
+        pair = []
+        for m in (1, 2):
+            n = r.randint(1, 90)
+            pair.append((f"r{i}/{m}", "".join(r.choice("ACGTN") for _ in range(n)), "".join(r.choice("#I5") for _ in range(n))))
+        records.append(pair)
+    (tmp_path / "x.cbq").write_bytes(cbq.encode(records, 7))
+    flat = [(i, m, *records[i][m]) for i in range(25) for m in (0, 1)]
+    got = cbq.read(spark, f"{tmp_path}/x.cbq").select("read_id", "mate", "name", "seq", "qual")
+    assert sorted(map(tuple, got.collect())) == flat
+    part = cbq.read(spark, f"{tmp_path}/x.cbq", 5, 11)
+    assert sorted((x["read_id"], x["mate"]) for x in part.collect()) == [x[:2] for x in flat if 5 <= x[0] < 16]
+    assert part.rdd.getNumPartitions() == 3
+    (tmp_path / "y.cbq").write_bytes(cbq.encode(records, 7)[:-1])
+    with pytest.raises(ValueError):
+        cbq.read_index(f"{tmp_path}/y.cbq")
+
+
+def test_index_is_stored_with_its_reference(spark, tmp_path):
+    from fragmill.sources import index
+
+    ref = spark.createDataFrame([(0, "chr1", 120, "ACGTTGCAAC" * 12, 1)], "rid long, name string, length int, seq string, crc long")
+    index.save(ref, f"{tmp_path}/i", 15, 5)
+    mins, stored, k, w = index.load(spark, f"{tmp_path}/i", ref)
+    assert (k, w) == (15, 5) and mins.count() > 0 and stored.count() == 1
+    with pytest.raises(ValueError):
+        index.load(spark, f"{tmp_path}/i", ref.withColumn("crc", F.lit(2)))
