@@ -274,8 +274,8 @@ def whitelist_fingerprint(spark, d):
 # Counts by barcode
 
 _QC = _DEDUP + ", u as (select *, case when dir = 1 then num_dups else 0 end as cachehit from cell), wl as (select range as bc from range(0, 16, 2))\n"
-_QC_ROWS = """, c as (select case when bc in (select bc from wl) then cast(bc as varchar) else 'non-whitelist' end as bc, sum(num_dups) as total,
-  sum(case when mapq < 30 then 0 else num_dups - 1 end) as dup, sum(num_dups) as mapped, sum(case when mapq < 30 then num_dups else 0 end) as lowmapq, sum(cachehit) as cachehit from u group by 1)
+_QC_ROWS = """, c as (select case when bc in (select bc from wl) then cast(bc as varchar) else 'non-whitelist' end as bc, sum(num_dups)::bigint as total,
+  sum(case when mapq < 30 then 0 else num_dups - 1 end)::bigint as dup, sum(num_dups)::bigint as mapped, sum(case when mapq < 30 then num_dups else 0 end)::bigint as lowmapq, sum(cachehit)::bigint as cachehit from u group by 1)
 """
 
 
@@ -313,7 +313,7 @@ def bottom_k_cardinality(spark, d):
     return qc.bottom_k(table(spark, d, "slots"), k=20)
 
 
-@query(_PE + "select count(*) as n, sum(case when uniq = 1 then 1 else 0 end) as n_unique, sum(case when mapq < 4 then 1 else 0 end) as n_multi from frag_pe")
+@query(_PE + "select count(*) as n, sum(case when uniq = 1 then 1 else 0 end)::bigint as n_unique, sum(case when mapq < 4 then 1 else 0 end)::bigint as n_multi from frag_pe")
 def mapping_stats(spark, d):
     return qc.mapping_stats(table(spark, d, "frag_pe"))
 
@@ -497,7 +497,7 @@ def read_format_slice(spark, d):
     return table(spark, d, "sequences").select("doc_id", seq.read_slice("seq", ranges, back).alias("sliced"))
 
 
-@query(_BC + "select event_id, list_filter(range(0, 16), lambda i: substr(bc, i::int + 1, 1) = 'N') as at from barcodes")
+@query(_BC + "select event_id, list_filter(range(0, 16)::int[], lambda i: substr(bc, i::int + 1, 1) = 'N') as at from barcodes")
 def n_positions(spark, d):
     return table(spark, d, "barcodes").select("event_id", seq.n_positions("bc").alias("at"))
 
@@ -712,7 +712,7 @@ def nonempty_chroms(spark, d):
   union all select chrom, cut + 1000, 0, -count from (select chrom, count, unnest([start, stop]) as cut from pf)) group by chrom, pos having sum(a) <> 0 or sum(b) <> 0),
 st as (select chrom, pos as start, lead(pos) over w as stop, sum(a) over w as a, sum(b) over w as b from ev window w as (partition by chrom order by pos)),
 t as (select sum((stop - start) * count) / 125000.0 as bg, sum((stop - start) * count) / (2.0 * 2000 * sum(count)) as scale from pf)
-select chrom, sum(stop - start)::bigint as bases, round(sum((stop - start) * a), 3) as treat, round(sum((stop - start) * greatest(bg, b * scale)), 2) as lam from st, t where stop is not null group by chrom"""
+select chrom, sum(stop - start)::bigint as bases, round(sum((stop - start) * a)::double, 3) as treat, round(sum((stop - start) * greatest(bg, b * scale)), 2) as lam from st, t where stop is not null group by chrom"""
 )
 def lambda_track(spark, d):
     """The pileup's and the background's sums by chromosome."""
@@ -728,7 +728,7 @@ def ppois_track(spark, d):
 
 @query(
     _STEPS
-    + """, b as (select depth * 0.25 as p, sum(stop - start) as bases from steps group by 1), r as (select *, sum(bases) over (order by p desc rows between unbounded preceding and 1 preceding) as rank, sum(bases) over () as total from b),
+    + """, b as (select depth * 0.25::double as p, sum(stop - start) as bases from steps group by 1), r as (select *, sum(bases) over (order by p desc rows between unbounded preceding and 1 preceding) as rank, sum(bases) over () as total from b),
 q as (select p, min(p + log10((coalesce(rank, 0) + 1) / total)) over (order by p desc rows unbounded preceding) as q from r)
 select p, round(greatest(q, 0), 5) as qscore from q"""
 )
