@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import map_rows
+from fragmill.llm.common import map_rows, resident
 
 #: Unicode's White_Space characters.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -238,6 +237,7 @@ class Codec:
         import regex
 
         self.machine = Transducer(read_ranks(path))
+        self.decoder = Decoder(self.machine.bytes_of)
         self.pattern = regex.compile(pattern.replace("[^\\s", f"[^{SPACES}").replace("\\S", f"[^{SPACES}]").replace("\\s", f"[{SPACES}]"))
         self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         self.most, self.known, self.older = most, {}, {}
@@ -272,18 +272,15 @@ class Codec:
             ids += got if got is not None else self._chunk(chunk)
         return ids
 
-@lru_cache(2)
 def decoder(path: str) -> Decoder:
     return Decoder({r: t for t, r in read_ranks(path).items()})
 
 
-@lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return resident(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
-def _decoded(path: str, rows: list[np.ndarray]) -> dict:
-    d = decoder(path)
+def _decoded(d: Decoder, rows: list[np.ndarray]) -> dict:
     return {"decoded": pa.array([d.bytes(ids.tolist()) for ids in rows], pa.binary()), "whole": [d.whole(ids) for ids in rows]}
 
 
@@ -301,7 +298,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
         values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         out = {"doc_id": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(values))}
-        return out | (_decoded(path, rows) if decoded else {})
+        return out | (_decoded(c.decoder, rows) if decoded else {})
 
     schema = "doc_id long, ids array<int>" + ", decoded binary, whole boolean" * decoded
     return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], schema, batch)
@@ -315,6 +312,6 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> dict:
         rows = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in b.column(1)]
-        return {"doc_id": b.column(0), "ids": b.column(1)} | _decoded(path, rows)
+        return {"doc_id": b.column(0), "ids": b.column(1)} | _decoded(resident(("decoder", path), lambda: decoder(path)), rows)
 
     return map_rows(df, ["doc_id", "ids"], "doc_id long, ids array<int>, decoded binary, whole boolean", batch)

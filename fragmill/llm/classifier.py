@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import Hashes, bounded_sample, map_rows, mix
+from fragmill.llm.common import Hashes, bounded_sample, map_rows, mix, resident
 
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 BITS, SCALE, EPOCHS = 20, 30.0, 4
@@ -62,11 +62,8 @@ class _Tokens:
         return self.table[rows]
 
 
-_KNOWN = _Tokens()
-
-
 def _part(tokens: list[str]) -> np.ndarray:
-    both = _KNOWN.of(tokens)
+    both = resident("classifier", _Tokens).of(tokens)
     word, kind = both[:, 0], both[:, 1]
     n, u = len(tokens), np.uint64
     pairs = lambda a, salt: mix(a[:-1] * u(0x9E3779B97F4A7C15) + a[1:] + u(salt))

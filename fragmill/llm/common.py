@@ -7,6 +7,7 @@ unless a docstring says otherwise.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,13 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space: the bytes that bytes.split() splits at.
-WORD_SPACE = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch at most, and where Spark has that number.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, and Arrow batches of few rows: texts may be long, and workers hold a batch or two."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -67,14 +66,20 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 def map_rows(df: DataFrame, columns: list[str | Column], schema: str, per_batch: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """mapInArrow over chosen columns, which per_batch finds by place; it returns the output's columns by name."""
+    """mapInArrow over chosen columns, which per_batch finds by place; it returns the output's columns by name.
+
+    Texts may be long, and both sides of the pipe hold a batch or two, so the session's batches are made of
+    at most BATCH_ROWS rows.
+    """
+    if int(df.sparkSession.conf.get(BATCH_CONF)) not in range(1, BATCH_ROWS + 1):
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH_ROWS))
     df = df.select(*columns)
     df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # the input may repeat names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                out = per_batch(batch.slice(part, 2000))
+            for part in range(0, batch.num_rows, BATCH_ROWS):
+                out = per_batch(batch.slice(part, BATCH_ROWS))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], names=list(out))
 
@@ -95,6 +100,19 @@ def bounded_sample(df: DataFrame, where: Column, limit: int, id_col: str = "doc_
     return rows.orderBy("id", F.xxhash64("text")).limit(limit).collect()
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: object, make: Callable):
+    """What a worker keeps between tasks. Workers serve one operator after another, so only the last one's
+    tables stay; another key frees them first."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an unsigned array."""
     h = h ^ (h >> np.uint64(32))

@@ -9,15 +9,15 @@ which the model knows any. The probability is the softmax of those sums.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import bounded_sample, map_rows
+from fragmill.llm.common import bounded_sample, map_rows, resident
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -31,21 +31,32 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """langs in order; words and grams[n]: to a row of log frequencies by language."""
+    """langs in order; a row of `table` for each known word and n-gram: its log frequencies by language."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]], prior: np.ndarray):
-        self.langs, self.words, self.grams, self.prior = langs, words, grams, prior
-
-    def word(self, word: str) -> np.ndarray:
+        self.langs, self.prior = langs, prior
+        self.words = {w: i for i, w in enumerate(words)}
+        self.grams: dict[int, dict[str, int]] = {}
+        rows, at = [*words.values()], len(words)
+        for n, table in grams.items():
+            self.grams[n] = {g: at + i for i, g in enumerate(table)}
+            rows += table.values()
+            at += len(table)
+        self.table = np.array(rows, np.float32).reshape(-1, len(langs))
+
+    def rows(self, word: str) -> list[int]:
+        """The rows whose mean is a word's: its own, or those of its longest n-grams that are known; none at all."""
         found = self.words.get(word)
         if found is not None:
-            return found
+            return [found]
+        padded = f" {word} "
         for n in range(LONGEST, 0, -1):
-            table = self.grams[n]
-            hits = [table[g] for g in _grams(word, n) if g in table]
+            get = self.grams[n].get
+            text = padded if n > 1 else word
+            hits = [r for i in range(len(text) - n + 1) if (r := get(text[i : i + n])) is not None]
             if hits:
-                return np.mean(hits, axis=0, dtype=np.float32)
-        return np.zeros(len(self.langs), np.float32)
+                return hits
+        return []
 
 
 def _logs(counts: dict[str, Counter], langs: list[str], least: int) -> dict[str, np.ndarray]:
@@ -87,41 +98,56 @@ def fit(df: DataFrame, where: Column | None = None, lang_col: str = "lang", limi
 
 
 class Scorer:
+    """Texts' languages. What words add is kept for up to about `most` words."""
+
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
         self._afresh()
 
     def _afresh(self) -> None:
-        self.row, self.table, self.n = {}, np.zeros((1024, len(self.model.langs)), np.float32), 0
-
-    def _add(self, word: str) -> int:
-        if self.n == len(self.table):
+        self.row: dict[str, int] = {}
+        self.table, self.n = np.zeros((1024, len(self.model.langs)), np.float32), 0
+
+    def _learn(self, words: list[str]) -> None:
+        """A word's row is the sum over its runs of letters of the mean of their rows."""
+        flat: list[int] = []
+        owner, sizes = [], []
+        for i, word in enumerate(words):
+            for piece in LETTERS.findall(word.lower()):
+                rows = self.model.rows(piece)
+                if rows:
+                    flat += rows
+                    owner.append(i)
+                    sizes.append(len(rows))
+        new = np.zeros((len(words), len(self.model.langs)), np.float32)
+        if sizes:
+            k = np.array(sizes)
+            np.add.at(new, owner, np.add.reduceat(self.model.table[flat], np.cumsum(k) - k, axis=0) / k[:, None])
+        while self.n + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        pieces = LETTERS.findall(word.lower())
-        if pieces:
-            self.table[self.n] = np.sum([self.model.word(p) for p in pieces], axis=0)
-        self.row[word] = self.n
-        self.n += 1
-        return self.n - 1
+        self.table[self.n : self.n + len(words)] = new
+        self.row.update(zip(words, range(self.n, self.n + len(words)), strict=True))
+        self.n += len(words)
 
     def score(self, text: str) -> tuple[str, float]:
-        words = text.split()
-        if self.n > self.most:
-            self._afresh()
-        get, add = self.row.get, self._add
-        sums = self.model.prior.copy()
-        for at in range(0, len(words), 100_000):
-            ids = [i if (i := get(w)) is not None else add(w) for w in words[at : at + 100_000]]
-            sums += self.table[ids].sum(0, dtype=np.float64)
-        p = np.exp(sums - sums.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return self.model.langs[best], float(p[best])
-
-
-@lru_cache(2)
-def _scorer(held) -> Scorer:
-    return Scorer(held.value)
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[tuple[str, float]]:
+        out = []
+        for some in range(0, len(texts), 64):
+            split = [t.split() for t in texts[some : some + 64]]
+            self._learn(list(set().union(*split).difference(self.row)))
+            for words in split:
+                sums = self.model.prior.copy()
+                for at in range(0, len(words), 100_000):
+                    sums += self.table[list(map(self.row.__getitem__, words[at : at + 100_000]))].sum(0, dtype=np.float64)
+                p = np.exp(sums - sums.max())
+                p /= p.sum()
+                best = int(p.argmax())
+                out.append((self.model.langs[best], float(p[best])))
+            if self.n > self.most:
+                self._afresh()
+        return out
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -130,14 +156,16 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     A text that is null or has no letter, and every text under no model: `und`, 0.0. Of languages that
     score alike the first by name counts. Rows are independent, whatever their other columns.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)  # bounded by the fitted sample
-    kinds = dict(df.dtypes)
+    held, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by the fitted sample
+    kinds, known = dict(df.dtypes), model is not None
 
     def batch(b: pa.RecordBatch) -> dict:
-        got = [
-            _scorer(held).score(t) if t and held.value is not None and LETTERS.search(t) else ("und", 0.0)
-            for t in b.column(1).to_pylist()
-        ]
+        scorer = resident(("language", name), lambda: Scorer(held.value)) if known else None
+        found = b.column(1).to_pylist()
+        fit_for = [i for i, t in enumerate(found) if t and scorer and LETTERS.search(t)]
+        got = [("und", 0.0)] * len(found)
+        for i, g in zip(fit_for, scorer.scores([found[i] for i in fit_for]) if fit_for else [], strict=True):
+            got[i] = g
         out = {"doc_id": b.column(0), "lang_pred": pa.array([x for x, _ in got], pa.string()), "score": pa.array([s for _, s in got], pa.float64())}
         return out | {k: b.column(2 + i) for i, k in enumerate(keep)}
 

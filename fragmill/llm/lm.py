@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import Hashes, bounded_sample, map_rows, mix, shared_folder, texts
+from fragmill.llm.common import Hashes, bounded_sample, map_rows, mix, resident, shared_folder, texts
 
 #: Bytes of training text for each shard, and tokens that a task counts at a time.
 SHARD_BYTES, FLUSH = 32 << 20, 4_000_000
@@ -33,13 +33,12 @@ SAMPLE = 500
 #: Words hold no white space, so these hashes are free for the start and the end of a text.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b"\n"))
 
-_WORDS = Hashes(400_000)
 _U = np.uint64
 
 
 def tokens(text: bytes) -> np.ndarray:
     """Hashes of the words, A-Z in lower case, and of the end."""
-    return np.append(_WORDS.of(text.lower().split()), END)
+    return np.append(resident("hashes", Hashes).of(text.lower().split()), END)
 
 
 def _pack(x: np.ndarray) -> bytes:

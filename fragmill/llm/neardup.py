@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import Hashes, map_rows, mix, shared_folder, staged, texts
+from fragmill.llm.common import Hashes, map_rows, mix, resident, shared_folder, staged, texts
 
 #: MinHash values of a text, and the probability at most that all bands miss a pair at the threshold.
 HASHES, MISS = 120, 1e-6
@@ -35,7 +35,6 @@ SIGMAS = 5.5
 #: Members of a block when a bucket is compared across its components.
 BLOCK = 1024
 
-_WORDS = Hashes(400_000)
 _RNG = np.random.default_rng(20240229)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -46,7 +45,7 @@ def shingles(text: bytes, width: int = 3) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = _WORDS.of(words)
+    h = resident("hashes", Hashes).of(words)
     n = max(1, len(h) - width + 1)
     out = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for i in range(min(width, len(h))):

@@ -13,7 +13,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import map_rows, shared_folder, staged
+from fragmill.llm.common import map_rows, resident, shared_folder, staged
 
 CAPACITY = 2048
 #: Pieces that one task packs at a time.
@@ -81,22 +80,18 @@ class WordTokens:
                 self.known, self.older = {}, self.known
 
 
-@lru_cache(1)
-def _tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_col: str = "doc_id", text_col: str = "text", most: int = 700_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each row's tokens and the end id, cut at multiples of capacity.
 
-    A null or empty text is the end id alone. Rows are independent: a repeated id gives its pieces again.
+    A null or empty text is the end id alone. Rows are independent: a repeated id gives its pieces again. A worker
+    keeps the ids of about twice `most` words.
     """
     close = np.array([end], "<u4").tobytes()
 
     def batch(b: pa.RecordBatch) -> dict:
         out: tuple[list, ...] = ([], [], [], [], [])
         ids, found = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-        for i, data in zip(ids, _tokens(path).encode(found), strict=True):
+        for i, data in zip(ids, resident(("packing", path), lambda: WordTokens(path, most)).encode(found), strict=True):
             data += close
             for k, at in enumerate(range(0, len(data), 4 * capacity)):
                 part = data[at : at + 4 * capacity]

@@ -47,7 +47,7 @@ def test_bpe_equals_tiktoken(text):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=CODEC.machine.ranks, special_tokens={})
     ids = CODEC.encode(text)
     assert ids == enc.encode_ordinary(text)
-    d = bpe.decoder(BYTE_BPE)
+    d = CODEC.decoder
     assert d.bytes(ids) == text.encode() and d.whole(np.array(ids, np.int64)) and "".join(d.stream(ids)) == text
 
 
