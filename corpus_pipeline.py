@@ -58,7 +58,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), most=250_000))
 
 
 STAGES = [
