@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,47 +126,89 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], size: list[int], fill_a: int, fill_b: int, capacity: int) -> tuple[list[int], list[int]] | None:
-    """What to take from a and from b so that b, the fuller one, gains most within its room."""
-    room, best, found = capacity - fill_b, 0, None
-    if room <= 0:
-        return None
-    from_a = [((i,), size[i]) for i in a] + [((i, j), size[i] + size[j]) for x, i in enumerate(a) for j in a[x + 1 :]]
-    from_b = [((), 0)] + [((i,), size[i]) for i in b]
-    two_b = [((i, j), size[i] + size[j]) for x, i in enumerate(b) for j in b[x + 1 :]]
-    for x, sx in from_a:
-        for y, sy in from_b + (two_b if len(x) == 1 else []):
-            if best < sx - sy <= room:
-                best, found = sx - sy, (x, y)
+def _sums(b: Counter) -> tuple[list[int], list[int], dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+    """The lengths in a bin, each once, the sums of two, and what makes them up."""
+    one = {n: (n,) for n in sorted(b)}
+    two = {n + m: (n, m) for x, n in enumerate(one) for m in [*one][x:] if n != m or b[n] > 1}
+    return [*one], [*two], one, two
+
+
+def _exchange(a: Counter, b: Counter, room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """The lengths to take from a and from b so that b, the fuller one, gains most within its room."""
+    ones, twos, one_a, two_a = _sums(a)
+    _, _, one_b, two_b = _sums(b)
+    best, found = 0, None
+    for from_a, sums, from_b in ((one_a, ones, {0: ()} | two_b | one_b), (two_a, twos, {0: ()} | one_b)):
+        have = sorted(from_b)
+        for n in sums:
+            at = bisect_left(have, n - room)
+            if at < len(have) and best < n - have[at]:
+                best, found = n - have[at], (from_a[n], from_b[have[at]])
     return found
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
-    """Local search. Fewer bins than the lengths' sum needs are impossible, so it may stop there."""
-    size = [int(x) for x in lengths]
-    total = sum(size)
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        bins = [b for b in bins if b]
-        fill = [sum(size[i] for i in b) for b in bins]
-        if len(bins) <= -(-total // capacity):
-            break
-        order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search until no two sequences have an exchange left, or no set of sequences can be smaller.
+
+    The emptiest are tried first, more of them when these have none left, at last all. Each exchange raises the sum
+    of squared fills, so the search ends. takes[0][n, k] says that bin k gains by a
+    piece of n tokens, takes[1][n, k] by two of n together, against nothing or against pieces of its own: a row
+    holds the partners for n.
+    """
+    size = lengths.tolist()
+    least = -(-sum(size) // capacity)
+    held = [Counter(size[i] for i in b) for b in bins if b]
+    fill = np.array([sum(n * c for n, c in b.items()) for b in held], np.int64)
+    left = len(held)
+    if left <= least:
+        return [b for b in bins if b]
+    takes = np.zeros((2, capacity + 1, len(held)), bool)
+    sums: list[tuple[list[int], list[int]]] = [([], [])] * len(held)
+
+    def note(k: int) -> None:
+        ones, twos, _, _ = _sums(held[k])
+        sums[k] = ones, twos
+        room = capacity - int(fill[k])
+        takes[:, :, k] = False
+        if room and fill[k]:
+            for table, own in ((0, (0, *ones, *twos)), (1, (0, *ones))):
+                for n in own:
+                    takes[table, n + 1 : n + room + 1, k] = True
+
+    for k in range(len(held)):
+        note(k)
+    some = 8
+    while some and left > least:
         changed = False
-        for k in order[:8]:
-            for other in reversed(order):
-                while bins[k] and other != k and fill[other] >= fill[k]:
-                    got = _exchange(bins[k], bins[other], size, fill[k], fill[other], capacity)
-                    if not got:
-                        break
-                    changed = True
-                    x, y = map(set, got)
-                    bins[k], bins[other] = [i for i in bins[k] if i not in x] + list(y), [i for i in bins[other] if i not in y] + list(x)
-                    gain = sum(size[i] for i in x) - sum(size[i] for i in y)
-                    fill[k], fill[other] = fill[k] - gain, fill[other] + gain
-        if not changed:
-            break
-    return [b for b in bins if b]
+        order = [k for k in np.argsort(fill, kind="stable").tolist() if 0 < fill[k] < capacity]
+        rank = np.full(len(held), -1)
+        rank[order] = range(len(order))
+        for k in order[:some]:
+            last = len(order)
+            while 0 < fill[k] < capacity and left > least:
+                hit = (takes[0][sums[k][0]].any(0) | takes[1][sums[k][1]].any(0)) & (fill >= fill[k]) & (rank <= last)
+                hit[k] = False
+                if not hit.any():
+                    break
+                other = int(np.where(hit, rank, -1).argmax())
+                last = rank[other]
+                x, y = _exchange(held[k], held[other], capacity - int(fill[other]))
+                held[k] += Counter(y)
+                held[k] -= Counter(x)
+                held[other] += Counter(x)
+                held[other] -= Counter(y)
+                gain = sum(x) - sum(y)
+                fill[k] -= gain
+                fill[other] += gain
+                left -= fill[k] == 0
+                changed = True
+                note(k)
+                note(other)
+        some = 8 if changed else 4 * some if some < len(order) else 0
+    places: dict[int, list[int]] = defaultdict(list)
+    for i in range(len(size) - 1, -1, -1):
+        places[size[i]].append(i)
+    return [[places[n].pop() for n in sorted(b, reverse=True) for _ in range(b[n])] for b in held if b]
 
 
 def _packed(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against its definition or a brute-force version, over the edge cases too."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -245,6 +246,22 @@ def test_bins_are_within_capacity_and_few(seed):
     assert sorted(i for b in bins for i in b) == list(range(800)) and all(n[b].sum() <= 2048 for b in bins) and len(bins) <= len(first)
 
 
+def exchanges(a, b, room):
+    """All that a can give for what b gives back so that b gains within its room."""
+    take = lambda x, most: [c for m in range(most + 1) for c in itertools.combinations(x, m)]
+    return [(x, y) for x in take(a, 2)[1:] for y in take(b, 2 if len(x) == 1 else 1) if 0 < sum(x) - sum(y) <= room]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_searches_until_no_exchange_is_left(seed):
+    n = np.random.default_rng(seed).integers(400, 701, 600)
+    bins = packing.improve(packing.best_fit(n, 2048), n, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(600)) and all(n[b].sum() <= 2048 for b in bins)
+    held = sorted((n[b].tolist() for b in bins), key=sum)
+    if len(held) > -(-n.sum() // 2048):
+        assert not any(exchanges(a, b, 2048 - sum(b)) for k, a in enumerate(held) for b in held[k + 1 :] if 2048 > sum(b))
+
+
 def test_packing_rows(spark):
     data = [*EDGES, (8, LONG, None, None, 0), *prose(60)]
     found = packing.pieces(frame(spark, data), WORD_BPE)
