@@ -33,7 +33,7 @@ select l_orderkey * 8 + l_linenumber as k, cast(l_suppkey % 5 as int) as rid1, (
        cast(l_partkey % 5 as int) as rid2, (l_suppkey * 131 % 500) * 50 as pos2, cast(cast(l_quantity as bigint) % 2 as int) as s2
 from lineitem"""
 SEQUENCES = """
-select doc_id, upper(translate(lower(regexp_replace(substr(text, 1, 400), '[^a-zA-Z]', ''{g})),
+select doc_id, upper(translate(lower(regexp_replace(text, '[^a-zA-Z]', ''{g})),
        'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac')) as seq from documents"""
 DRAFTS = """
 select l_orderkey - l_orderkey % 4 as read_id, cast(l_linenumber % 2 as int) as mate, cast(l_suppkey % 2 as int) as strand, cast(l_suppkey % 5 as int) as rid,

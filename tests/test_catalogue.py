@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from fragmill.plans import catalogue
+from fragmill.plans.fixtures import table
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +55,10 @@ def test_entry_point_names_match():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sequences_hold_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = table(spark, SF, "sequences").collect()
+    letters = lambda t: sum(c.isascii() and c.isalpha() for c in t or "")
+    assert sorted((r["doc_id"], len(r["seq"] or "")) for r in got) == sorted((r["doc_id"], letters(r["text"])) for r in docs)
