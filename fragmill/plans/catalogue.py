@@ -395,7 +395,7 @@ def overlap_count(spark, d):
 
 @query(
     _FP
-    + ", iv as (select chrom, start, start + len as stop from frag_pe where bc < 2)"
+    + ", iv as (select chrom, start, start + len as stop from frag_pe)"
     + _islands("iv").replace("m1", "a1").replace("m2", "a2").replace("merged", "x")
     + _islands("peaks").replace("m1", "b1").replace("m2", "b2").replace("merged", "y")
     + """, s as (select (select sum(stop - start) from x) as a_bases, (select sum(stop - start) from y) as b_bases,
@@ -404,7 +404,7 @@ select cast(a_bases as bigint) as a_bases, cast(b_bases as bigint) as b_bases, c
 )
 def interval_jaccard(spark, d):
     a, b = _frags_peaks(spark, d)
-    return intervals.jaccard(a.where("bc < 2"), b)
+    return intervals.jaccard(a, b)
 
 
 @query(

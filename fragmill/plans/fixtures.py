@@ -18,7 +18,7 @@ FRAG_SE = FRAG_PE.replace(", 50 as pos_len, 50 as neg_len", "")
 PEAKS = """
 select o_orderkey as peak_id, concat('chr', cast(o_custkey % 5 + 1 as string)) as chrom,
        (o_orderkey % 250) * 100 as start, (o_orderkey % 250) * 100 + 60 + (o_custkey % 7) * 20 as stop
-from orders where o_orderkey < 1000"""
+from orders"""
 _BASE = " || ".join(f"substr('ACGT', cast(1 + ((h >> {s}) & 3) as int), 1)" for s in range(30, -2, -2))
 BARCODES = f"""
 select event_id, user_id, true_bc,

@@ -62,3 +62,14 @@ def test_sequences_hold_whole_texts(spark):
     got = table(spark, SF, "sequences").collect()
     letters = lambda t: sum(c.isascii() and c.isalpha() for c in t or "")
     assert sorted((r["doc_id"], len(r["seq"] or "")) for r in got) == sorted((r["doc_id"], letters(r["text"])) for r in docs)
+
+
+def test_peaks_hold_all_orders(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        orders = spark.read.parquet(f"{sf}/orders.parquet")
+        assert table(spark, sf, "peaks").count() == orders.count() > 1000
+
+
+def test_jaccard_takes_all_fragments(spark):
+    covered = {(r["chrom"], x) for r in table(spark, SF, "frag_pe").select("chrom", "start", "len").distinct().collect() for x in range(r["start"], r["start"] + r["len"])}
+    assert catalogue.queries()["interval_jaccard"](spark, SF).first()["a_bases"] == len(covered)
