@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fragmill.plans.lineage import cut
+
 
 def manifest(shards: DataFrame) -> DataFrame:
     """shard, n, contract of a table of shard rows; a row for each shard."""
@@ -34,3 +36,21 @@ def rebase(shards: DataFrame) -> DataFrame:
 def histograms(parts: DataFrame) -> DataFrame:
     """bc, abundance: shards' barcode counts summed."""
     return parts.groupBy("bc").agg(F.sum("abundance").alias("abundance"))
+
+
+def rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank: 1 + the rows that come before in the given order; ties share it.
+
+    Equal keys are counted first and dealt out by ranges of the order, so that no task holds all and no tie crowds
+    one. A window over the ranges' totals, a row each, gives what comes before.
+    """
+    names = [f"_k{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(names, order, strict=True)))
+    keys = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*names)
+    keys = cut(keys.withColumn("shard", F.spark_partition_id()))
+    starts = prefix(keys.groupBy("shard").agg(F.sum("_n").alias("n"))).select("shard", "first")
+    before = Window.partitionBy("shard").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = keys.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(starts), "shard")
+    ranks = ranks.select(*(F.col(n).alias(f"_{n}") for n in names), (F.col("first") + F.col("_before") + 1).alias("rank"))
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]
+    return keyed.join(ranks, same).select(*df.columns, "rank")

@@ -197,11 +197,9 @@ def chr_order_rank(spark, d):
   case when mtid = -1 then 2147483647 else mtid end, case when mpos = -1 then 2147483647 else mpos end, isize, read_id) as rank from sam_lite"""
 )
 def coord_sort_rank(spark, d):
-    """The coordinate order as a rank; the fixture holds a fixed range of order keys, and the sort itself is sorted()."""
-    from pyspark.sql import Window
-
+    """The coordinate order as a rank."""
     rows = table(spark, d, "sam_lite")
-    return rows.withColumn("rank", F.rank().over(Window.orderBy(*sam.coordinate_order(rows))))
+    return gather.rank(rows, sam.coordinate_order(rows))
 
 
 # Barcodes

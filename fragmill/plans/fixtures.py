@@ -42,7 +42,7 @@ from lineitem"""
 SAM_LITE = """
 select cast(case when l_orderkey % 50 = 0 then -1 else l_suppkey % 5 end as int) as tid, (l_partkey % 500) * 50 as pos, cast((l_linenumber % 2) * 16 as int) as flag,
        cast(l_partkey % 5 as int) as mtid, (l_suppkey * 131 % 500) * 50 as mpos, cast(l_quantity as bigint) - 25 as isize, l_orderkey * 8 + l_linenumber as read_id
-from lineitem where l_orderkey < 2000"""
+from lineitem"""
 SLOTS = "select user_id % 16 as bc, (event_id * 7919) % 4000003 as slot from events"
 NAMES = "select p_partkey, '@' || replace(p_name, ' ', '_') || case when p_partkey % 3 = 0 then '/1' when p_partkey % 3 = 1 then '/2 extra' else ' comment' end as name from part"
 CONTIGS = """

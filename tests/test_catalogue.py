@@ -73,3 +73,15 @@ def test_peaks_hold_all_orders(spark):
 def test_jaccard_takes_all_fragments(spark):
     covered = {(r["chrom"], x) for r in table(spark, SF, "frag_pe").select("chrom", "start", "len").distinct().collect() for x in range(r["start"], r["start"] + r["len"])}
     assert catalogue.queries()["interval_jaccard"](spark, SF).first()["a_bases"] == len(covered)
+
+
+def test_rank_takes_all_rows_without_one_window(spark):
+    sf = "/root/testdata/sf0.01"
+    got = catalogue.queries()["coord_sort_rank"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    last = lambda v: 2147483647 if v == -1 else v
+    key = lambda r: (last(r["tid"]), last(r["pos"]), r["flag"], last(r["mtid"]), last(r["mpos"]), r["isize"], r["read_id"])
+    rank = {}
+    for i, k in enumerate(sorted(map(key, got)), 1):
+        rank.setdefault(k, i)
+    assert all(r["rank"] == rank[key(r)] for r in got)
