@@ -258,10 +258,10 @@ def barcode_translate(spark, d):
     return barcode.translate(reads, names).select("event_id", "name")
 
 
-@query(_WL + "select n, hits, round(hits / n, 6) as share, case when hits * 20 >= n then 1 else 0 end as passed from (select count(*) as n, count(wl.bc) as hits from barcodes left join wl on wl.bc = barcodes.bc where event_id < 1000)")
+@query(_WL + "select n, hits, round(hits / n, 6) as share, case when hits * 20 >= n then 1 else 0 end as passed from (select count(*) as n, count(wl.bc) as hits from (select bc from barcodes order by event_id limit 100000) as barcodes left join wl on wl.bc = barcodes.bc)")
 def whitelist_gate(spark, d):
     reads = table(spark, d, "barcodes")
-    return barcode.gate(reads.where("event_id < 1000"), _whitelist(reads), first=1000)
+    return barcode.gate(reads, _whitelist(reads), first=100_000)
 
 
 @query()

@@ -85,3 +85,8 @@ def test_rank_takes_all_rows_without_one_window(spark):
     for i, k in enumerate(sorted(map(key, got)), 1):
         rank.setdefault(k, i)
     assert all(r["rank"] == rank[key(r)] for r in got)
+
+
+def test_gate_takes_the_first_of_all_reads(spark):
+    sf = "/root/testdata/sf0.01"
+    assert catalogue.queries()["whitelist_gate"](spark, sf).first()["n"] == min(100_000, spark.read.parquet(f"{sf}/events.parquet").count())
