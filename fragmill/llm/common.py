@@ -60,6 +60,29 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a table that may be sent to every task, and copies of a larger one's rows that share a hot key's partners.
+FEW, SALTS = 200_000, 16
+
+
+def join_few(big: DataFrame, small: DataFrame, keys: list[str], then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The inner join of a table in which few keys may hold most rows with one that has each key once (staged: it is
+    counted first), and `then` of it.
+
+    Up to FEW rows are broadcast. More are repeated SALTS times, so that a key's rows meet in so many tasks; where
+    `then` sums up by the keys alone, that is done first and the sums are joined.
+    """
+    n = small.count()
+    if n <= FEW:
+        out = big.join(F.broadcast(small), keys)
+        return then(out) if then else out
+    if then:
+        return then(big).join(small, keys)
+    salt = unused(small, unused(big, "salt"))
+    left = big.withColumn(salt, F.pmod(F.xxhash64(F.lit(0), *(c for c in big.columns if c not in keys)), F.lit(SALTS)))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return left.join(right, [*keys, salt]).drop(salt)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,10 +1,12 @@
-"""Operator 5: personal data by fixed formats, and by contexts that those formats teach.
-
-All of it is DataFrame and SQL functions. Base spans follow four formats. Then words that
-look like identifiers are candidates, each under its cue, the word before it. Cues that
-often stand before known identifiers, out of all their occurrences in the corpus, are
-patterns; identifiers that good patterns point at become known, which scores the patterns
-anew. After ROUNDS of this on the cue-instance graph the new identifiers' spans are added.
+"""Operator 5: personal data by fixed formats, and by contexts that known entities teach.
+
+All of it is DataFrame and SQL functions. Base spans follow four formats. Words with a digit
+or an @ are instances. The words around an instance (one or two before it, one after it, one
+on each side) together with its shape are its patterns. Seeds are the base spans and words in
+the form of a hexadecimal key; a key alone is no finding, its contexts must bear it out. A
+pattern's trust is the share of its context's occurrences in the whole corpus that hold a known
+instance of its shape; instances that trusted patterns point at become known, which scores the
+patterns anew, until no instance is added. Known instances' further spans are of the kind `id`.
 """
 
 from __future__ import annotations
@@ -12,14 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import shared_folder, staged, unused
+from fragmill.llm.common import join_few, shared_folder, staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A pattern's known instances at least, its known share of the cue's occurrences, and an instance's score.
-MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 5, 0.5, 0.5
-#: Cues that are sent to every task, and the share of texts (one in so many) that rules out common cues.
-FEW_CUES, PART = 100_000, 64
+#: A pattern's known instances at least, its trust, an instance's score, and the share of its places under such patterns.
+MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE, MIN_SHARE = 5, 0.5, 0.5, 0.5
+#: One text in so many rules out common contexts before the others are counted in all texts.
+PART = 64
 
 #: The formats, written so that Java's engine neither recurses nor reads a run of characters twice: a match is
 #: tried only where a run starts (or the match before it ended), and repeats keep what they took. A card's own
@@ -32,8 +33,10 @@ PATTERNS = {
 }
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _SPACE = r"\x20\x09-\x0D"
-#: A word with five digits or more, or with an @ inside.
-CANDIDATE = rf"(?<![^{_SPACE}])(?:[^{_SPACE}0-9]*+[0-9]){{5}}[^{_SPACE}]*+|(?<![^{_SPACE}])[^{_SPACE}@]++@[^{_SPACE}]++"
+#: A word with a digit or an @.
+CANDIDATE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+#: The form of keys and digests that serves as a seed beside the base spans.
+KEY = "^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,128}$"
 _SPAN = "array<struct<start:int,stop:int,hit:string>>"
 
 
@@ -107,64 +110,87 @@ def listed(spans: str | Column) -> Column:
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Adds `_cand`: start, stop and text of identifier-like words without marks around them, and the cue."""
+    """Adds `_cand`: start, stop and text of words that may identify, without marks around them, their shape and contexts."""
     df = _located(df, CANDIDATE, None, "_words")
 
     def one(s: Column, i: Column) -> Column:
         lead = F.length(F.regexp_extract(s["hit"], "^[^A-Za-z0-9+@]*", 0))
-        core = F.regexp_extract(s["hit"], "[A-Za-z0-9+@].*[A-Za-z0-9]", 0)
-        before = F.regexp_extract(F.get("_gaps", i), rf"([^{_SPACE}]+)[{_SPACE}]*$", 1)
-        cue = F.when(before != "", before).when(i > 0, F.get("_hits", i - 1)).otherwise(F.lit(""))
+        core = F.regexp_extract(s["hit"], "[A-Za-z0-9+@](?:.*[A-Za-z0-9])?", 0)
+        gap, hit = F.get("_gaps", i), lambda k: F.coalesce(F.get("_hits", k), F.lit(""))
+        some = lambda x, other: F.when(x != "", x).otherwise(other)
+        near = some(F.regexp_extract(gap, rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]*+$", 1), F.when(i > 0, hit(i - 1)).otherwise(F.lit("")))
+        two = F.regexp_extract(gap, rf"(?<![^{_SPACE}])([^{_SPACE}]++)[{_SPACE}]++[^{_SPACE}]++[{_SPACE}]*+$", 1)
+        after = some(F.regexp_extract(F.get("_gaps", i + 1), rf"^[{_SPACE}]*+([^{_SPACE}]++)", 1), hit(i + 1))
         begin = s["start"] + lead
-        return F.struct(begin.alias("start"), (begin + F.length(core)).alias("stop"), core.alias("inst"), F.lower(cue).alias("cue"))
-
-    return df.withColumn("_cand", F.transform("_words", one)).drop("_words", "_hits", "_gaps")
-
-
-def _counted(docs: DataFrame, cues: DataFrame, n: int) -> DataFrame:
-    """cue, seen: occurrences of each of n cues among the words. Many cues are joined after counting."""
-    words = docs.select(F.explode(F.split(F.lower("text"), f"[{_SPACE}]+")).alias("cue"))
-    if n <= FEW_CUES:
-        words = words.join(F.broadcast(cues), "cue")
-    counts = words.groupBy("cue").agg(F.count(F.lit(1)).alias("seen"))
-    return counts if n <= FEW_CUES else counts.join(cues, "cue")
+        shape = F.concat(F.when(F.contains(core, F.lit("@")), F.lit("@")).otherwise(F.lit("")), F.when(F.rlike(core, F.lit("[A-Za-z]")), F.lit("a")).otherwise(F.lit("")), F.when(F.rlike(core, F.lit("[0-9]")), F.lit("9")).otherwise(F.lit("")))
+        near, two, after = F.lower(near), F.lower(two), F.lower(after)
+        contexts = F.array(
+            F.when(near != "", F.concat(F.lit("1 "), near)),
+            F.when((near != "") & (two != ""), F.concat(F.lit("2 "), two, F.lit(" "), near)),
+            F.when(after != "", F.concat(F.lit("1 "), after)),
+            F.when((near != "") & (after != ""), F.concat(F.lit("3 "), near, F.lit(" "), after)),
+        )
+        sides = F.transform(contexts, lambda c, k: F.when(c.isNotNull(), F.struct(c.alias("context"), (k == 2).alias("right"))))
+        return F.struct(begin.alias("start"), (begin + F.length(core)).alias("stop"), core.alias("inst"), shape.alias("shape"), F.filter(sides, lambda c: c.isNotNull()).alias("around"))
+
+    found = F.filter(F.transform("_words", one), lambda c: c["inst"] != "")
+    return df.withColumn("_cand", found).drop("_words", "_hits", "_gaps")
+
+
+def _counted(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, seen: occurrences of each context: a word (1), a word and the next (2) or the next but one (3)."""
+    words = docs.select(F.filter(F.split(F.lower("text"), f"[{_SPACE}]+"), lambda w: w != "").alias("w"))
+    rest = lambda k: F.when(F.size("w") > k, F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    each = words.select(F.inline(F.arrays_zip(F.col("w").alias("a"), rest(1).alias("b"), rest(2).alias("c"))))
+    keys = F.array(F.concat(F.lit("1 "), F.col("a")), F.concat(F.lit("2 "), F.col("a"), F.lit(" "), F.col("b")), F.concat(F.lit("3 "), F.col("a"), F.lit(" "), F.col("c")))
+    occurring = each.select(F.explode(keys).alias("context")).where("context is not null")
+    return join_few(occurring, contexts, ["context"], lambda d: d.groupBy("context").agg(F.count(F.lit(1)).alias("seen")))
 
 
 def _occurrences(edges: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """cue, seen of the cues that can be patterns: with enough instances, and not more often without one.
+    """context, seen of the contexts that can be a pattern's: with enough instances, and not more often without one.
 
-    A part of the corpus bounds a cue's occurrences from below, which rules out common words for certain; the
+    A part of the corpus bounds a context's occurrences from below, which rules out common words for certain; the
     others are counted in all of it.
     """
-    cues = edges.groupBy("cue").agg(F.countDistinct("inst").alias("k"), F.count(F.lit(1)).alias("most")).where(F.col("k") >= MIN_SUPPORT)
-    cues = staged(cues.select("cue", "most"), f"{folder}/cues")
+    each = edges.groupBy("context", "right", "shape").agg(F.countDistinct("inst").alias("k"), F.count(F.lit(1)).alias("most")).where(F.col("k") >= MIN_SUPPORT)
+    most = staged(each.groupBy("context").agg(F.max("most").alias("most")), f"{folder}/contexts")
     part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0)
-    least = _counted(part, cues.select("cue"), cues.count())
-    left = cues.join(least, "cue", "left").where(F.col("most") >= MIN_PATTERN * F.coalesce("seen", F.lit(0))).select("cue")
-    left = staged(left, f"{folder}/rare")
-    n = left.count()
-    if not n:
-        return docs.sparkSession.createDataFrame([], "cue string, seen long")
-    return staged(_counted(docs, left, n), f"{folder}/seen")
+    least = _counted(part, most.select("context"))
+    left = most.join(least, "context", "left").where(F.col("most") >= MIN_PATTERN * F.coalesce("seen", F.lit(0))).select("context")
+    return staged(_counted(docs, staged(left, f"{folder}/rare")), f"{folder}/seen")
 
 
-def discover(rows: DataFrame, docs: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame:
+def discover(rows: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     """key_id, key_text, start, stop of new identifiers in rows(key_id, key_text, base, _cand); docs(text) is the corpus.
 
-    A pattern's confidence is the share of the cue's occurrences in the corpus that stand before a known
-    instance; an instance's is one less the product of its patterns' doubts.
+    A pattern is a context, its side and a shape. Its trust is the share of the context's occurrences in the corpus
+    where a known instance of that shape stands; an instance's score is one less the product of its patterns' doubts,
+    and MIN_SHARE of its places must have such a pattern. What is known only grows, and so do all these numbers, so the
+    rounds end when one adds nothing.
     """
-    edges = rows.select("key_id", "key_text", "base", F.explode("_cand").alias("c")).select("key_id", "key_text", "c.*", F.exists("base", lambda b: (b["start"] < F.col("c.stop")) & (F.col("c.start") < b["stop"])).alias("seed"))
-    edges = staged(edges.where("inst <> '' and cue <> ''").withColumn("known", F.col("seed")), f"{folder}/edges-0")
-    seen = _occurrences(edges, docs, folder)
-    for i in range(1, rounds + 1):
-        scored = edges.where("known").groupBy("cue").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("inst").alias("support"))
-        patterns = scored.where(F.col("support") >= MIN_SUPPORT).join(seen, "cue").select("cue", F.least(F.col("hits") / F.col("seen"), F.lit(0.999)).alias("trust")).where(F.col("trust") >= MIN_PATTERN)
-        pointed = edges.select("cue", "inst").distinct().join(patterns, "cue")
-        good = pointed.groupBy("inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score")).where(F.col("score") >= MIN_INSTANCE)
-        found = good.select(F.col("inst").alias("good"))
-        edges = staged(edges.join(found, F.col("inst") == F.col("good"), "left").withColumn("known", F.col("seed") | F.col("good").isNotNull()).drop("good"), f"{folder}/edges-{i}")
-    return edges.where("known and not seed").select("key_id", "key_text", "start", "stop").distinct()
+    one = rows.select("key_id", "key_text", "base", F.explode("_cand").alias("c")).select("key_id", "key_text", "c.*", F.exists("base", lambda b: (b["start"] < F.col("c.stop")) & (F.col("c.start") < b["stop"])).alias("seed"))
+    one = staged(one, f"{folder}/instances")
+    around = staged(one.select("key_id", "key_text", "start", "inst", "shape", "seed", F.explode("around").alias("x")).select("key_id", "key_text", "start", "inst", "shape", "seed", "x.*"), f"{folder}/around")
+    seen = _occurrences(around, docs, folder)
+    edges = staged(join_few(around, seen, ["context"]), f"{folder}/edges")
+    graph = staged(edges.groupBy("context", "right", "shape", "inst").agg(F.count(F.lit(1)).alias("n"), F.first("seen").alias("seen")), f"{folder}/graph")
+    known = staged(one.where(F.col("seed") | F.rlike(F.lower("inst"), F.lit(KEY))).select("inst").distinct(), f"{folder}/known-0")
+    places = staged(join_few(one.where(F.size("around") > 0), graph.select("inst").distinct(), ["inst"], lambda d: d.groupBy("inst").agg(F.count(F.lit(1)).alias("places"))), f"{folder}/places")
+    i = 0
+    while True:
+        i += 1
+        scored = join_few(graph, known, ["inst"]).groupBy("context", "right", "shape").agg(F.sum("n").alias("hits"), F.count(F.lit(1)).alias("support"), F.first("seen").alias("seen"))
+        scored = scored.where(F.col("support") >= MIN_SUPPORT).select("context", "right", "shape", F.least(F.col("hits") / F.col("seen"), F.lit(0.999)).alias("trust"))
+        patterns = staged(scored.where(F.col("trust") >= MIN_PATTERN), f"{folder}/patterns-{i}")
+        score = join_few(graph, patterns, ["context", "right", "shape"]).groupBy("inst").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score")).where(F.col("score") >= MIN_INSTANCE)
+        under = join_few(edges, patterns, ["context", "right", "shape"]).select("inst", "key_id", "key_text", "start").distinct().groupBy("inst").agg(F.count(F.lit(1)).alias("under"))
+        good = score.join(under, "inst").join(places, "inst").where(F.col("under") >= MIN_SHARE * F.col("places")).select("inst")
+        good = staged(good, f"{folder}/good-{i}")
+        before, known = known, staged(known.unionByName(good).distinct(), f"{folder}/known-{i}")
+        if known.count() == before.count():
+            break
+    return join_few(one.where(~F.col("seed")), good, ["inst"]).select("key_id", "key_text", "start", "stop").distinct()
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

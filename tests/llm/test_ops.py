@@ -214,16 +214,81 @@ def test_pii_equals_brute_force(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def brute_discovery(rows):
+    """(id, start, stop) that the rules add, by plain loops over every word."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    seen, places = Counter(), []
+    for i, t, *_ in rows:
+        found = [(m.start(), m.group()) for m in word.finditer(t or "")]
+        low = [w.lower() for _, w in found]
+        for k, w in enumerate(low):
+            seen["1", w] += 1
+            seen["2", w, low[k + 1] if k + 1 < len(low) else None] += 1
+            seen["3", w, low[k + 2] if k + 2 < len(low) else None] += 1
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t).split(",") if x]
+        for k, (at, w) in enumerate(found):
+            core = re.search(r"[A-Za-z0-9+@](?:.*[A-Za-z0-9])?", w)
+            if not re.search("[0-9@]", w) or not core:
+                continue
+            a, z = at + len(re.match("[^A-Za-z0-9+@]*", w).group()), 0
+            z = a + len(core.group())
+            shape = tuple(bool(re.search(c, core.group())) for c in ("@", "[A-Za-z]", "[0-9]"))
+            near, after = low[k - 1] if k else None, low[k + 1] if k + 1 < len(low) else None
+            gap_words = 0  # two words before count only if no instance stands between
+            while k - 1 - gap_words >= 0 and not re.search("[0-9@]", low[k - 1 - gap_words]):
+                gap_words += 1
+            around = [(("1", near), 0)] * (near is not None) + [(("2", low[k - 2], near), 0)] * (gap_words > 1) + [(("1", after), 1)] * (after is not None) + [(("3", near, after), 0)] * (near is not None and after is not None)
+            places.append((i, t, a, z, core.group(), shape, around, any(x < z and a < y for x, y in base)))
+    known = {p[4] for p in places if p[7] or re.fullmatch("(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,128}", p[4].lower())}
+    while True:
+        hits = defaultdict(list)
+        for p in places:
+            for x in p[6]:
+                if p[4] in known:
+                    hits[x, p[5]].append(p[4])
+        trust = {k: min(len(v) / seen[k[0][0]], 0.999) for k, v in hits.items() if len(set(v)) >= 5 and len(v) >= 0.5 * seen[k[0][0]]}
+        doubt, under, total = defaultdict(set), Counter(), Counter()
+        for p in places:
+            good = {(x, p[5]) for x in p[6]} & set(trust)
+            doubt[p[4]] |= good
+            under[p[4]] += bool(good)
+            total[p[4]] += bool(p[6])
+        new = {x for x, ks in doubt.items() if ks and 1 - math.prod(1 - trust[k] for k in ks) >= 0.5 and under[x] >= 0.5 * total[x]}
+        if new <= known:
+            return Counter((p[0], p[2], p[3]) for p in places if p[4] in new and not p[7])
+        known |= new
+
+
 def test_contexts_teach_new_identifiers(spark):
+    hexa = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
     data = [(i, f"employee badge: user{i}@corp.example.com joined", None, None, 0) for i in range(8)]
-    data += [(100 + i, f"again badge: EMP-{10000 + i} was seen", None, None, 0) for i in range(3)]
+    data += [(100 + i, f"again badge: EMP-{10000 + i}@x was seen", None, None, 0) for i in range(3)]
     data += [(200 + i, f"the 98765{i} of the {i} the", None, None, 0) for i in range(30)]
-    df = frame(spark, data)
+    data += [(300 + i, f'words{i} of token = "{hexa(i)}"### more of it', None, None, 0) for i in range(9)]
+    data += [(320 + i, f"TOKEN = 'short-{i}x' more", None, None, 0) for i in range(4)]
+    data += [(340, "short-1x begins and ends the text short-2x", None, None, 0), (341, f"commit {hexa('alone')} in prose", None, None, 0)]
+    data += [(360 + i, f"key other-{i}x yields {7000 + i} now", None, None, 0) for i in range(4)]
+    df = frame(spark, [*data, *EDGES])
     got = pii.find(df)
     spans = {r[0]: r[1] for r in got.select("doc_id", pii.listed("spans")).collect()}
-    assert all(spans[100 + i] == "id:13:22" for i in range(3)) and not any(spans[200 + i] for i in range(30))
+    assert spans[305].count("id:") == 1 and spans[321] == "id:9:17" and not spans[341] and spans[103 - 1].startswith("id:13:")
+    assert not any(spans[200 + i] for i in range(30))
+    new = Counter((i, s["start"], s["stop"]) for i, x in got.select("doc_id", "spans").collect() for s in x if s["kind"] == "id")
+    assert new == brute_discovery([*data, *EDGES])
     text = {r["doc_id"]: r["text"] for r in pii.redact(df, got).collect()}
-    assert text[101] == "again badge: [id] was seen" and text[3] == "employee badge: [email] joined"
+    assert text[305] == 'words5 of token = "[id]"### more of it' and text[3] == "employee badge: [email] joined"
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_discovery_equals_brute_force_on_random_words(spark, monkeypatch, few):
+    from fragmill.llm import common
+
+    monkeypatch.setattr(common, "FEW", few)
+    r = random.Random(8)
+    vocabulary = ["key", "=", "of", "the", "no.", "id", "a1", "b22", "c-3", "x@y", "u@v.org", "4111111111111111", "10.0.0.1"]
+    data = [(i, " ".join(r.choice([*vocabulary, f"n{r.randrange(30)}", f"m{r.randrange(9)}@h.org", f"10.1.1.{r.randrange(40)}"]) for _ in range(r.randint(0, 9))), None, None, 0) for i in range(400)]
+    got = pii.find(frame(spark, data))
+    assert Counter((i, s["start"], s["stop"]) for i, x in got.select("doc_id", "spans").collect() for s in x if s["kind"] == "id") == brute_discovery(data)
 
 
 # 6
