@@ -55,9 +55,18 @@ def staged(df: DataFrame, uri: str) -> DataFrame:
 
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
-    while name in df.columns:
-        name += "_"
-    return name
+    return own_names((name,), df.columns)[0]
+
+
+def own_names(names: tuple[str, ...], others: tuple[str, ...] | list[str]) -> list[str]:
+    """The names, each with as many underscores behind it as tell it from the others, in either case of letters."""
+    taken, out = {x.lower() for x in others}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Rows of a table that may be sent to every task, and copies of a larger one's rows that share a hot key's partners.

@@ -1,24 +1,27 @@
 """Operator 2: lines that many documents share, found with levelled sorted runs.
 
-Each batch of documents turns into line hashes. Those already known to be frequent are
-left out by a merge anti-join with the runs of frequent lines; the rest is counted by
-documents and added as a run of files sorted by hash. When a level has FAN runs, they
-are merged into one of the next level, and what has reached the threshold becomes a run
-of frequent lines.
+Runs are tables of line hashes in the shared folder, dealt by hash into the same number of
+files and sorted within them, so that Spark merges any two without a shuffle. A batch of
+documents turns into line hashes with counts of documents. A merge anti-join with the runs
+of frequent lines leaves out what is known to be frequent; merge joins with the other runs
+add what they have counted, which tells the lines that have become frequent; the batch is
+added as a run. Two runs of a level are compacted into one of the next.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import map_rows, remove_folder, shared_folder, staged, texts
+from fragmill.llm.common import join_few, map_rows, own_names, remove_folder, shared_folder, staged, texts
 
-FAN = 3
 #: What a one-off call deals the documents into.
 BATCHES = 4
 
@@ -34,102 +37,152 @@ def _hashes(k: bytes) -> tuple[int, int]:
 
 
 def line_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 1) -> DataFrame:
-    """doc_id, h1, h2: a row for each distinct key of each row's text, of at least least_chars code points."""
+    """doc_id, t (the text's hash), h1, h2: a row for each distinct key of each row's text, of at least least_chars code points."""
 
     def batch(b: pa.RecordBatch) -> dict:
-        ids, out = b.column(0).to_pylist(), ([], [], [])
-        for i, text in zip(ids, texts(b.column(1)), strict=True):
+        out: tuple[list, ...] = ([], [], [], [])
+        for i, text, t in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
             for k in {key(x) for x in text.split(b"\n")}:
                 if k and (least_chars <= 1 or len(k.decode()) >= least_chars):
-                    for column, value in zip(out, (i, *_hashes(k)), strict=True):
+                    for column, value in zip(out, (i, t, *_hashes(k)), strict=True):
                         column.append(value)
-        return {name: pa.array(x, pa.int64()) for name, x in zip(("doc_id", "h1", "h2"), out, strict=True)}
+        return {name: pa.array(x, pa.int64()) for name, x in zip(("doc_id", "t", "h1", "h2"), out, strict=True)}
 
-    return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], "doc_id long, h1 long, h2 long", batch)
+    return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _hash_of(text_col).alias("t")], "doc_id long, t long, h1 long, h2 long", batch)
+
+
+def _hash_of(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 class LineRuns:
-    """Counts of documents by line, kept as runs in the shared folder; only the runs' places are on the driver."""
+    """Counts of documents by line, kept as runs in the shared folder; only the runs' places are on the driver.
+
+    A run is a table h1, h2, n, total: n documents that its batches have, total with what had come before. Where the
+    total has reached min_docs the row belongs to the frequent lines, and later batches leave the line out.
+    """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fan: int = FAN):
-        self.spark, self.min_docs, self.fan = spark, min_docs, fan
+    #: Lets Spark rely on the order of a file that is all of its bucket.
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+    def __init__(self, spark: SparkSession, min_docs: int, buckets: int | None = None):
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = shared_folder(spark, "line_runs")
-        self.levels: dict[int, list[str]] = {}
-        self.frequent_runs: list[str] = []
+        self.rare: dict[int, list[str]] = {}
+        self.hot: dict[int, list[str]] = {}
+
+    @contextmanager
+    def _ordered(self) -> Iterator[None]:
+        before = self.spark.conf.get(self.ORDERED, None)
+        self.spark.conf.set(self.ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(self.ORDERED) if before is None else self.spark.conf.set(self.ORDERED, before)
 
     def _write(self, df: DataFrame) -> str:
-        uri = f"{self.folder}/run-{uuid.uuid4().hex}"
-        df.sortWithinPartitions("h1", "h2").write.parquet(uri)
-        return uri
+        """A run's name. Tasks must hold a bucket each, so that each bucket is one file."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name)
 
-    def _read(self, uris: list[str], schema: str = "h1 long, h2 long, n long") -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*uris)
+    def _names(self, levels: dict[int, list[str]]) -> list[str]:
+        return [x for found in levels.values() for x in found]
 
-    def _summed(self, uris: list[str]) -> DataFrame:
-        return self._read(uris).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _without_hot(self, df: DataFrame) -> DataFrame:
+        """df less the frequent lines: merge anti-joins with their runs."""
+        hot = [self._run(x).select("h1", "h2") for x in self._names(self.hot)]
+        return reduce(lambda d, h: d.join(h.hint("merge"), ["h1", "h2"], "left_anti"), hot, df)
 
     def add(self, keys: DataFrame) -> None:
-        """keys: line_keys() of a batch; a document must not be spread over batches."""
-        counted = keys.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        if self.frequent_runs:
-            known = self._read(self.frequent_runs, "h1 long, h2 long")
-            counted = counted.join(known.hint("merge"), ["h1", "h2"], "left_anti")
-        self.levels.setdefault(0, []).append(self._write(counted))
+        """keys(doc_id, h1, h2) of a batch; a document must not be spread over batches."""
+        counted = keys.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        dealt = counted.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
+        with self._ordered():
+            batch = self._write(dealt)
+            merged = self._without_hot(self._run(batch)).withColumn("total", F.col("n"))
+            for name in self._names(self.rare):
+                run = self._run(name).select("h1", "h2", F.col("n").alias("more"))
+                merged = merged.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("more")
+            whole = self._write(merged.select("h1", "h2", "n", "total"))
+            self._drop(batch)
+            frequent = F.col("total") >= self.min_docs
+            self.hot.setdefault(0, []).append(self._write(self._run(whole).where(frequent)))
+            self.rare.setdefault(0, []).append(self._write(self._run(whole).where(~frequent)))
+            self._drop(whole)
+            self._compact(self.hot)
+            self._compact(self.rare)
+
+    def _compact(self, levels: dict[int, list[str]]) -> None:
+        """Merges two runs of a level into one of the next, without lines that have become frequent meanwhile."""
         level = 0
-        while len(self.levels.get(level, ())) >= self.fan:
-            self._merge(level)
+        while len(levels.get(level, ())) > 1:
+            a, b = levels.pop(level)
+            side = lambda x, k: self._run(x).select("h1", "h2", F.col("n").alias(f"n{k}"), F.col("total").alias(f"total{k}"))
+            both = side(a, 1).join(side(b, 2).hint("merge"), ["h1", "h2"], "full")
+            added = lambda c: (F.coalesce(f"{c}1", F.lit(0)) + F.coalesce(f"{c}2", F.lit(0))).alias(c)
+            both = both.select("h1", "h2", added("n"), F.greatest("total1", "total2").alias("total"))
+            levels.setdefault(level + 1, []).append(self._write(both if levels is self.hot else self._without_hot(both)))
+            self._drop(a)
+            self._drop(b)
             level += 1
 
-    def _merge(self, level: int) -> None:
-        uris = self.levels.pop(level)
-        merged = self._write(self._summed(uris))
-        hot = self._read([merged]).where(F.col("n") >= self.min_docs).select("h1", "h2")
-        self.frequent_runs.append(self._write(hot))
-        self.levels.setdefault(level + 1, []).append(merged)
-        for uri in uris:
-            remove_folder(self.spark, uri)
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table {name}")
+        remove_folder(self.spark, f"{self.folder}/{name}")
 
     def frequent(self) -> DataFrame:
         """h1, h2 of the lines in min_docs documents or more, each once."""
-        uris = [u for level in self.levels.values() for u in level]
-        if not uris:
-            return self.spark.createDataFrame([], "h1 long, h2 long")
-        found = self._summed(uris).where(F.col("n") >= self.min_docs).select("h1", "h2")
-        if self.frequent_runs:
-            found = found.unionByName(self._read(self.frequent_runs, "h1 long, h2 long")).distinct()
-        return found
+        runs = [self._run(x).select("h1", "h2") for x in self._names(self.hot)]
+        return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], "h1 long, h2 long")
+
+    def close(self) -> None:
+        for name in [*self._names(self.rare), *self._names(self.hot)]:
+            self._drop(name)
+        self.rare, self.hot = {}, {}
 
 
 def drop_frequent(df: DataFrame, min_docs: int = 10, least_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), batches: int = BATCHES) -> DataFrame:
     """doc_id, text, n_lines, n_dropped of each row, and the columns in keep.
 
     A line whose key at least min_docs documents hold loses all its occurrences; the others stay, joined
-    by \\n. A null or empty text is one empty line, which stays; empty keys are never frequent. Rows with
-    the same id (null is an id too) are one document when lines are counted, and each is returned. Other
-    columns are left out.
+    by \\n. A null or empty text is one empty line, which stays; empty keys are never frequent. Texts of any length
+    are taken whole. Rows with the same id (null is an id too) are one document when lines are counted, and each
+    is returned, repeated ones as often as they came. An empty table stays empty. Other columns are left out; where
+    keep has a column n_lines or n_dropped, the operator's own gets underscores behind its name.
     """
     spark = df.sparkSession
     runs = LineRuns(spark, min_docs)
-    keys = staged(line_keys(df, id_col, text_col, least_chars), f"{runs.folder}/keys")
+    batch_of = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    line_keys(df, id_col, text_col, least_chars).withColumn("batch", batch_of).write.partitionBy("batch").parquet(f"{runs.folder}/keys")
+    keys = spark.read.schema("doc_id long, t long, h1 long, h2 long, batch int").parquet(f"{runs.folder}/keys")
     for i in range(batches):
-        runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+        runs.add(keys.where(F.col("batch") == i))
     frequent = staged(runs.frequent(), f"{runs.folder}/frequent")
-    dropped = keys.distinct().join(frequent, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")).withColumnRenamed("doc_id", "gone_id")
+    runs.close()
+    gone = join_few(keys.drop("batch"), frequent, ["h1", "h2"]).groupBy("doc_id", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    gone = gone.toDF("gone_id", "gone_t", "gone")
     kinds = dict(df.dtypes)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    rows = rows.join(dropped.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    rows = df.select(F.col(id_col).cast("long"), F.col(text_col), _hash_of(text_col), *keep)
+    rows = rows.toDF(*(f"c{i}" for i in range(3 + len(keep))))
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("c0").eqNullSafe(F.col("gone_id")) & (F.col("c2") == F.col("gone_t")), "left")
+    n_lines, n_dropped = own_names(("n_lines", "n_dropped"), keep)
 
     def batch(b: pa.RecordBatch) -> dict:
-        out, n_lines, n_dropped = [], [], []
+        out, all_lines, dropped = [], [], []
         for text, gone in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True):
             found = text.split(b"\n")
             gone = {(g["h1"], g["h2"]) for g in gone or ()}
             kept = [x for x in found if not (k := key(x)) or _hashes(k) not in gone] if gone else found
             out.append(b"\n".join(kept))
-            n_lines.append(len(found))
-            n_dropped.append(len(found) - len(kept))
-        base = {"doc_id": b.column(0), "text": pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+            all_lines.append(len(found))
+            dropped.append(len(found) - len(kept))
+        base = {"doc_id": b.column(0), "text": pa.array(out, pa.binary()).cast(pa.string()), n_lines: pa.array(all_lines, pa.int64()), n_dropped: pa.array(dropped, pa.int64())}
         return base | {k: b.column(3 + i) for i, k in enumerate(keep)}
 
-    schema = ", ".join(["doc_id long, text string, n_lines long, n_dropped long", *(f"`{k}` {kinds[k]}" for k in keep)])
-    return map_rows(rows, ["doc_id", "text", "gone", *keep], schema, batch)
+    schema = ", ".join([f"doc_id long, text string, {n_lines} long, {n_dropped} long", *(f"`{k}` {kinds[k]}" for k in keep)])
+    return map_rows(rows, ["c0", "c1", "gone", *(f"c{3 + i}" for i in range(len(keep)))], schema, batch)
