@@ -31,33 +31,39 @@ def _again(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose likeliest language has LEAST_LANGUAGE; learnt as operator 7's query does."""
+    """Documents with letters whose likeliest language has LEAST_LANGUAGE; learnt as operator 7's query does.
+
+    Null, empty and letterless texts go. Rows are judged one by one, so repeated rows and null ids stay or go alike.
+    """
     model = language.fit(docs, fold("doc_id", 4) != 2)
     keep = [c for c in docs.columns if c != "doc_id"]
     found = language.predict(docs, model, keep=tuple(keep))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    lang, score = (F.col(c) for c in found.columns[1:3])
+    return found.where((lang != "und") & (score >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that LINE_DOCS of them hold."""
+    """Documents without the lines that LINE_DOCS of them hold. Every row stays; a null text becomes an empty one."""
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     return _again(docs, lines.drop_frequent(docs, LINE_DOCS, keep=keep))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates. Rows without an id stay."""
+    """The document with the smallest id of each group of near-duplicates. Rows without an id, and texts without words, stay;
+    repeated rows of an id stay or go together."""
     found = neardup.link(docs, PERCENT, SHINGLE)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the kind of each identifier in its place."""
+    """Documents with the kind of each identifier in its place. Every row stays, null texts as they are."""
     return _again(docs, pii.redact(docs, pii.find(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences. A null or empty text is the end id alone; repeated
+    rows are packed each."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), most=250_000))
 
 

@@ -17,14 +17,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import bounded_sample, map_rows, resident
+from fragmill.llm.common import bounded_sample, map_rows, own_names, resident
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, and of signs such as fractions and Roman numerals, which letters() tells apart.
+WORDLIKE = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Labelled rows that a model is fitted on at most; a hash of the id chooses them.
 MAX_FIT = 4000
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters in a text."""
+    found = WORDLIKE.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for run in found for x in (run,) * run.isalpha() or "".join(c if c.isalpha() else " " for c in run).split()]
+
+
+def has_letter(text: str) -> bool:
+    first = WORDLIKE.search(text)
+    return first is not None and (first.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def _grams(word: str, n: int) -> list[str]:
     padded = f" {word} " if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -74,7 +88,7 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     grams: dict[int, dict[str, Counter]] = {n: defaultdict(Counter) for n in range(1, LONGEST + 1)}
     docs: Counter = Counter()
     for text, lang in rows:
-        found = LETTERS.findall(text.lower())
+        found = letters(text.lower())
         if found:
             words[lang].update(found)
             docs[lang] += 1
@@ -113,7 +127,7 @@ class Scorer:
         flat: list[int] = []
         owner, sizes = [], []
         for i, word in enumerate(words):
-            for piece in LETTERS.findall(word.lower()):
+            for piece in letters(word.lower()):
                 rows = self.model.rows(piece)
                 if rows:
                     flat += rows
@@ -153,21 +167,24 @@ class Scorer:
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred string, score double of each row's whole text, and the columns in keep.
 
-    A text that is null or has no letter, and every text under no model: `und`, 0.0. Of languages that
-    score alike the first by name counts. Rows are independent, whatever their other columns.
+    A text that is null, empty or has no letter, and every text under no model: `und`, 0.0. Of languages that
+    score alike the first by name counts. Texts of any length are taken whole. Rows are independent, repeated and
+    null ids too; an empty table stays empty. Where keep has a column lang_pred or score, the operator's own, which
+    are always the second and third, get underscores behind their names.
     """
     held, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by the fitted sample
     kinds, known = dict(df.dtypes), model is not None
+    lang_pred, score = own_names(("lang_pred", "score"), keep)
 
     def batch(b: pa.RecordBatch) -> dict:
         scorer = resident(("language", name), lambda: Scorer(held.value)) if known else None
         found = b.column(1).to_pylist()
-        fit_for = [i for i, t in enumerate(found) if t and scorer and LETTERS.search(t)]
+        fit_for = [i for i, t in enumerate(found) if t and scorer and has_letter(t)]
         got = [("und", 0.0)] * len(found)
         for i, g in zip(fit_for, scorer.scores([found[i] for i in fit_for]) if fit_for else [], strict=True):
             got[i] = g
-        out = {"doc_id": b.column(0), "lang_pred": pa.array([x for x, _ in got], pa.string()), "score": pa.array([s for _, s in got], pa.float64())}
+        out = {"doc_id": b.column(0), lang_pred: pa.array([x for x, _ in got], pa.string()), score: pa.array([s for _, s in got], pa.float64())}
         return out | {k: b.column(2 + i) for i, k in enumerate(keep)}
 
-    schema = ", ".join(["doc_id long, lang_pred string, score double", *(f"`{k}` {kinds[k]}" for k in keep)])
+    schema = ", ".join([f"doc_id long, {lang_pred} string, {score} double", *(f"`{k}` {kinds[k]}" for k in keep)])
     return map_rows(df, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep], schema, batch)
