@@ -4,11 +4,10 @@ Texts with equal shingle sets form a class, of which the smallest id goes on. Ba
 MinHash values deal the classes into buckets; each member of a bucket is paired with the
 bucket's smallest. A pair's similarity is estimated from odd sketches: one-permutation
 MinHash samples toggle bits of a bitmap, and the XOR's population count tells how many
-samples differ. For sets of up to FINE elements every element is its own sample, so the
-count of odd bits never exceeds the true difference and excludes a pair for certain.
-What the estimate leaves is confirmed on the full sets. Links become components; then
-buckets that still hold several components are compared across them, in blocks, so that
-no pair within a component and no group's square is ever listed.
+samples differ. What the estimate leaves is confirmed on the full sets. Links become
+components; then, in buckets that still hold several, the members outside the largest one
+are compared with all, in blocks, so that no pair within a component, no pair of the
+largest component's members and no group's square is ever listed.
 """
 
 from __future__ import annotations
@@ -22,18 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmill.llm.common import Hashes, map_rows, mix, resident, shared_folder, staged, texts
+from fragmill.llm.common import Hashes, join_few, map_rows, mix, resident, shared_folder, staged, texts
 
 #: MinHash values of a text, and the probability at most that all bands miss a pair at the threshold.
 HASHES, MISS = 120, 1e-6
 #: Bins of the samples (2^BIN_BITS) and bits of the sketch (2^SKETCH_BITS).
 BIN_BITS, SKETCH_BITS = 12, 11
-#: Elements of a set up to which its sketch holds them all.
-FINE = 1500
 #: Standard deviations of the estimate below the threshold at which a pair still goes on.
 SIGMAS = 5.5
 #: Members of a block when a bucket is compared across its components.
-BLOCK = 1024
+BLOCK = 256
+#: Copies from which a class counts as hot, if at least one row in HOT_PART has its text: so at most HOT_PART classes are.
+HOT, HOT_PART = 1000, 100_000
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,12 +80,10 @@ def _bitmap(samples: np.ndarray) -> bytes:
 
 
 def odd_sketch(s: np.ndarray) -> tuple[int, bytes]:
-    """Samples (the least hash of each bin that isn't empty) and two bitmaps: of all elements, up to FINE of them,
-    and of the samples, if the set could link with one above FINE; else zeros."""
+    """MinHash samples (the least hash of each bin that isn't empty) and the bitmap of their parities."""
     bins = s >> np.uint64(64 - BIN_BITS)
     samples = s[np.append(True, bins[1:] != bins[:-1])]
-    none = bytes((1 << SKETCH_BITS) // 8)
-    return len(samples), (_bitmap(s) if len(s) <= FINE else none) + (_bitmap(samples) if 2 * len(s) > FINE else none)
+    return len(samples), _bitmap(samples)
 
 
 def _filled(n: np.ndarray) -> np.ndarray:
@@ -98,18 +95,16 @@ def _filled(n: np.ndarray) -> np.ndarray:
 def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sets of na and nb elements, with ka and kb samples and such sketches, may be that similar (from 0.5).
 
-    Of sets with all elements in their sketches the odd bits are at most what differs, and at the threshold
-    that is (1 - t) / (1 + t) of both sizes. For others samples in common follow from odd bits. At the threshold
-    the samples of the union are a draw without replacement, which gives their mean and deviation; a pair goes
-    on unless it falls SIGMAS short.
+    Samples in common follow from odd bits. At the threshold the samples of the union are a draw without replacement,
+    which gives their mean and deviation; a pair goes on unless it falls SIGMAS short. Where the samples are all
+    elements of both sets nothing is drawn: odd bits are at most what differs, which at the threshold is
+    (1 - t) / (1 + t) of both sizes.
     """
     k, m = float(1 << BIN_BITS), float(1 << SKETCH_BITS)
-    half = sa.shape[1] // 2
-    both = np.bitwise_count(sa ^ sb)
-    fine = np.maximum(na, nb) <= FINE
-    ok = both[:, :half].sum(axis=1) * (1 + threshold) <= (na + nb) * (1 - threshold) + 1e-9
-    if not fine.all():
-        odd = both[:, half:].sum(axis=1)
+    odd = np.bitwise_count(sa ^ sb).sum(axis=1)
+    ok = odd * (1 + threshold) <= (na + nb) * (1 - threshold) + 1e-9
+    drawn_from = (ka < na) | (kb < nb)
+    if drawn_from.any():
         differ = np.log(np.maximum(1 - 2 * odd / m, 1e-6)) / np.log1p(-2 / m)
         common = (ka + kb - differ) / 2
         union = (na + nb) / (1 + threshold)
@@ -120,7 +115,7 @@ def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, sa:
         d = 2 * (1 - threshold) * drawn
         noise = m / 4 * -np.expm1(-4 * d / m) - d * np.exp(-4 * d / m)
         spread = spread + np.maximum(noise, 0) / np.exp(-4 * d / m) / 4 + 1
-        ok = np.where(fine, ok, common >= threshold * drawn - SIGMAS * np.sqrt(spread))
+        ok = np.where(drawn_from, common >= threshold * drawn - SIGMAS * np.sqrt(spread), ok)
     return ok & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
 
 
@@ -153,7 +148,7 @@ def sketches(df: DataFrame, width: int = 3, threshold: float = 0.85, id_col: str
 
 
 def _words64(sketch: pa.Array | list) -> np.ndarray:
-    return np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, 2 * (1 << SKETCH_BITS) // 64)
+    return np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, (1 << SKETCH_BITS) // 64)
 
 
 def _plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
@@ -187,24 +182,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(joined, ["a", "b", "items_a", "items_b"], "a long, b long", batch)
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """members once for each group i, j of their bucket that needs them: as strays, members outside the bucket's largest
+    component, in block i of the strays, and as others in block j of all. So a bucket's rows are its members times the
+    blocks of its strays, and its strays times its blocks."""
+    spot = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / F.lit(BLOCK)) - 1).cast("int")))
+    stray = F.col("comp") != F.col("main")
+    marked = members.withColumn("stray", stray)
+    others = marked.withColumn("first", F.lit(False)).withColumn("j", spot("size")).withColumn("i", every("strays"))
+    strays = marked.where("stray").withColumn("first", F.lit(True)).withColumn("i", spot("strays")).withColumn("j", every("size"))
+    return others.unionByName(strays).drop("size", "strays", "main")
+
+
 def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs a, b of members(band, bucket, lead, size, rep, comp, n, k, sketch, bands) in one bucket
+    """Plausible pairs a, b of members(band, bucket, lead, size, strays, main, rep, comp, n, k, sketch, bands) in one bucket
     but different components, each in the first band that the two share, without pairs that hold the lead."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks", "size")
-    names = ["band", "bucket", "i", "j", "lead", "rep", "comp", "n", "k", "mine"]
+    names = ["band", "bucket", "i", "j", "first", "stray", "lead", "rep", "comp", "n", "k"]
 
     def compare(v: dict[str, np.ndarray], band: int, sketch: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Pairs of a group's members (at: their places, by rep)."""
-        first, second = (at, at) if v["i"][at[0]] == v["j"][at[0]] else (at[v["mine"][at] == v["i"][at[0]]], at[v["mine"][at] == v["j"][at[0]]])
+        """Pairs of a group's strays and others (at: their places). Of two strays the smaller stands first."""
+        first, second = at[v["first"][at]], at[~v["first"][at]]
         found = []
         for part in range(0, len(first), 128):
             x = first[part : part + 128]
             near = v["comp"][x][:, None] != v["comp"][second][None, :]
-            if first is second:
-                near &= v["rep"][x][:, None] < v["rep"][second][None, :]
+            near &= ~v["stray"][second][None, :] | (v["rep"][x][:, None] < v["rep"][second][None, :])
             for k in range(band):
                 near &= v["bands"][x, k][:, None] != v["bands"][second, k][None, :]
             p, q = np.nonzero(near)
@@ -227,7 +230,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
             if not held:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            v = {n: t[n].to_numpy() for n in names}
+            v = {n: np.asarray(t[n].to_numpy()) for n in names}
             new = np.append(True, np.any([v[c][1:] != v[c][:-1] for c in names[:4]], axis=0))
             starts = np.append(np.flatnonzero(new), len(new))
             last = len(starts) - 1 if batch is None else len(starts) - 2
@@ -243,7 +246,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
             both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
 
-    dealt = dealt.select(*names, "bands", "sketch").repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "rep")
+    dealt = _dealt(members).select(*names, "bands", "sketch").repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "rep")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -251,7 +254,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     """node, comp: the least node that edges a, b connect each of their nodes with.
 
     Large and small stars in turn: each node hands its larger, then its other neighbours to the least one.
-    Each round is written to the shared folder; a round that changes nothing ends it.
+    Each round is written to the shared folder; a round that changes nothing ends it. Rounds grow with the logarithm
+    of the nodes, so a hundred without an end are an error.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/edges-0")
     before = None
@@ -268,6 +272,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError("the components have not settled")
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
@@ -275,8 +281,9 @@ def link(df: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id
     """doc_id, n_shingles, component_id, kept of each row.
 
     Words are runs without ASCII white space, A-Z in lower case; a set holds the distinct shingles of `width`
-    words, of a shorter text its words as one. Ids are taken to be unique: of several texts under one id the
-    first in byte order of its set stands for it in comparisons. Texts link if 100 * intersection >= percent * union. A null, empty
+    words, of a shorter text its words as one; long texts are taken whole. Ids are taken to be unique: of several
+    texts under one id the first in byte order of its set stands for it in comparisons, and all rows of an id are
+    kept or not by the class of their own text. Texts link if 100 * intersection >= percent * union. A null, empty
     or blank text has an empty set, links with nothing and is kept. Rows with equal texts link, also with the
     same id; a null id gives a null component unless a link gives another, and is then not kept. Other columns
     are left out.
@@ -285,8 +292,8 @@ def link(df: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id
     folder = shared_folder(spark, "neardup")
     rows = staged(sketches(df, width, threshold, id_col, text_col), f"{folder}/sketches")
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    firsts = full.groupBy("s1", "s2").agg(F.min_by(F.struct("n_shingles", "bands", "k", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
-    classes = staged(firsts.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n"), "x.bands", "x.k", "x.sketch"), f"{folder}/classes")
+    firsts = full.groupBy("s1", "s2").agg(F.min_by(F.struct("n_shingles", "bands", "k", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = staged(firsts.select("rep", "s1", "s2", "copies", F.col("x.n_shingles").alias("n"), "x.bands", "x.k", "x.sketch"), f"{folder}/classes")
 
     spread = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     leads = spread.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -308,14 +315,24 @@ def link(df: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id
     links = staged(_confirmed(pairs, sets, percent), f"{folder}/links")
 
     comp = components(links, f"{folder}/first")
-    members = multi.join(comp, F.col("rep") == F.col("node"), "left").select(*multi.columns, F.coalesce("comp", "rep").alias("comp"))
-    mixed = members.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "bucket")
-    members = members.join(mixed, ["band", "bucket"], "left_semi").join(classes.select("rep", "n", "k", "sketch", "bands"), "rep")
+    members = multi.join(comp, F.col("rep") == F.col("node"), "left").select("band", "bucket", "lead", "rep", F.coalesce("comp", "rep").alias("comp"))
+    kinds = members.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = kinds.groupBy("band", "bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = staged(mixed.select("band", "bucket", "size", (F.col("size") - F.col("top.c")).alias("strays"), F.col("top.comp").alias("main")), f"{folder}/mixed")
+    members = join_few(members, mixed, ["band", "bucket"]).join(classes.select("rep", "n", "k", "sketch", "bands"), "rep")
     more = staged(_across(members, threshold), f"{folder}/across")
     links = links.unionByName(staged(_confirmed(more, sets, percent), f"{folder}/more"))
 
     comp = staged(components(links, f"{folder}/second"), f"{folder}/components")
-    known = classes.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("comp", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").join(known, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    known = classes.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "copies", "rep", F.coalesce("comp", "rep").alias("component"))
+    known = staged(known.where("copies > 1 or component <> rep").drop("rep"), f"{folder}/known")  # other rows are their own
+    least = max(HOT, rows.count() // HOT_PART)
+    hot = F.broadcast(known.where(F.col("copies") >= least).drop("copies"))
+    cold = known.where(F.col("copies") < least).drop("copies")
+    same = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
+    some, none = rows.where("s1 is not null").select("doc_id", "n_shingles", "s1", "s2"), F.lit(None).cast("long").alias("component")
+    out = some.join(hot, same).select("doc_id", "n_shingles", "component")
+    out = out.unionByName(some.join(hot, same, "left_anti").join(cold, same, "left").select("doc_id", "n_shingles", "component"))
+    out = out.unionByName(rows.where("s1 is null").select("doc_id", "n_shingles", none))
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

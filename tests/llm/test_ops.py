@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -138,6 +139,62 @@ def test_broken_boxes_raise():
         media.probe(media.mux(media.padded(b"x"))[:-10])
 
 
+def chunks_by_hand(made):
+    """An independent reader: finds the tables by their names and adds chunk after chunk."""
+    table = lambda name: made.index(name) + 8  # noqa: E731  past name, version and flags
+    number = lambda at: int.from_bytes(made[at : at + 4], "big")
+    at = table(b"stsz")
+    sizes = [number(at)] * number(at + 4) if number(at) else [number(at + 8 + 4 * i) for i in range(number(at + 4))]
+    at = table(b"stsc")
+    runs = [(number(at + 4 + 12 * i), number(at + 8 + 12 * i)) for i in range(number(at))]
+    at = table(b"stco")
+    out, k = [], 0
+    for c in range(number(at)):
+        start = number(at + 4 + 4 * c)
+        for _ in range(next(n for first, n in reversed(runs) if first <= c + 1)):
+            out.append(made[start : start + sizes[k]])
+            start, k = start + sizes[k], k + 1
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 64, 1024, 16 * 1024, 16 * 1024 + 64, 100_000])
+def test_an_independent_reader_agrees(n):
+    full = media.padded(random.Random(n).randbytes(n).replace(b"st", b"  "))
+    made = media.mux(full)
+    samples = chunks_by_hand(made)
+    (track,) = media.probe(made)
+    assert b"".join(samples) == full and [len(x) for x in samples] == track.sizes.tolist()
+
+
+def test_compact_sizes():
+    """stz2 instead of stsz: the tables lie behind the samples, so that only the outer boxes' sizes change."""
+    made = media.mux(media.padded(b"x" * 900))
+    at = made.index(b"stsz") - 4
+    for bits, data in ((8, bytes([255])), (16, (960).to_bytes(2, "big")), (4, bytes([0x80]))):
+        box = b"stz2" + bytes(4) + bytes([0, 0, 0, bits]) + (1).to_bytes(4, "big") + data
+        new = bytearray(made[:at] + (len(box) + 4).to_bytes(4, "big") + box + made[at + int.from_bytes(made[at : at + 4], "big") :])
+        for name in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            k = new.index(name) - 4
+            new[k : k + 4] = (int.from_bytes(new[k : k + 4], "big") + len(new) - len(made)).to_bytes(4, "big")
+        (track,) = media.probe(bytes(new))
+        assert track.sizes.tolist() == [{8: 255, 16: 960, 4: 8}[bits]]
+
+
+def test_media_that_is_broken(spark):
+    good = media.mux(media.padded(b"x" * 5000))
+    r = random.Random(5)
+    bad = [b"", b"junk", good[:-10], good[:40], good.replace(b"stco", b"free"), good.replace(b"trak", b"free"), bytes(r.randbytes(300))]
+    for _ in range(200):
+        x = bytearray(good)
+        for _ in range(3):
+            x[r.randrange(len(x) - 700, len(x))] = r.randrange(256)
+        bad.append(bytes(x))
+    rows = spark.createDataFrame([(i, 5, x) for i, x in enumerate([good, None, *bad])], "doc_id long, n_bytes long, media binary")
+    got = sorted(media.columns(rows).collect(), key=lambda r: r["doc_id"])
+    assert got[0]["broken"] is None and len(got[0]["payload"]) == 5056 and got[1]["broken"] is None and got[1]["payload"] is None
+    assert all(x["broken"] and x["codec"] is None and x["payload"] is None for x in got[2:9])
+
+
 def test_media_rows(spark):
     data = [*EDGES, (8, LONG, None, None, 0)]
     got = media.columns(media.store(frame(spark, data))).collect()
@@ -475,6 +532,18 @@ def test_blocks_cover_a_bucket(spark, monkeypatch):
     assert rows_of(neardup.link(frame(spark, data), 85, 3), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(data, 85, 3)
 
 
+def test_a_stray_in_a_large_bucket_costs_a_row_for_each_member(spark):
+    for n in (1000, 4000):
+        members = spark.range(n).selectExpr("0 band", "7L bucket", "0L lead", "id rep", f"if(id = {n - 1}, id, 0L) comp", f"{n}L size", "1L strays", "0L main")
+        assert neardup._dealt(members).count() == n + -(-n // neardup.BLOCK)
+
+
+def test_hot_classes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 5)
+    data = [(i, f"copy {i % 3 if i % 2 else 0} of one text with some words", None, None, 0) for i in range(30)] + [*EDGES]
+    assert rows_of(neardup.link(frame(spark, data), 85, 3), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(data, 85, 3)
+
+
 def test_no_rows_and_no_words(spark):
     assert neardup.link(empty(spark)).count() == 0
     assert all(r["kept"] for r in neardup.link(frame(spark, EDGES[:3])).collect())
@@ -482,8 +551,8 @@ def test_no_rows_and_no_words(spark):
 
 def test_small_sketches_never_exclude_a_link():
     r = np.random.default_rng(3)
-    for n in (5, 60, 900, 1500, 4000):
-        for _ in range(30):
+    for n in (5, 20, 60, 200, 900, 1500, 4000, 20_000):
+        for _ in range(60):
             u = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
             drop = int(0.15 * len(u)) // 2
             a, b = u[drop:], u[: len(u) - drop]
@@ -534,8 +603,25 @@ def brute_lm(train, texts):
         yield len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([" ", *w], w, strict=False))
 
 
-def test_lm_equals_brute_force(spark, monkeypatch):
+def test_counts_beyond_32_bits(tmp_path):
+    big = (1 << 33) + 5
+    u, v, n = np.array([1, 1, 2], np.uint64), np.array([2, 3, 3], np.uint64), np.array([big, 1, 7])
+    t = pa.Table.from_batches([lm._dealt(u, v, n, np.zeros(3, np.int64))])
+    assert lm._bigrams(pa.concat_tables([t, t]))[2].tolist() == [2 * big, 2, 14]
+    out = lm._merge(t, str(tmp_path), 1, 1)
+    assert out["figures"].to_pylist()[-1] == [big + 8, 3, 1, 0, 0, 0]
+    lm._merge_words(out.slice(0, 1), str(tmp_path))
+    model = lm.Model(str(tmp_path), 1, (), big + 8, 2, 3, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 0.5)
+    found = lm.Scorer(model)._find("words", np.array([1, 2, 3], np.uint64), np.zeros(3, np.int64), 6)
+    assert found[:, 0].tolist() == [0, big, 8] and found[:, 2].tolist() == [big + 1, 7, 0]
+    assert lm.Scorer(model)._find("bigrams", lm._bigram_key(u, v), np.zeros(3, np.int64), 1)[:, 0].tolist() == [big, 1, 7]
+
+
+@pytest.mark.parametrize("fan_out", [256, 2])
+def test_lm_equals_brute_force(spark, monkeypatch, fan_out):
     monkeypatch.setattr(lm, "SHARD_BYTES", 500)
+    monkeypatch.setattr(lm, "FAN_OUT", fan_out)
+    monkeypatch.setattr(lm, "MAPS", 5)
     data = [*[x for x in EDGES if x[0] is not None], *prose(80), (8, LONG, None, None, 0)]
     df = frame(spark, data)
     model = lm.fit(df, F.col("doc_id") % 4 != 0)
