@@ -11,7 +11,7 @@ may outgrow memory. The files lie in the shared folder, which must be mounted.
 from __future__ import annotations
 
 import os
-from collections import Counter
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,6 +28,10 @@ from fragmill.llm.common import Hashes, bounded_sample, map_rows, mix, resident,
 
 #: Bytes of training text for each shard, and tokens that a task counts at a time.
 SHARD_BYTES, FLUSH = 32 << 20, 4_000_000
+#: Shards that a task writes to at most; beyond it, to groups of shards, which are dealt again. Tasks that deal a group.
+FAN_OUT, DEALERS = 256, 64
+#: Pairs of files that a worker keeps mapped.
+MAPS = 4096
 #: Documents that are sampled, only to spread frequent first words.
 SAMPLE = 500
 #: Words hold no white space, so these hashes are free for the start and the end of a text.
@@ -41,12 +45,18 @@ def tokens(text: bytes) -> np.ndarray:
     return np.append(resident("hashes", Hashes).of(text.lower().split()), END)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit, else in 64."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    x = _narrow(x)
+    return x.dtype.char.encode() + zstandard.compress(x.tobytes(), 1)
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), data[:1].decode()).astype(np.int64)
 
 
 def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,24 +129,48 @@ def _local(uri: str) -> str:
     return unquote(at.path) if at.scheme else uri
 
 
-def _count(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows shard, u, each (bigrams by u), v, n: arrays of a task's distinct bigrams."""
+BIGRAMS = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("u", "each", "v", "n"))])
+WORDS = pa.schema([("shard", pa.int32()), ("w", pa.binary()), ("counts", pa.list_(pa.binary())), ("figures", pa.list_(pa.int64()))])
+
+
+def _dealt(u: np.ndarray, v: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row for each place in `at` of distinct bigrams in order: its bigrams by first word."""
+    order = np.argsort(at, kind="stable")
+    places, starts = np.unique(at[order], return_index=True)
+    rows = []
+    for k, some in zip(places.tolist(), np.split(order, starts[1:]), strict=True):
+        firsts = np.flatnonzero(np.append(True, u[some][1:] != u[some][:-1]))
+        rows.append({"shard": k, "u": u[some][firsts].tobytes(), "each": _pack(np.diff(np.append(firsts, len(some)))), "v": v[some].tobytes(), "n": _pack(n[some])})
+    return pa.RecordBatch.from_pylist(rows, schema=BIGRAMS)
+
+
+def _bigrams(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams in order with their counts."""
+    u = np.concatenate([np.repeat(np.frombuffer(a, _U), _unpack(k)) for a, k in zip(t.column("u").to_pylist(), t.column("each").to_pylist(), strict=True)])
+    v = np.concatenate([np.frombuffer(x, _U) for x in t.column("v").to_pylist()])
+    return _pairs(u, v, np.concatenate([_unpack(x) for x in t.column("n").to_pylist()]))
+
+
+def _dealt_words(w: np.ndarray, sums: list[np.ndarray], at: np.ndarray) -> list[dict]:
+    order = np.argsort(at, kind="stable")
+    places, starts = np.unique(at[order], return_index=True)
+    return [{"shard": k, "w": w[some].tobytes(), "counts": [_pack(s[some]) for s in sums], "figures": None} for k, some in zip(places.tolist(), np.split(order, starts[1:]), strict=True)]
+
+
+def _words(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    counts = t.column("counts").to_pylist()
+    return _summed(np.concatenate([np.frombuffer(x, _U) for x in t.column("w").to_pylist()]), *(np.concatenate([_unpack(c[i]) for c in counts]) for i in range(6)))
+
+
+def _count(batches: Iterator[pa.RecordBatch], shards: int, per: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows shard, u, each (bigrams by u), v, n: arrays of a task's distinct bigrams; per: shards of a group."""
     held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
         v = np.concatenate(held)
         u = np.concatenate([np.append(START, x[:-1]) for x in held])
         u, v, n = _pairs(u, v, np.ones(len(u), np.int64))
-        at = _shard(u, v, hot, shards)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(shards + 1))
-        rows = []
-        for k in range(shards):
-            some = order[cuts[k] : cuts[k + 1]]
-            if len(some):
-                firsts = np.flatnonzero(np.append(True, u[some][1:] != u[some][:-1]))
-                rows.append((k, u[some][firsts].tobytes(), _pack(np.diff(np.append(firsts, len(some))).astype(np.uint32)), v[some].tobytes(), _pack(n[some].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["shard", "u", "each", "v", "n"])
+        return _dealt(u, v, n, _shard(u, v, hot, shards) // per)
 
     total = 0
     for b in batches:
@@ -151,40 +185,49 @@ def _count(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> I
         yield flush()
 
 
-def _merge(table: pa.Table, folder: str, shards: int) -> pa.Table:
+def _deal_again(batches: Iterator[pa.RecordBatch], key: str, split) -> Iterator[pa.RecordBatch]:
+    """Rows of groups of shards, sorted by group, as rows of shards: `split` takes up to about FLUSH entries of one group."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1)
+            if held and (total >= FLUSH or held[0].column("shard")[0] != row.column("shard")[0]):
+                yield split(pa.Table.from_batches(held))
+                held, total = [], 0
+            held.append(row)
+            total += len(row.column(key)[0].as_py()) // 8
+    if held:
+        yield split(pa.Table.from_batches(held))
+
+
+def _merge(table: pa.Table, folder: str, shards: int, per: int) -> pa.Table:
     """Writes a shard's bigrams; rows word shard, w, counts (six arrays in a row each) and the shard's figures."""
     shard = table["shard"][0].as_py()
-    u = np.concatenate([np.repeat(np.frombuffer(a, _U), _unpack(k, np.uint32)) for a, k in zip(table["u"].to_pylist(), table["each"].to_pylist(), strict=True)])
-    v = np.concatenate([np.frombuffer(x, _U) for x in table["v"].to_pylist()])
-    n = np.concatenate([_unpack(x, np.uint32) for x in table["n"].to_pylist()]).astype(np.int64)
-    u, v, n = _pairs(u, v, n)
+    u, v, n = _bigrams(table)
     key = _bigram_key(u, v)
     order = np.argsort(key)
-    _save(folder, f"bigrams-{shard}", key[order], n[order].astype(np.uint32))
+    _save(folder, f"bigrams-{shard}", key[order], _narrow(n[order]))
     ones = np.ones(len(n), np.int64)
     first = _summed(u, n, n == 1, n == 2, n > 2)
     second = _summed(v, n, ones)
     zero = lambda x, k: [np.zeros(len(x[0]), np.int64)] * k
     columns = [np.concatenate([a, b]) for a, b in zip([second[0], second[1], second[2], *zero(second, 4)], [first[0], *zero(first, 2), *first[1:]], strict=True)]
     w, *sums = _summed(columns[0], *columns[1:])
-    at = (w >> _U(33)) % _U(shards)
     of = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-    rows = []
-    for k in range(shards):
-        some = at == _U(k)
-        if some.any():
-            rows.append({"shard": k, "w": w[some].tobytes(), "counts": [_pack(s[some].astype(np.uint32)) for s in sums], "figures": None})
+    rows = _dealt_words(w, sums, _word_shard(w, shards) // per)
     rows.append({"shard": -1, "w": None, "counts": None, "figures": [int(n.sum()), len(n), *of]})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("w", pa.binary()), ("counts", pa.list_(pa.binary())), ("figures", pa.list_(pa.int64()))]))
+    return pa.Table.from_pylist(rows, schema=WORDS)
+
+
+def _word_shard(w: np.ndarray, shards: int) -> np.ndarray:
+    return ((w >> _U(33)) % _U(shards)).astype(np.int64)
 
 
 def _merge_words(table: pa.Table, folder: str) -> pa.Table:
     """Writes a shard's words: as a token, as a continuation, as a context; returns its figures."""
-    shard = table["shard"][0].as_py()
-    w = np.concatenate([np.frombuffer(x, _U) for x in table["w"].to_pylist()])
-    counts = table["counts"].to_pylist()
-    w, *sums = _summed(w, *(np.concatenate([_unpack(c[i], np.uint32) for c in counts]) for i in range(6)))
-    _save(folder, f"words-{shard}", w, np.column_stack(sums).astype(np.uint32))
+    w, *sums = _words(table)
+    _save(folder, f"words-{table['shard'][0].as_py()}", w, _narrow(np.column_stack(sums).ravel()).reshape(-1, 6))
     cont = sums[1]
     return pa.table({"words": [int((sums[0] > 0).sum())], **{f"c{k}": [int((cont == k).sum())] for k in (1, 2, 3, 4)}, "more": [int((cont > 2).sum())]})
 
@@ -202,14 +245,32 @@ def fit(df: DataFrame, where: Column | None = None, id_col: str = "doc_id", text
     hot = tuple(h for h, k in seen.items() if k * 2 * shards >= sum(seen.values()))
     hot_words = np.array(hot, _U)
 
-    counted = train.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _count(b, shards, hot_words), "shard int, u binary, each binary, v binary, n binary")
-    schema = "shard int, w binary, counts array<binary>, figures array<long>"
-    merged = counted.groupBy("shard").applyInArrow(lambda t: _merge(t, folder, shards), schema)
+    groups = shards if shards <= FAN_OUT else int(np.ceil(shards**0.5))
+    per = -(-shards // groups)
+    kind, schema = "shard int, u binary, each binary, v binary, n binary", "shard int, w binary, counts array<binary>, figures array<long>"
+
+    def fine(df: DataFrame, schema: str, key: str, split) -> DataFrame:
+        """Rows by shard of rows by group of shards."""
+        if per == 1:
+            return df
+        dealer = F.pmod(F.xxhash64(key), F.lit(DEALERS))
+        return df.repartition("shard", dealer).sortWithinPartitions("shard").mapInArrow(lambda b: _deal_again(b, key, split), schema)
+
+    def split_bigrams(t: pa.Table) -> pa.RecordBatch:
+        u, v, n = _bigrams(t)
+        return _dealt(u, v, n, _shard(u, v, hot_words, shards))
+
+    def split_words(t: pa.Table) -> pa.RecordBatch:
+        w, *sums = _words(t)
+        return pa.RecordBatch.from_pylist(_dealt_words(w, sums, _word_shard(w, shards)), schema=WORDS)
+
+    counted = train.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _count(b, shards, per, hot_words), kind)
+    merged = fine(counted, kind, "v", split_bigrams).groupBy("shard").applyInArrow(lambda t: _merge(t, folder, shards, per), schema)
     merged.write.parquet(f"{uri}/merged")
     merged = spark.read.schema(schema).parquet(f"{uri}/merged")
     total = merged.where("shard = -1").agg(*(F.sum(F.get("figures", F.lit(i))) for i in range(6))).first()
     n_tokens, n_bigrams, *of = (x or 0 for x in total)
-    words = merged.where("shard >= 0").select("shard", "w", "counts").groupBy("shard").applyInArrow(lambda t: _merge_words(t, folder), "words long, c1 long, c2 long, c3 long, c4 long, more long")
+    words = fine(merged.where("shard >= 0"), schema, "w", split_words).select("shard", "w", "counts").groupBy("shard").applyInArrow(lambda t: _merge_words(t, folder), "words long, c1 long, c2 long, c3 long, c4 long, more long")
     n_words, *cont, more = (x or 0 for x in words.agg(*(F.sum(c) for c in ("words", "c1", "c2", "c3", "c4", "more"))).first())
     base = discounts(cont)
     rest = (base[0] * cont[0] + base[1] * cont[1] + base[2] * more) / n_bigrams if n_bigrams else 1.0
@@ -222,14 +283,16 @@ def _discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.m, self.open, self.hot = model, {}, np.array(model.hot, _U)
+        self.m, self.open, self.hot = model, OrderedDict(), np.array(model.hot, _U)
 
     def _shard(self, kind: str, k: int) -> list[np.ndarray] | None:
-        found = self.open.get((kind, k), ())
-        if found == ():
+        if (kind, k) not in self.open:
             paths = [f"{self.m.folder}/{kind}-{k}.{i}.npy" for i in range(2)]
-            found = self.open[kind, k] = [np.load(p, mmap_mode="r") for p in paths] if os.path.exists(paths[1]) else None
-        return found
+            self.open[kind, k] = [np.load(p, mmap_mode="r") for p in paths] if os.path.exists(paths[1]) else None
+            if len(self.open) > MAPS:
+                self.open.popitem(last=False)
+        self.open.move_to_end((kind, k))
+        return self.open[kind, k]
 
     def _find(self, kind: str, keys: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         """The values of each key, 0 where it is unknown; each shard is read in the order of its keys."""
@@ -257,7 +320,7 @@ class Scorer:
         u[1:] = v[:-1]
         u[starts] = START
         w, at = np.unique(np.append(v, START), return_inverse=True)
-        word = self._find("words", w, ((w >> _U(33)) % _U(m.shards)).astype(np.int64), 6)
+        word = self._find("words", w, _word_shard(w, m.shards), 6)
         of_v = at[:-1]
         of_u = np.empty_like(of_v)
         of_u[1:] = of_v[:-1]
