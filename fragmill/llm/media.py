@@ -9,7 +9,6 @@ It reads no sample. payload() joins the samples' bytes by those tables.
 from __future__ import annotations
 
 import struct
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,26 +143,52 @@ def probe(media: bytes) -> list[Track]:
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", media, at + 4)
             tracks[-1]["sizes"] = np.full(n, each, np.int64) if each else _u4(media, at + 12, n)
+        elif kind == b"stz2":
+            bits, n = media[at + 7], struct.unpack_from(">I", media, at + 8)[0]
+            tracks[-1]["sizes"] = _nibbles(media, at + 12, n) if bits == 4 else _u4(media, at + 12, n, bits // 8)
         elif kind == b"stss":
             tracks[-1]["keys"] = _u4(media, at + 8, struct.unpack_from(">I", media, at + 4)[0])
         elif kind == b"stsc":
             tracks[-1]["runs"] = _u4(media, at + 8, 3 * struct.unpack_from(">I", media, at + 4)[0]).reshape(-1, 3)
         elif kind in (b"stco", b"co64"):
             tracks[-1]["chunks"] = _u4(media, at + 8, struct.unpack_from(">I", media, at + 4)[0], 4 if kind == b"stco" else 8)
-    return [_track(x) for x in tracks]
+    return [_track(x, len(media)) for x in tracks]
 
 
-def _track(x: dict) -> Track:
+def _nibbles(media: bytes, at: int, n: int) -> np.ndarray:
+    both = np.frombuffer(media, np.uint8, -(-n // 2), at).astype(np.int64)
+    return np.column_stack([both >> 4, both & 15]).ravel()[:n]
+
+
+def _track(x: dict, end: int) -> Track:
+    """A track from its tables; ValueError unless they agree with each other and with the file's length."""
+    if missing := {"sizes", "chunks", "runs", "codec", "time"} - set(x):
+        raise ValueError(f"a track has no {', '.join(sorted(missing))}")
     sizes, chunks, runs = x["sizes"], x["chunks"], x["runs"]
+    if len(runs) and (runs[0, 0] != 1 or (np.diff(np.append(runs[:, 0], len(chunks) + 1)) < 0).any()):
+        raise ValueError("the chunks' runs are out of order")
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
     which = np.repeat(np.arange(len(chunks)), per)
+    if len(which) != len(sizes):
+        raise ValueError("the chunks don't hold the samples")
     before = np.cumsum(sizes) - sizes
     firsts = np.cumsum(per) - per
     offsets = chunks[which] + before - before[firsts][which]
     keys = np.arange(1, len(sizes) + 1) if x["keys"] is None else x["keys"]
+    if len(sizes) and ((offsets + sizes).max() > end or (len(keys) and not 1 <= keys.min() <= keys.max() <= len(sizes))):
+        raise ValueError("samples lie outside the file")
     return Track(x["codec"], *x["time"], sizes, offsets, keys)
 
 
+def checked(media: bytes) -> tuple[Track | None, str | None]:
+    """The first track, or what is wrong with the container."""
+    try:
+        tracks = probe(media)
+    except (ValueError, IndexError, struct.error) as e:
+        return None, str(e) or type(e).__name__
+    return (tracks[0], None) if tracks else (None, "no track")
+
+
 def payload(media: bytes, track: Track) -> bytes:
     ends = track.offsets + track.sizes
     new = np.flatnonzero(np.append(True, track.offsets[1:] != ends[:-1]))
@@ -171,7 +196,10 @@ def payload(media: bytes, track: Track) -> bytes:
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes long, media binary of each row's whole text as UTF-8 (null: empty). Rows are independent."""
+    """doc_id, n_bytes long, media binary of each row's whole text as UTF-8 (null: empty), however long.
+
+    Rows are independent, repeated and null ids too; equal texts give equal media. Other columns are left out.
+    """
 
     def batch(b: pa.RecordBatch) -> dict:
         data = texts(b.column(1))
@@ -181,16 +209,19 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def columns(df: DataFrame) -> DataFrame:
-    """store()'s rows with codec, timescale, duration, n_samples, key_ranges and the payload read back.
+    """store()'s rows with codec, timescale, duration, n_samples, key_ranges and the payload read back, and broken.
 
-    A null media gives nulls; several tracks: the first counts.
+    A null media gives nulls. So does one that is malformed, whose samples lie outside it or that has no track, and
+    broken says why. Of several tracks the first counts. Edit lists and movie fragments are not read. Rows are
+    independent; other columns are left out; an empty table stays empty.
     """
-    schema = "doc_id long, n_bytes long, media binary, codec string, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,stop:long>>, payload binary"
+    schema = "doc_id long, n_bytes long, media binary, codec string, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,stop:long>>, payload binary, broken string"
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def batch(b: pa.RecordBatch) -> dict:
         media = b.column(2).to_pylist()
-        tracks = [probe(x)[0] if x is not None else None for x in media]
+        found = [checked(x) if x is not None else (None, None) for x in media]
+        tracks = [t for t, _ in found]
         pick = lambda f, kind: pa.array([None if t is None else f(t) for t in tracks], kind)
         return {
             "doc_id": b.column(0),
@@ -202,10 +233,7 @@ def columns(df: DataFrame) -> DataFrame:
             "n_samples": pick(lambda t: len(t.sizes), pa.int64()),
             "key_ranges": pick(lambda t: [{"start": a, "stop": z} for a, z in t.key_ranges()], ranges),
             "payload": pa.array([None if t is None else payload(m, t) for m, t in zip(media, tracks, strict=True)], pa.binary()),
+            "broken": pa.array([why for _, why in found], pa.string()),
         }
 
     return map_rows(df, ["doc_id", "n_bytes", "media"], schema, batch)
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
