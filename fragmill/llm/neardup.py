@@ -95,15 +95,17 @@ def _filled(n: np.ndarray) -> np.ndarray:
 def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, sa: np.ndarray, sb: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sets of na and nb elements, with ka and kb samples and such sketches, may be that similar (from 0.5).
 
-    Samples in common follow from odd bits. At the threshold the samples of the union are a draw without replacement,
-    which gives their mean and deviation; a pair goes on unless it falls SIGMAS short. Where the samples are all
-    elements of both sets nothing is drawn: odd bits are at most what differs, which at the threshold is
-    (1 - t) / (1 + t) of both sizes.
+    Odd bits are at most the samples in one set alone. Those are at most the elements in one set alone, which at the
+    threshold are (1 - t) / (1 + t) of both sizes, and the elements that no bin kept: a bin's two samples differ only if
+    one of them lies in one set alone, and the other does too unless it was not kept. Beside this bound, which holds for
+    certain, samples in common are estimated from odd bits: at the threshold the samples of the union are a draw without
+    replacement, which gives their mean and deviation, and a pair goes on unless it falls SIGMAS short.
     """
     k, m = float(1 << BIN_BITS), float(1 << SKETCH_BITS)
     odd = np.bitwise_count(sa ^ sb).sum(axis=1)
-    ok = odd * (1 + threshold) <= (na + nb) * (1 - threshold) + 1e-9
-    drawn_from = (ka < na) | (kb < nb)
+    lost = (na - ka) + (nb - kb)
+    ok = odd <= (na + nb) * (1 - threshold) / (1 + threshold) + lost + 1e-9
+    drawn_from = lost > 0
     if drawn_from.any():
         differ = np.log(np.maximum(1 - 2 * odd / m, 1e-6)) / np.log1p(-2 / m)
         common = (ka + kb - differ) / 2
@@ -115,7 +117,7 @@ def may_link(na: np.ndarray, nb: np.ndarray, ka: np.ndarray, kb: np.ndarray, sa:
         d = 2 * (1 - threshold) * drawn
         noise = m / 4 * -np.expm1(-4 * d / m) - d * np.exp(-4 * d / m)
         spread = spread + np.maximum(noise, 0) / np.exp(-4 * d / m) / 4 + 1
-        ok = np.where(drawn_from, common >= threshold * drawn - SIGMAS * np.sqrt(spread), ok)
+        ok &= ~drawn_from | (common >= threshold * drawn - SIGMAS * np.sqrt(spread))
     return ok & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
 
 
