@@ -1,10 +1,9 @@
-"""Sequence kernels in numpy and plain Python, for use inside Arrow functions.
-
-Each takes one read; the DataFrame operators call them batch by batch.
-"""
+"""Sequence kernels in numpy, for use inside Arrow functions. Those named in the plural take many reads at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Codes of bases; any other character is 4.
@@ -20,7 +19,7 @@ def revcomp(s: str) -> str:
 
 
 def hash64(x: np.ndarray, bits: int) -> np.ndarray:
-    """An invertible mix of numbers of so many bits."""
+    """An invertible mix of numbers of so many bits. The shifts are fixed values."""
     u, mask = np.uint64, np.uint64((1 << bits) - 1)
     x = (~x + (x << u(21))) & mask
     x = x ^ (x >> u(24))
@@ -31,114 +30,150 @@ def hash64(x: np.ndarray, bits: int) -> np.ndarray:
     return (x + (x << u(31))) & mask
 
 
+#: k-mers that minimizers() has in memory at a time.
+PIECE = 1 << 20
+
+
 def _packed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed k-mers that end at each place from k - 1 on, forward and reverse-complemented."""
-    windows = np.lib.stride_tricks.sliding_window_view(np.minimum(codes, 3).astype(np.uint64), k)
-    weights = np.uint64(4) ** np.arange(k, dtype=np.uint64)
-    return windows @ weights[::-1], (np.uint64(3) - windows) @ weights
+    u, n = np.uint64, len(codes) - k + 1
+    known = np.minimum(codes, 3).astype(u)
+    fwd, rev = np.zeros(n, u), np.zeros(n, u)
+    for i in range(k):
+        base = known[i : i + n]
+        fwd = (fwd << u(2)) | base
+        rev |= (u(3) - base) << u(2 * i)
+    return fwd, rev
 
 
-def minimizers(seq: str, k: int, w: int) -> list[tuple[int, int, int]]:
-    """(hash, place of the k-mer's last base, strand): the k-mers that are least in a window of w, in order.
+def minimizer_pieces(seq: str, k: int, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, place of the k-mer's last base, strand) of the k-mers that are least in a window of w, piece by piece.
 
     Of equal ones all count. A window lies within known bases and holds w k-mers that differ from their reverse
     complement, which has no strand and takes no place; the sequence's last places give their least k-mer even
-    if they don't fill a window.
+    if they don't fill a window. The last w k-mers of a piece go into the next one's windows.
     """
-    codes = _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
-    if len(codes) < k:
-        return []
-    fwd, rev = _packed(codes, k)
-    known = np.lib.stride_tricks.sliding_window_view(codes < 4, k).all(axis=1)
-    keep = ~known | (fwd != rev)
-    hf, hr = hash64(fwd[keep], 2 * k), hash64(rev[keep], 2 * k)
-    strand = (hf >= hr).astype(np.int64)
     none = np.uint64((1 << 64) - 1)
-    key = np.where(known[keep], hash64(np.minimum(hf, hr), 2 * k), none)
-    place = np.flatnonzero(keep) + k - 1
-    chosen = np.zeros(len(key), bool)
-    if len(key) >= w:
-        windows = np.lib.stride_tricks.sliding_window_view(key, w)
-        least = windows.min(axis=1)
-        full = (windows != none).all(axis=1)
-        rows, cols = np.nonzero((windows == least[:, None]) & full[:, None])
-        chosen[rows + cols] = True
-    tail = key[-w:]
-    if len(tail) and tail.min() != none:
-        chosen[len(key) - 1 - int(np.argmin(tail[::-1]))] = True
-    at = np.flatnonzero(chosen)
-    return list(zip(key[at].astype(np.int64).tolist(), place[at].tolist(), strand[at].tolist(), strict=True))
+    key, place, strand, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for start in range(0, len(seq) - k + 1, PIECE):
+        codes = _CODE[np.frombuffer(seq[start : start + PIECE + k - 1].encode("latin-1", "replace"), np.uint8)]
+        fwd, rev = _packed(codes, k)
+        unknown = np.cumsum(np.append(0, codes > 3))
+        known = unknown[k:] == unknown[:-k]
+        keep = ~known | (fwd != rev)
+        hf, hr = hash64(fwd[keep], 2 * k), hash64(rev[keep], 2 * k)
+        key = np.append(key, np.where(known[keep], hash64(np.minimum(hf, hr), 2 * k), none))
+        place = np.append(place, np.flatnonzero(keep) + start + k - 1)
+        strand = np.append(strand, (hf >= hr).astype(np.int64))
+        told = np.append(told, np.zeros(len(hf), bool))
+        chosen = np.zeros(len(key), bool)
+        if len(key) >= w:
+            n = len(key) - w + 1
+            least, most = key[:n].copy(), key[:n].copy()
+            for i in range(1, w):
+                least, most = np.minimum(least, key[i : i + n]), np.maximum(most, key[i : i + n])
+            least[most == none] = none
+            for i in range(w):
+                chosen[i : i + n] |= (key[i : i + n] == least) & (least != none)
+        new = chosen & ~told
+        yield key[new], place[new], strand[new]
+        told |= chosen
+        key, place, strand, told = key[-w:], place[-w:], strand[-w:], told[-w:]
+    if len(key) and key.min() != none:
+        last = len(key) - 1 - int(np.argmin(key[::-1]))
+        if not told[last]:
+            yield key[last : last + 1], place[last : last + 1], strand[last : last + 1]
+
+
+def minimizers(seq: str, k: int, w: int) -> list[tuple[int, int, int]]:
+    """All of minimizer_pieces() in the order of their places."""
+    pieces = list(minimizer_pieces(seq, k, w))
+    if not pieces:
+        return []
+    key, place, strand = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    order = np.argsort(place)
+    return list(zip(key[order].astype(np.int64).tolist(), place[order].tolist(), strand[order].tolist(), strict=True))
 
 
 def cluster_hits(at: np.ndarray, n_minimizers: int, errors: int, least: int) -> list[tuple[int, int]]:
     """(place, support) of clusters of sorted hit places of one reference and strand.
 
-    A hit beyond `errors` of the one before starts a cluster, and so does one beyond `errors` of the cluster's
-    best place once the cluster has as many hits as the read has minimizers. A cluster's place is the one that
-    most hits share; clusters of fewer than `least` hits go.
+    Gaps wider than `errors` part the hits. Within a part, a cluster's place is the first of those that most hits
+    share so far; it closes before a hit more than `errors` beyond that place once it has as many hits as the read has
+    minimizers. Clusters of fewer than `least` hits go.
     """
     out: list[tuple[int, int]] = []
-    size = 0
-    for p in at.tolist():
-        if size and (p > before + errors or (size >= n_minimizers and p > place + errors)):
-            if size >= least:
-                out.append((place, support))
-            size = 0
-        if not size:
-            place, support, same = p, 1, 1
-        elif p == place:
-            same, support = same + 1, support + 1
-        elif p == before:
-            same += 1
-            if same > support:
-                place, support = p, same
-        else:
-            same = 1
-        size, before = size + 1, p
-    if size >= least and size:
-        out.append((place, support))
+    for part in np.split(at, np.flatnonzero(np.diff(at) > errors) + 1):
+        while len(part):
+            index = np.arange(len(part))
+            firsts = np.append(True, part[1:] != part[:-1])
+            run = index + 1 - np.maximum.accumulate(np.where(firsts, index, 0))
+            highest = np.maximum.accumulate(run)
+            leads = np.append(True, highest[1:] > highest[:-1])
+            place = part[np.maximum.accumulate(np.where(leads, index, 0))]
+            beyond = np.flatnonzero((index[1:] >= n_minimizers) & (part[1:] > place[:-1] + errors))
+            n = int(beyond[0]) + 1 if len(beyond) else len(part)
+            if n >= least:
+                out.append((int(place[n - 1]), int(highest[n - 1])))
+            part = part[n:]
     return out
 
 
-def banded_distance(pattern: str, text: str, errors: int) -> tuple[int, int]:
-    """(edits, end): least edits of text against a stretch of pattern that starts and stays within a band of
-    2 * errors + 1 diagonals, and where it ends in pattern; of equal ends the band's middle wins, then the first.
+def banded_distances(patterns: list[str], texts: list[str], errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, ends): least edits of each text against a stretch of its pattern that starts and stays within a band of
+    2 * errors + 1 diagonals, and where it ends in the pattern; of equal ends the band's middle wins, then the first.
 
-    A row of the table is a vector over the diagonals: a base more in the pattern moves right along it, which a
-    running minimum of cost minus place does at once. If the first diagonal passes 3 * errors the read counts as
-    errors + 1 edits.
+    All texts of one length move through their tables together. A row of a table is a vector over the diagonals: a
+    base more in the pattern moves right along it, which a running minimum of cost minus place does at once. Where
+    the first diagonal passes 3 * errors the text counts as errors + 1 edits.
     """
-    width = 2 * errors + 1
-    p, t = np.array(_codes(pattern)), _codes(text)
-    steps, far = np.arange(width), np.array([1 << 20])
-    cost = np.zeros(width, np.int64)
-    for i, c in enumerate(t):
-        cost = np.minimum(cost + (p[i : i + width] != c), np.append(cost[1:], far) + 1)
-        cost = np.minimum.accumulate(cost - steps) + steps
-        if cost[0] > 3 * errors:
-            return errors + 1, -1
-    best = int(cost.min())
-    at = errors if cost[errors] == best else int(cost.argmin())
-    return best, len(t) - 1 + at
+    width, far = 2 * errors + 1, 1 << 20
+    steps = np.arange(width)
+    edits, ends = np.full(len(texts), errors + 1), np.full(len(texts), -1)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    for n in np.unique(lengths).tolist():
+        some = np.flatnonzero(lengths == n)
+        t = _coded([texts[i] for i in some], n)
+        p = _coded([patterns[i][: n + 2 * errors] for i in some], n + 2 * errors)
+        cost, gone = np.zeros((len(some), width), np.int64), np.zeros(len(some), bool)
+        for i in range(n):
+            less = np.column_stack([cost[:, 1:], np.full(len(some), far)]) + 1
+            cost = np.minimum(cost + (p[:, i : i + width] != t[:, i : i + 1]), less)
+            cost = np.minimum.accumulate(cost - steps, axis=1) + steps
+            gone |= cost[:, 0] > 3 * errors
+        best = cost.min(axis=1)
+        end = np.where(cost[:, errors] == best, errors, cost.argmin(axis=1))
+        edits[some] = np.where(gone, errors + 1, best)
+        ends[some] = np.where(gone, -1, n - 1 + end)
+    return edits, ends
+
+
+def banded_distance(pattern: str, text: str, errors: int) -> tuple[int, int]:
+    edits, ends = banded_distances([pattern], [text], errors)
+    return int(edits[0]), int(ends[0])
 
 
-def _codes(s: str) -> list[int]:
-    return _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)].tolist()
+def _coded(seqs: list[str], n: int) -> np.ndarray:
+    return _CODE[np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8)].reshape(-1, n)
 
 
 def align(pattern: str, text: str, match: int = 1, mismatch: int = 4, open_: int = 6, extend: int = 1) -> tuple[int, int, list[tuple[int, str]]]:
-    """(score, start in pattern, CIGAR) of all of text against a free stretch of pattern, affine gaps."""
+    """(score, start in pattern, CIGAR) of all of text against a free stretch of pattern, affine gaps.
+
+    A row of the tables is a vector over the pattern. A gap along it starts at a cell that it didn't reach itself, so
+    a running maximum finds the best start for every cell.
+    """
     n, m, low = len(text), len(pattern), -(10**9)
     h = np.full((n + 1, m + 1), low, np.int64)
     e, f = h.copy(), h.copy()
     h[0] = 0
-    for i in range(1, n + 1):
+    letters, along = np.frombuffer(pattern.encode("latin-1", "replace"), np.uint8), extend * np.arange(m + 1)
+    for i, c in enumerate(text.encode("latin-1", "replace"), 1):
         f[i] = np.maximum(f[i - 1], h[i - 1] - open_) - extend  # text base against nothing
-        diagonal = h[i - 1, :-1] + np.where(np.frombuffer(pattern.encode(), np.uint8) == ord(text[i - 1]), match, -mismatch)
-        h[i, 0] = f[i, 0]
-        for j in range(1, m + 1):
-            e[i, j] = max(e[i, j - 1], h[i, j - 1] - open_) - extend
-            h[i, j] = max(diagonal[j - 1], f[i, j], e[i, j])
+        here = f[i].copy()
+        here[1:] = np.maximum(here[1:], h[i - 1, :-1] + np.where(letters == c, match, -mismatch))
+        e[i, 1:] = np.maximum.accumulate(here + along)[:-1] - open_ - along[1:]
+        h[i] = np.maximum(here, e[i])
     j = int(h[n].argmax())
     i, ops, score, state = n, [], int(h[n, j]), "M"
     while i:
@@ -196,24 +231,23 @@ def matches(cigar: list[tuple[int, str]], ref: str, read: str) -> int:
 def overlap_trim(read1: str, read2: str, least: int = 30) -> tuple[int, int]:
     """Lengths to which a pair is cut where the mates overlap, so that what follows is adapter.
 
-    The shorter read's first or second stretch of least // 2 bases is looked up in the other's reverse
-    complement; an overlap of `least` or more with at most one mismatch counts. Without one, nothing is cut.
+    The shorter read is laid along the other's reverse complement. Of the shifts that leave `least` bases and have one
+    mismatch at most, those that match in the first least // 2 bases come first, then the smallest. What the overlap
+    covers stays; without one, nothing is cut.
     """
-    short, back = (read1, revcomp(read2)) if len(read1) <= len(read2) else (read2, revcomp(read1))
-    half = least // 2
-    for nth in range(2):
-        seed = short[nth * half : (nth + 1) * half]
-        at = back.find(seed) if len(seed) == half else -1
-        while at >= 0:
-            start = at - nth * half
-            if start >= 0 and len(back) - start >= least:
-                differ = sum(x != y for x, y in zip(back[start:], short, strict=False))
-                if differ <= 1:
-                    length, extra = len(back) - start, 0
-                    if length > len(short):
-                        extra, length = length - len(short), len(short)
-                    return (length, length + extra) if len(read1) <= len(read2) else (length + extra, length)
-            at = back.find(seed, at + 1)
+    swapped = len(read1) > len(read2)
+    short, back = (read2, revcomp(read1)) if swapped else (read1, revcomp(read2))
+    half, shifts = least // 2, np.arange(max(0, len(back) - least + 1))
+    if len(shifts) and len(short) >= half:
+        s, b = (np.frombuffer(x.encode("latin-1", "replace"), np.uint8) for x in (short, back))
+        laid = np.lib.stride_tricks.sliding_window_view(np.append(b, np.zeros(len(s), np.uint8)), len(s))[shifts]
+        differ = (laid != s) & (shifts[:, None] + np.arange(len(s)) < len(b))
+        late = differ[:, :half].any(axis=1)
+        fits = (differ.sum(axis=1) <= 1) & (~late | (len(s) >= 2 * half))
+        if fits.any():
+            shift = int(np.lexsort((shifts, late, ~fits))[0])
+            cut = min(len(short), len(back) - shift), len(back) - shift
+            return cut[::-1] if swapped else cut
     return len(read1), len(read2)
 
 

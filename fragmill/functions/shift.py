@@ -17,3 +17,10 @@ def tn5_single(frags: DataFrame, forward: int = 4, reverse: int = -5) -> DataFra
     """dir 1 (the plus strand): start moves by forward; else the length changes by reverse."""
     plus = F.col("dir") == 1
     return frags.withColumns({"start": F.when(plus, F.col("start") + forward).otherwise(F.col("start")), "len": F.when(plus, F.col("len")).otherwise(F.col("len") + reverse)})
+
+
+def for_output(frags: DataFrame, output: str, paired: bool = True, forward: int = 4, reverse: int = -5) -> DataFrame:
+    """Shifted for formats of fragments; SAM, BAM and pairs, which keep alignments, as they are."""
+    if output in ("sam", "bam", "pairs"):
+        return frags
+    return (tn5_pairs if paired else tn5_single)(frags, forward, reverse)

@@ -100,9 +100,12 @@ def translate(reads: DataFrame, table: DataFrame, segments: int = 1) -> DataFram
 
 
 def number_first_seen(df: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
-    """key and its 0-based number in the order of first appearance: a row for each distinct key is ranked."""
+    """key and its 0-based number in the order of first appearance: a row for each distinct key is ranked, by ranges."""
+    from fragmill.operators.gather import rank
+
     firsts = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    return firsts.select(key, (F.row_number().over(Window.orderBy("_first", key)) - 1).alias(out))
+    ranked = rank(firsts, [*(F.col(f"_first.{c}") for c in order), F.col(key)])
+    return ranked.select(key, (F.col("rank") - 1).cast("int").alias(out))
 
 
 def whitelist_fingerprint(whitelist: DataFrame) -> DataFrame:

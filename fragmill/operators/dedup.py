@@ -87,3 +87,25 @@ def allocate_multi(frags: DataFrame, distance: int = 0, seed: int = 11, unique_m
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("read_id")), F.col("total"))
     picked = summed.where((F.col("upto") > draw) & (F.col("upto") - F.col("weight") <= draw)).select(*keys)
     return unique.unionByName(multi.dropDuplicates(keys).join(picked, keys, "left_semi"))
+
+
+def _by(rows: DataFrame, key: dict, order: list, cap: int) -> DataFrame:
+    """The last row of each group in the order given, with the group's size."""
+    names = [f"_{c}" for c in key]
+    keyed = rows.withColumns(dict(zip(names, key.values(), strict=True)))
+    last = F.max(F.struct(*(F.col(c) if isinstance(c, str) else c for c in order), *(F.col(c).alias(f"r{i}") for i, c in enumerate(rows.columns)))).alias("b")
+    out = keyed.groupBy(*names).agg(last, F.least(F.lit(cap), F.count(F.lit(1))).alias("num_dups"))
+    return out.select(*(F.col(f"b.r{i}").alias(c) for i, c in enumerate(rows.columns)), "num_dups")
+
+
+def dedup_sam(rows: DataFrame, cap: int = MAX_DUPS) -> DataFrame:
+    """Alignments (read_id, tid, pos, bc, flag, mtid, mpos, mapq, ...) with num_dups: one of those with equal places of
+    read and mate, barcode and mate number. Of a group the highest quality stays, then the highest read."""
+    first = F.col("flag").bitwiseAND(64).alias("f")
+    return _by(rows, {c: F.col(c) for c in ("tid", "pos", "bc", "mtid", "mpos")} | {"read1": first}, ["mapq", "read_id"], cap)
+
+
+def dedup_pairs(rows: DataFrame, cap: int = 127) -> DataFrame:
+    """Contacts (read_id, rid1, pos1, rid2, pos2, mapq, ...) with num_dups: one of those with the same two places,
+    whatever their strands and barcodes. Counts have seven bits."""
+    return _by(rows, {c: F.col(c) for c in ("rid1", "rid2", "pos1", "pos2")}, ["mapq", "read_id"], cap)

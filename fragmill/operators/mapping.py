@@ -15,8 +15,16 @@ def minimizers(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "read_id"
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, *m) for i, s in zip(pdf["id"], pdf["seq"], strict=True) for m in kernels.minimizers(s or "", k, w)]
-            yield pd.DataFrame(rows, columns=["id", "hash", "pos", "strand"])
+            held, n = [], 0
+            for i, s in zip(pdf["id"], pdf["seq"], strict=True):
+                for key, place, strand in kernels.minimizer_pieces(s or "", k, w):
+                    held.append(pd.DataFrame({"id": i, "hash": key.astype(np.int64), "pos": place, "strand": strand}))
+                    n += len(key)
+                    if n >= kernels.PIECE // 4:
+                        yield pd.concat(held)
+                        held, n = [], 0
+            if held:
+                yield pd.concat(held)
 
     return seqs.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).mapInPandas(run, "id long, hash long, pos int, strand int")
 
@@ -72,6 +80,24 @@ def candidates(hits: DataFrame, n_minimizers: DataFrame, errors: int = 8, least:
     return rows.groupBy("id").applyInPandas(run, "id long, same int, rid long, at long, count int")
 
 
+def in_order(cands: DataFrame) -> DataFrame:
+    """Adds nth to candidates (id, same, rid, at, count) of each read: most support first, then by place."""
+    w = Window.partitionBy("id").orderBy(F.desc("count"), "rid", "at", "same")
+    return cands.withColumn("nth", F.row_number().over(w))
+
+
+def merge_candidates(a: DataFrame, b: DataFrame, errors: int = 8) -> DataFrame:
+    """Two lists of candidates (id, same, rid, at, count) as one: from the smallest place on, each that lies more than
+    `errors` beyond the last one kept. Of two at a place the larger count stays. A read's candidates are few, so they
+    meet in an array; nothing leaves the JVM."""
+    both = a.unionByName(b).groupBy("id", "same", "rid", "at").agg(F.max("count").alias("count"))
+    lists = both.groupBy("id", "same", "rid").agg(F.array_sort(F.collect_list(F.struct("at", "count"))).alias("c"))
+    none = F.array().cast("array<struct<at:bigint,count:int>>")
+    apart = lambda kept, x: F.when((F.size(kept) == 0) | (x["at"] > F.element_at(kept, -1)["at"] + errors), F.concat(kept, F.array(x))).otherwise(kept)
+    lists = lists.withColumn("c", F.col("c").cast("array<struct<at:bigint,count:int>>"))
+    return lists.select("id", "same", "rid", F.inline(F.aggregate("c", none, apart)))
+
+
 def rescue_ranges(best: DataFrame, reach: int = 2000) -> DataFrame:
     """read_id, rid, start, stop: where a mate may lie, within reach of the other's best candidates, merged."""
     order = Window.partitionBy("read_id", "rid").orderBy("start", "stop")
@@ -110,8 +136,7 @@ def verify(cands: DataFrame, errors: int = 8) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            got = [kernels.banded_distance(p, s, errors) for p, s in zip(pdf["pattern"], pdf["seq"], strict=True)]
-            pdf["err"], pdf["end"] = [g[0] for g in got], [g[1] for g in got]
+            pdf["err"], pdf["end"] = kernels.banded_distances(pdf["pattern"].tolist(), pdf["seq"].tolist(), errors)
             yield pdf[pdf["err"] <= errors]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in cands.dtypes) + ", err int, end int"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmill.operators.barcode import number_first_seen
+from fragmill.operators.gather import rank
 from fragmill.operators.intervals import bins, overlap_join
 
 
@@ -24,5 +25,5 @@ def cell_by_peak(frags: DataFrame, peaks: DataFrame, bin_size: int = 200) -> Dat
 def numbered(counts: DataFrame, frags: DataFrame, feature: str = "peak_id") -> DataFrame:
     """bc_idx, feat_idx, n with 0-based numbers: barcodes as first seen in the fragments' order, features by id."""
     cells = number_first_seen(frags, "bc", ["chrom", "start", "len", "bc"], "bc_idx")
-    feats = counts.select(feature).distinct().withColumn("feat_idx", F.row_number().over(Window.orderBy(feature)) - 1)
+    feats = rank(counts.select(feature).distinct(), [F.col(feature)]).select(feature, (F.col("rank") - 1).cast("int").alias("feat_idx"))
     return counts.join(cells, "bc").join(feats, feature).select("bc_idx", "feat_idx", "n")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmill.functions import kernels
+from fragmill.operators.barcode import small
 from fragmill.operators.intervals import overlap_join, pileup, regions, step_merge
 from fragmill.plans.lineage import cut
 
@@ -61,8 +62,8 @@ def scored(steps: DataFrame) -> DataFrame:
             yield pdf.assign(ppois=kernels.log10_poisson_tail(pdf["treat"].to_numpy(), pdf["lam"].to_numpy()).round(5))
 
     steps = cut(steps)
-    pairs = steps.select("treat", "lam").distinct().mapInPandas(run, "treat double, lam double, ppois double")
-    return steps.join(pairs, ["treat", "lam"])
+    pairs = cut(steps.select("treat", "lam").distinct().mapInPandas(run, "treat double, lam double, ppois double"))
+    return steps.join(small(pairs), ["treat", "lam"])  # most of a genome may have one pair
 
 
 def q_values(steps: DataFrame, score: str = "ppois") -> DataFrame:
@@ -77,8 +78,8 @@ def q_values(steps: DataFrame, score: str = "ppois") -> DataFrame:
     ranked = by.crossJoin(F.broadcast(total)).withColumn("rank", F.sum("bases").over(down.rowsBetween(Window.unboundedPreceding, -1)))
     raw = F.col("p") + F.log10((F.coalesce("rank", F.lit(0)) + 1) / F.col("total"))
     q = ranked.withColumn("raw", raw).withColumn("q", F.min("raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    q = q.select("p", F.round(F.greatest("q", F.lit(0.0)), 5).alias("qscore"))
-    return steps.join(q, F.col(score) == F.col("p")).drop("p")
+    q = cut(q.select("p", F.round(F.greatest("q", F.lit(0.0)), 5).alias("qscore")))
+    return steps.join(small(q), F.col(score) == F.col("p")).drop("p")
 
 
 def call(frags: DataFrame, p: float | None = P_VALUE, q: float | None = None, least: int = MIN_LENGTH, gap: int = MAX_GAP, genome: int = GENOME, local: int = LOCAL) -> DataFrame:
@@ -108,6 +109,18 @@ def cut_sites(frags: DataFrame, shift: int = -100, extend: int = 200) -> DataFra
     return out.withColumn("start", F.greatest("start", F.lit(0)).cast("bigint"))
 
 
+def bed_profile(frags: DataFrame, cells: DataFrame | None = None, q: float = 0.05, genome: int = 2_700_000_000, shift: int = -100, extend: int = 200) -> DataFrame:
+    """call() over cut sites of frags(chrom, start, stop, count, bc), of the barcodes in cells(bc) where given."""
+    chosen = frags if cells is None else frags.join(small(cells.select("bc").distinct()), "bc", "left_semi")
+    return call(cut_sites(chosen, shift, extend).where("stop > start"), p=None, q=q, genome=genome)
+
+
+def parameters(spark, **settings: object) -> DataFrame:
+    """key, value rows that say how peaks were called: the settings given and the fixed values, for write_tsv."""
+    known = {"genome": GENOME, "local": LOCAL, "min_length": MIN_LENGTH, "max_gap": MAX_GAP} | settings
+    return spark.createDataFrame([(k, "" if v is None else f"{v:.10g}" if isinstance(v, float) else str(v)) for k, v in known.items()], "key string, value string")
+
+
 def binned_cuts(frags: DataFrame, size: int = 50, extend: int = 150) -> DataFrame:
     """chrom, bin, n: windows of `extend` around both ends by the bins that they touch."""
     half = extend // 2

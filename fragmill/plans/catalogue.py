@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fragmill.functions import mapq, sam, seq, shift
 from fragmill.operators import barcode, dedup, gather, intervals, mapping, matrix, peaks, qc
 from fragmill.plans.fixtures import table, with_all
-from fragmill.sources import formats
+from fragmill.sources import fastx, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -271,15 +271,23 @@ def whitelist_fingerprint(spark, d):
 
 # Counts by barcode
 
-_QC = _DEDUP + ", u as (select *, case when dir = 1 then num_dups else 0 end as cachehit from cell), wl as (select range as bc from range(0, 16, 2))\n"
-_QC_ROWS = """, c as (select case when bc in (select bc from wl) then cast(bc as varchar) else 'non-whitelist' end as bc, sum(num_dups)::bigint as total,
-  sum(case when mapq < 30 then 0 else num_dups - 1 end)::bigint as dup, sum(num_dups)::bigint as mapped, sum(case when mapq < 30 then num_dups else 0 end)::bigint as lowmapq, sum(cachehit)::bigint as cachehit from u group by 1)
+_QC = _PE + f""", placed as (select * from frag_pe where mapq > 0),
+cell as (select * from (select *, row_number() over (partition by chrom, start, len, bc order by {_LAST}) as r,
+                least(255, count(*) over (partition by chrom, start, len, bc)) as num_dups from placed) where r = 1),
+u as (select *, case when dir = 1 then num_dups else 0 end as cachehit from cell), wl as (select range as bc from range(0, 16, 2))
+"""
+_QC_ROWS = """, lab as (select *, case when bc in (select bc from wl) then cast(bc as varchar) else 'non-whitelist' end as name from u),
+n as (select case when bc in (select bc from wl) then cast(bc as varchar) else 'non-whitelist' end as name, count(*) as total from frag_pe group by 1),
+c as (select name as bc, any_value(n.total)::bigint as total, sum(case when mapq < 30 then 0 else num_dups - 1 end)::bigint as dup, sum(num_dups)::bigint as mapped,
+  sum(case when mapq < 30 then num_dups else 0 end)::bigint as lowmapq, sum(cachehit)::bigint as cachehit from lab join n using (name) group by name)
 """
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    frags = _cells(spark, d).withColumn("cachehit", F.when(F.col("dir") == 1, F.col("num_dups")).otherwise(0))
-    return qc.summary(frags, spark.range(0, 16, 2).withColumnRenamed("id", "bc"))
+    """Pairs of no quality count as read but not mapped."""
+    reads = table(spark, d, "frag_pe")
+    frags = dedup.dedup(reads.where("mapq > 0")).withColumn("cachehit", F.when(F.col("dir") == 1, F.col("num_dups")).otherwise(0))
+    return qc.summary(frags, spark.range(0, 16, 2).withColumnRenamed("id", "bc"), reads)
 
 
 @query(_QC + _QC_ROWS + "select * from c")
@@ -770,11 +778,12 @@ def step_agreement(spark, d):
 
 # Lanes
 
-@query(with_all("frag_pe", "barcodes") + "select f.read_id, f.chrom, b.bc, b.qual from frag_pe f join barcodes b on b.event_id = f.read_id")
+@query(with_all("barcodes") + "select event_id % 3 as lane, event_id as read_id, 'r' || cast(event_id as varchar) as name, true_bc as seq, bc as seq2, qual as qual2 from barcodes")
 def lane_zip(spark, d):
-    """Reads and barcodes of a lane by ordinal."""
-    bc = table(spark, d, "barcodes").select(F.col("event_id").alias("read_id"), "bc", "qual")
-    return table(spark, d, "frag_pe").select("read_id", "chrom").join(bc, "read_id")
+    """Reads and barcodes of three lanes, by lane and number, under one name."""
+    b = table(spark, d, "barcodes").withColumns({"lane": F.col("event_id") % 3, "name": F.concat(F.lit("r"), F.col("event_id").cast("string"))})
+    side = lambda seq: b.select("lane", F.col("event_id").alias("read_id"), "name", F.col(seq).alias("seq"), "qual")
+    return fastx.zip_lanes(side("true_bc"), side("bc"), names=True).drop("qual")
 
 
 @query(_PE + "select lane, chrom, count(*) as n from (select 0 as lane, * from frag_pe where bc < 8 union all select 1, * from frag_pe where bc >= 8) group by lane, chrom")
@@ -784,13 +793,14 @@ def lane_union(spark, d):
     return both.groupBy("lane", "chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select 0 as only_left, 0 as only_right")
+@query(_PE + """, a as (select chrom, start, len from frag_pe where bc < 9), b as (select chrom, start, len from frag_pe where bc >= 7)
+select (select count(*) from (select * from a except all select * from b)) as only_left, (select count(*) from (select * from b except all select * from a)) as only_right""")
 def multiset_equality(spark, d):
-    """The dedup of one partitioning against that of another, as multisets."""
-    a = _cells(spark, d)
-    b = dedup.dedup(table(spark, d, "frag_pe").repartition(7, "read_id")).select(*a.columns)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).cast("int").alias(name))
-    return n(a.exceptAll(b), "only_left").crossJoin(n(b.exceptAll(a), "only_right"))
+    """Rows that one multiset has more often than the other."""
+    rows = table(spark, d, "frag_pe")
+    a, b = (rows.where(c).select("chrom", "start", "len") for c in ("bc < 9", "bc >= 7"))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(a.exceptAll(b), "only_left").crossJoin(n(b.exceptAll(a), "only_right"))  # a row each
 
 
 # Smaller operators
@@ -804,9 +814,9 @@ def fmt_sam(spark, d):
     return formats.sam(rows)
 
 
-@query(_QC + _QC_ROWS + "select bc as barcode, total, dup as duplicate, total - mapped as unmapped, lowmapq, cachehit, printf('%.5f', cachehit / mapped) as fric from c")
+@query(_QC + _QC_ROWS + "select bc as barcode, total, dup as duplicate, total - mapped as unmapped, lowmapq, cachehit, printf('%.5f', cachehit / mapped) as fric, printf('%.5f', case when cachehit = 0 then 0 else 1 / (1 + exp(-(-1.0996 + 4.2391 * (cachehit / mapped) + 3.0164e-05 * dup - 2.1087e-04 * (total - mapped) - 5.5825e-05 * lowmapq))) end) as estfrip from c")
 def fmt_qc_csv(spark, d):
-    return formats.qc_csv(qc.derived(_summary(spark, d), digits=None)).drop("estfrip")
+    return formats.qc_csv(qc.derived(_summary(spark, d), digits=None))
 
 
 @query(_BC + "select bc, s1 as seed1, s2 as seed2, min(event_id) as read_id, count(*) as n from (select bc, event_id, substr(true_bc, 1, 6) as s1, substr(true_bc, 8, 6) as s2 from barcodes) group by bc, s1, s2")
@@ -830,11 +840,23 @@ def pick_best(spark, d):
 @query(_DR + "select read_id, rid, pos, err, row_number() over (partition by read_id order by err desc, rid, pos, mate, strand) as nth from (select distinct * from drafts)")
 def candidate_order(spark, d):
     """The candidates' order: support (here the errors) from the highest, then the place."""
-    from pyspark.sql import Window
+    rows = table(spark, d, "drafts").distinct().select(F.col("read_id").alias("id"), "rid", F.col("pos").alias("at"), F.col("err").alias("count"), F.struct("mate", "strand").alias("same"))
+    return mapping.in_order(rows).select(F.col("id").alias("read_id"), "rid", F.col("at").alias("pos"), F.col("count").alias("err"), "nth")
+
+
+@query(with_all("sam_lite") + """, k as (select *, flag & 64 as f, read_id % 8 as bc, 7 as mapq from sam_lite)
+select max(read_id) as read_id, tid, pos, f, mtid, mpos, bc, least(255, count(*)) as num_dups from k group by tid, pos, f, mtid, mpos, bc""")
+def dedup_sam(spark, d):
+    """Duplicates among alignments."""
+    rows = table(spark, d, "sam_lite").withColumns({"bc": F.col("read_id") % 8, "mapq": F.lit(7)})
+    return dedup.dedup_sam(rows).withColumn("f", F.col("flag").bitwiseAND(64)).select("read_id", "tid", "pos", "f", "mtid", "mpos", "bc", "num_dups")
+
 
-    rows = table(spark, d, "drafts").distinct()
-    w = Window.partitionBy("read_id").orderBy(F.desc("err"), "rid", "pos", "mate", "strand")
-    return rows.select("read_id", "rid", "pos", "err", F.row_number().over(w).alias("nth"))
+@query(with_all("pairs") + "select rid1, pos1, rid2, pos2, max(k) as read_id, least(127, count(*)) as num_dups from pairs group by rid1, pos1, rid2, pos2")
+def dedup_pairs(spark, d):
+    """Duplicates among contacts."""
+    rows = table(spark, d, "pairs").withColumnRenamed("k", "read_id").withColumn("mapq", F.lit(9))
+    return dedup.dedup_pairs(rows).select("rid1", "pos1", "rid2", "pos2", "read_id", "num_dups")
 
 
 @query(_DR + "select read_id, pos, cast(err + 1 as varchar) || 'M' || case when err > 4 then cast(err as varchar) || 'I' else '' end || '20M' as cigar from (select distinct read_id, pos, err from drafts)")

@@ -98,14 +98,24 @@ def read(spark: SparkSession, paths: str) -> DataFrame:
     return spark.read.format("fastx").load(paths)
 
 
-def zip_lanes(read1: DataFrame, *others: DataFrame) -> DataFrame:
-    """Lanes read in step, by lane and number: seq, seq2, ... A lane of unequal counts raises."""
-    out = read1.select("lane", "read_id", "name", "seq", "qual")
-    n = read1.count()
+def zip_lanes(read1: DataFrame, *others: DataFrame, names: bool = False) -> DataFrame:
+    """Lanes read in step, by lane and number: seq, seq2, ... A lane of unequal counts raises.
+
+    names: reads of a place must have one name, up to a mate's `/1`, and none may be empty; else the rows raise when
+    they are computed. Only lanes' counts, a row for each file, come to the driver.
+    """
+    counted = lambda df: {r["lane"]: r["n"] for r in df.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, n = read1.select("lane", "read_id", "name", "seq", "qual"), counted(read1)
+    bare = lambda c: F.regexp_replace(c, "/[0-9]$", "")
     for i, df in enumerate(others, 2):
-        if df.count() != n:
-            raise ValueError("numbers of reads and barcodes don't match")
-        out = out.join(df.select("lane", "read_id", F.col("seq").alias(f"seq{i}"), F.col("qual").alias(f"qual{i}")), ["lane", "read_id"])
+        if (m := counted(df)) != n:
+            raise ValueError(f"numbers of reads and barcodes don't match: {sorted(n.items())} and {sorted(m.items())} by lane")
+        side = df.select("lane", "read_id", F.col("seq").alias(f"seq{i}"), F.col("qual").alias(f"qual{i}"), *([F.col("name").alias("_name")] if names else []))
+        out = out.join(side, ["lane", "read_id"])
+        if names:
+            same = (bare("name") == bare("_name")) & (F.length(bare("name")) > 0)
+            text = F.concat(F.lit("names don't match: "), F.coalesce("name", F.lit("")), F.lit(" and "), F.coalesce("_name", F.lit("")))
+            out = out.withColumn("name", F.when(F.coalesce(same, F.lit(False)), F.col("name")).otherwise(F.raise_error(text))).drop("_name")
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragmill.plans.lineage import cut
+
 
 def _strand(col: str = "dir") -> Column:
     return F.when(F.col(col) == 1, F.lit("+")).otherwise(F.lit("-"))
@@ -117,10 +119,44 @@ def write_tsv(df: DataFrame, path: str, compressed: bool = False) -> None:
     df.write.mode("overwrite").options(sep="\t", header=False, quote="", emptyValue="").option("compression", "gzip" if compressed else "none").csv(path)
 
 
-def write_both(frags: DataFrame, alignments: DataFrame, frag_path: str, sam_path: str) -> None:
-    """Fragments and alignments from one computation: the shared input is kept while both are written."""
-    write_tsv(frags, frag_path, compressed=True)
-    write_tsv(alignments, sam_path)
+def write_both(found: DataFrame, fragments, alignments, frag_path: str, sam_path: str) -> None:
+    """Fragments and alignments from one computation: `found` is checkpointed, and both functions of it are written."""
+    kept = cut(found)
+    write_tsv(fragments(kept), frag_path, compressed=True)
+    write_tsv(alignments(kept), sam_path)
+
+
+def fastq(reads: DataFrame, mate: str = "") -> DataFrame:
+    """value: the four lines of each read (name, seq and qual with `mate` behind their names); a null quality is `I`s."""
+    seq, qual = F.col(f"seq{mate}"), F.coalesce(F.col(f"qual{mate}"), F.repeat(F.lit("I"), F.length(f"seq{mate}")))
+    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), seq, F.lit("+"), qual).alias("value"))
+
+
+def write_fastq_split(reads: DataFrame, y_reads: DataFrame, path: str, mates: tuple[str, ...] = ("",), key: str = "read_id") -> list[str]:
+    """A folder of gzipped FASTQ parts for the reads that touch Y and one for the others, for each mate; a pair goes to Y
+    if either mate does. Rows keep the order of `key` within and across parts."""
+    out = []
+    for tag, rows in zip(("_Y", "_noY"), split_y(reads, y_reads, key), strict=True):
+        rows = cut(rows.repartitionByRange(key).sortWithinPartitions(key))
+        for nth, mate in enumerate(mates, 1):
+            out.append(f"{path}{tag}_R{nth}")
+            fastq(rows, mate).write.mode("overwrite").option("compression", "gzip").text(out[-1])
+    return out
+
+
+def write_materialized(frags: DataFrame, path: str) -> None:
+    """Fragments as Parquet in the order of place: a reader of a range skips files and row groups by their statistics,
+    and barcodes are dictionary-encoded."""
+    frags.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "len", "bc").write.mode("overwrite").parquet(path)
+
+
+def read_materialized(spark: SparkSession, path: str, chrom: str | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
+    """All fragments, or those that overlap a range of a chromosome."""
+    df = spark.read.parquet(path)
+    if chrom is None:
+        return df
+    df = df.where((F.col("chrom") == chrom) & (F.col("start") + F.col("len") > start))
+    return df if stop is None else df.where(F.col("start") < stop)
 
 
 def split_y(rows: DataFrame, y_reads: DataFrame, key: str = "read_id") -> tuple[DataFrame, DataFrame]:
