@@ -12,19 +12,22 @@ FRIP = (-1.0996, 4.2391, 3.0164e-05, -2.1087e-04, -5.5825e-05)
 def summary(frags: DataFrame, whitelist: DataFrame, reads: DataFrame, least_mapq: int = 30) -> DataFrame:
     """bc, total, dup, mapped, lowmapq, cachehit of each barcode, and `non-whitelist` for the others.
 
-    frags(bc, mapq, num_dups, cachehit): a row for each deduplicated fragment. reads(bc): a row for each pair that was
-    read, mapped or not; they are counted by barcode before anything is joined. Barcodes of reads alone have zeros.
+    frags(bc, mapq, num_dups): a row for each deduplicated fragment. reads(bc): a row for each pair that was read,
+    mapped or not; they are counted by barcode before anything is joined. cachehit is a column of either. Barcodes of
+    reads alone have zeros.
     """
     known = whitelist.select(F.col("bc").alias("wl")).distinct()
     low = F.col("mapq") < least_mapq
     zero = F.lit(0).cast("long")
-    n = reads.groupBy("bc").agg(F.count(F.lit(1)).alias("total")).select("bc", "total", *(zero.alias(c) for c in ("dup", "mapped", "lowmapq", "cachehit")))
+    hits = lambda df: F.sum("cachehit").cast("long") if "cachehit" in df.columns else zero
+    n = reads.groupBy("bc").agg(F.count(F.lit(1)).alias("total"), hits(reads).alias("cachehit"))
+    n = n.select("bc", "total", *(zero.alias(c) for c in ("dup", "mapped", "lowmapq")), "cachehit")
     mapped = frags.groupBy("bc").agg(
         F.lit(0).cast("long").alias("total"),
         F.sum(F.when(low, 0).otherwise(F.col("num_dups") - 1)).alias("dup"),
         F.sum("num_dups").alias("mapped"),
         F.sum(F.when(low, F.col("num_dups")).otherwise(0)).alias("lowmapq"),
-        F.sum("cachehit").alias("cachehit"),
+        hits(frags).alias("cachehit"),
     )
     both = n.unionByName(mapped).join(known, F.col("bc") == F.col("wl"), "left")
     label = F.coalesce(F.col("wl").cast("string"), F.lit("non-whitelist"))

@@ -59,6 +59,50 @@ def test_windows_cross_pieces(spark, monkeypatch, genome):
     monkeypatch.setattr(assay, "CHUNK", 256)
     seqs, ref = genome
     c = spark.createDataFrame([(0, s, seqs[0][s : s + 76]) for s in (100, 250, 256, 500, 2900)], "rid long, start long, seq string")
-    got = {r["start"]: r["pattern"] for r in assay.windows(c, assay.chunks(ref), 8).collect()}
+    got = {r["start"]: r["pattern"] for r in assay.windows(c, assay.chunks(ref, 92), 8).collect()}
     assert got == {s: seqs[0][s - 8 : s + 84] for s in (100, 250, 256, 500, 2900)}
-    assert assay.chunks(ref).agg(F.max(F.length("piece"))).first()[0] <= 256 + assay.OVERLAP
+    assert assay.chunks(ref, 92).agg(F.max(F.length("piece"))).first()[0] <= 256 + 92
+
+
+def test_mates_on_two_contigs_are_contacts(spark, genome):
+    seqs, ref = genome
+    r = random.Random(31)
+    rows = []
+    for i in range(20):
+        (c1, p1), (c2, p2) = sorted(((r.randrange(3), r.randrange(100, 2800)) for _ in range(2)))
+        a, b = seqs[c1][p1 : p1 + 70], kernels.revcomp(seqs[c2][p2 : p2 + 70])
+        rows.append((i, *((a, b) if i % 2 else (b, a)), i, (c1, p1, 1), (c2, p2 + 69, 0)))
+    rows.append((100, *rows[0][1:]))
+    reads = spark.createDataFrame([x[:4] for x in rows], "read_id long, seq1 string, seq2 string, bc long")
+    p = presets.preset("hic", remove_duplicates=True)
+    name = ("chr1", "chr2", "chrY")
+    flat = lambda x: (name[x[0]], x[1], x[2])
+    want = sorted((i, *flat(min(x, y)), *flat(max(x, y)), 1 + (i == 100)) for i, *_, x, y in rows if i)
+    got = assay.contacts(reads, ref, p)
+    assert sorted((g["read_id"], g["chrom1"], g["pos1"], g["s1"], g["chrom2"], g["pos2"], g["s2"], g["num_dups"]) for g in got.collect()) == want
+    with pytest.raises(ValueError):
+        assay.map_pairs(reads, ref, p)
+
+
+def test_barcodes_are_corrected_before_duplicates_go(spark, genome):
+    seqs, ref = genome
+    rows = make(seqs, 4)
+    bcs = ["AAAACCCC", "AAAACCCC", "AAAACCCC", "GGGGGGGG"]
+    reads = [(10 * k + x[0], x[1], x[2], "AATACCCC" if k == 1 and x[0] < 3 else bcs[x[0]], "IIIIIIII") for x in rows for k in range(2)]
+    reads = spark.createDataFrame(reads, "read_id long, seq1 string, seq2 string, bc string, bc_qual string")
+    whitelist = spark.createDataFrame([("AAAACCCC",)], "bc string")
+    names = spark.createDataFrame([("AAAACCCC", "cell"), ("GGGGGGGG", "other")], "from string, to string")
+    p = presets.preset("atac", least_mapq=0)
+    got = assay.fragments(reads, ref, p, whitelist, names).collect()
+    assert sorted((g["chrom"], g["start"], g["bc"], g["num_dups"]) for g in got) == sorted((x[4], x[5] + 4, "cell", 2) for x in rows[:3])
+    both = assay.fragments(reads, ref, presets.preset("atac", least_mapq=0, output_off_whitelist=True), whitelist, names).collect()
+    assert sorted(g["bc"] for g in both) == ["cell"] * 3 + ["other"]
+
+
+def test_long_reads_fit_between_pieces(spark, genome, monkeypatch):
+    monkeypatch.setattr(assay, "CHUNK", 64)
+    seqs, ref = genome
+    a, b = seqs[0][500:1400], kernels.revcomp(seqs[0][600:1500])
+    reads = spark.createDataFrame([(1, a, b, 0)], "read_id long, seq1 string, seq2 string, bc long")
+    got = assay.map_pairs(reads, ref, presets.preset("chip")).collect()
+    assert [(g["chrom"], g["start"], g["len"]) for g in got] == [("chr1", 500, 1000)]

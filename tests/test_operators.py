@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,153 @@ def test_alignment_explains_its_edits():
         assert nm <= 2
 
 
+def slow_clusters(hits, n, errors, least):
+    """By counting anew at each hit what has been gathered so far."""
+    from collections import Counter
+
+    out, held = [], []
+    best = lambda: max(Counter(held).items(), key=lambda x: (x[1], -x[0]))
+    for p in [*hits, None]:
+        if held and (p is None or p - held[-1] > errors or (len(held) >= n and p - best()[0] > errors)):
+            out += [best()] * (len(held) >= least)
+            held = []
+        held.append(p)
+    return out
+
+
+def test_clusters_against_counting():
+    r = random.Random(11)
+    for _ in range(2000):
+        hits = sorted(r.randint(0, 40) for _ in range(r.randint(0, 14)))
+        n, errors, least = r.randint(1, 8), r.randint(1, 8), r.randint(1, 4)
+        assert kernels.cluster_hits(np.array(hits, np.int64), n, errors, least) == slow_clusters(hits, n, errors, least)
+
+
+def slow_minimizers(s, k, w):
+    kept = []
+    for i in range(len(s) - k + 1):
+        word = s[i : i + k]
+        if set(word) - set("ACGT"):
+            kept.append((None, i + k - 1, 0))
+        elif word != kernels.revcomp(word):
+            code = lambda x: np.array([int("".join(str("ACGT".index(c)) for c in x), 4)], np.uint64)
+            f, v = (int(kernels.hash64(code(x), 2 * k)[0]) for x in (word, kernels.revcomp(word)))
+            kept.append((int(kernels.hash64(np.array([min(f, v)], np.uint64), 2 * k)[0]), i + k - 1, int(f >= v)))
+    out = set()
+    for i in range(len(kept) - w + 1):
+        part = kept[i : i + w]
+        if all(x[0] is not None for x in part):
+            out |= {x for x in part if x[0] == min(y[0] for y in part)}
+    tail = [x for x in kept[-w:] if x[0] is not None]
+    if tail:
+        out.add(max((x for x in tail if x[0] == min(y[0] for y in tail)), key=lambda x: x[1]))
+    return sorted(out, key=lambda x: x[1])
+
+
+@pytest.mark.parametrize("piece", [1, 3, 20, 1 << 20])
+def test_minimizers_against_definition(monkeypatch, piece):
+    monkeypatch.setattr(kernels, "PIECE", piece)
+    r = random.Random(12)
+    for _ in range(60):
+        s = "".join(r.choice("ACGTACGTACGTN" if r.random() < 0.3 else "ACGT") for _ in range(r.randint(0, 60)))
+        k, w = r.choice([(4, 3), (5, 4), (3, 2)])
+        assert kernels.minimizers(s, k, w) == slow_minimizers(s, k, w)
+
+
+def test_overlaps_against_all_shifts():
+    r = random.Random(13)
+    for _ in range(500):
+        core = "".join(r.choice("ACGT") for _ in range(r.randint(10, 60)))
+        a = core + "".join(r.choice("ACGT") for _ in range(r.randint(0, 12)))
+        b = kernels.revcomp(core) + "".join(r.choice("ACGT") for _ in range(r.randint(0, 12)))
+        a = list(a)
+        for _ in range(r.randint(0, 2)):
+            a[r.randrange(len(a))] = r.choice("ACGT")
+        a = "".join(a)
+        short, back = (a, kernels.revcomp(b)) if len(a) <= len(b) else (b, kernels.revcomp(a))
+        fits = []
+        for shift in range(len(back) - 29):
+            wrong = [i for i, (x, y) in enumerate(zip(back[shift:], short, strict=False)) if x != y]
+            if len(wrong) <= 1 and len(short) >= 15 and (not wrong or wrong[0] >= 15 or len(short) >= 30):
+                fits.append((bool(wrong) and wrong[0] < 15, shift))
+        want = (len(a), len(b))
+        if fits:
+            n = len(back) - min(fits)[1]
+            want = (min(n, len(short)), n) if len(a) <= len(b) else (n, min(n, len(short)))
+        assert kernels.overlap_trim(a, b) == want
+
+
+def test_distances_of_a_batch_equal_single_ones():
+    r = random.Random(14)
+    texts = ["".join(r.choice("ACGTN") for _ in range(r.choice([20, 31]))) for _ in range(40)]
+    patterns = ["".join(r.choice("ACGT") for _ in range(4)) + t.replace("N", "A") + "ACGTACGTA" for t in texts]
+    edits, ends = kernels.banded_distances(patterns, texts, 4)
+    assert list(zip(edits.tolist(), ends.tolist(), strict=True)) == [kernels.banded_distance(p, t, 4) for p, t in zip(patterns, texts, strict=True)]
+
+
+def test_alignment_scores_are_the_best():
+    r = random.Random(15)
+    for _ in range(60):
+        p, t = ("".join(r.choice("ACG") for _ in range(r.randint(1, n))) for n in (14, 9))
+        best = {}
+
+        def score(i, j, state, p=p, t=t, best=best):
+            """All of t[i:] against some of p[j:]."""
+            if i == len(t):
+                return 0
+            if (i, j, state) not in best:
+                gap = lambda s: -1 if state == s else -7
+                ways = [gap("I") + score(i + 1, j, "I")]
+                if j < len(p):
+                    ways += [(1 if p[j] == t[i] else -4) + score(i + 1, j + 1, "M"), gap("D") + score(i, j + 1, "D")]
+                best[i, j, state] = max(ways)
+            return best[i, j, state]
+
+        got, at, cigar = kernels.align(p, t)
+        assert got == max(score(0, j, "M") for j in range(len(p) + 1))
+        nm, md = kernels.nm_md(cigar, p[at:], t)
+        assert nm == sum(c.isalpha() for c in md) + sum(n for n, op in cigar if op == "I")
+
+
+def test_candidates_merge_from_the_left(spark):
+    r = random.Random(16)
+    rows = [[(i, 1, 0, at, c) for i in range(12) for at, c in {r.randint(0, 60): r.randint(1, 9) for _ in range(r.randint(0, 6))}.items()] for _ in range(2)]
+    a, b = (spark.createDataFrame(x, "id long, same int, rid long, at long, count int") for x in rows)
+    want = []
+    for i in range(12):
+        best = {}
+        for _, _, _, at, c in (x for part in rows for x in part if x[0] == i):
+            best[at] = max(best.get(at, 0), c)
+        last = None
+        for at in sorted(best):
+            if last is None or at > last + 8:
+                want.append((i, 1, 0, at, best[at]))
+                last = at
+    assert sorted(map(tuple, mapping.merge_candidates(a, b).collect())) == want
+
+
+def test_reads_that_did_not_map_are_counted(spark):
+    found = spark.createDataFrame([("A", 60, 3, 1), ("B", 5, 2, 0), ("X", 60, 1, 0)], "bc string, mapq int, num_dups int, cachehit int")
+    reads = spark.createDataFrame([(b,) for b in "AAAAABBCXY"], "bc string")
+    got = {r["bc"]: tuple(r)[1:] for r in qc.summary(found, spark.createDataFrame([("A",), ("B",), ("C",)], "bc string"), reads).collect()}
+    assert got == {"A": (5, 2, 3, 0, 1), "B": (2, 0, 2, 2, 0), "C": (1, 0, 0, 0, 0), "non-whitelist": (2, 0, 1, 0, 0)}
+
+
+def test_formats_of_alignments_are_not_shifted(spark):
+    from fragmill.functions import shift
+
+    f = frags(spark, 5)
+    assert shift.for_output(f, "pairs").collect() == f.collect() != shift.for_output(f, "bed").collect()
+
+
+def test_bed_profile_takes_chosen_cells(spark):
+    rows = [("chr1", 5000 + i % 50, 5200 + i % 50, 1, "a") for i in range(200)] + [("chr1", 9000 + i % 50, 9200, 1, "b") for i in range(200)]
+    f = spark.createDataFrame(rows, "chrom string, start long, stop long, count long, bc string")
+    found = peaks.bed_profile(f, spark.createDataFrame([("a",)], "bc string"), genome=100_000).collect()
+    assert found and all(r["stop"] < 6000 for r in found)
+    assert dict(map(tuple, peaks.parameters(spark, q_value=0.05).collect()))["q_value"] == "0.05"
+
+
 def test_minimizers_are_strand_free_and_cover_windows():
     r = random.Random(7)
     s = "".join(r.choice("ACGT") for _ in range(400))

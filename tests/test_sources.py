@@ -139,3 +139,117 @@ def test_index_is_stored_with_its_reference(spark, tmp_path):
     assert (k, w) == (15, 5) and mins.count() > 0 and stored.count() == 1
     with pytest.raises(ValueError):
         index.load(spark, f"{tmp_path}/i", ref.withColumn("crc", F.lit(2)))
+
+
+def test_lanes_must_have_equal_counts_and_names(spark):
+    from fragmill.sources import fastx
+
+    def lane(sizes, name="r"):
+        rows = [(k, i, f"{name}{k}.{i}", "ACGT", "IIII") for k, n in enumerate(sizes) for i in range(n)]
+        return spark.createDataFrame(rows, "lane int, read_id long, name string, seq string, qual string")
+
+    assert fastx.zip_lanes(lane([3, 2]), lane([3, 2]), names=True).count() == 5
+    with pytest.raises(ValueError, match="don't match"):
+        fastx.zip_lanes(lane([3, 2]), lane([2, 3]))
+    with pytest.raises(Exception, match="names don't match"):
+        fastx.zip_lanes(lane([3]), lane([3], "x"), names=True).collect()
+
+
+def test_fastq_of_y_and_the_rest(spark, tmp_path):
+    from fragmill.sources import fastx
+
+    reads = spark.createDataFrame([(i, f"r{i}", "ACGT"[: 1 + i % 4], "IIII"[: 1 + i % 4], "GG", None) for i in range(20)], "read_id long, name string, seq1 string, qual1 string, seq2 string, qual2 string")
+    folders = formats.write_fastq_split(reads, reads.where("read_id % 5 = 0"), f"{tmp_path}/x", ("1", "2"))
+    assert [f.rsplit("/", 1)[1] for f in folders] == ["x_Y_R1", "x_Y_R2", "x_noY_R1", "x_noY_R2"]
+    names = [sorted(r["name"] for r in fastx.read(spark, f"{f}/*.gz").collect()) for f in folders]
+    assert names[0] == names[1] == sorted(f"r{i}" for i in range(0, 20, 5)) and sorted(names[0] + names[2]) == sorted(f"r{i}" for i in range(20))
+
+
+def test_materialized_fragments_by_range(spark, tmp_path):
+    f = spark.range(200).selectExpr("concat('chr', id % 2) chrom", "id * 10 start", "50L len", "id % 3 bc")
+    formats.write_materialized(f, f"{tmp_path}/m")
+    assert formats.read_materialized(spark, f"{tmp_path}/m").count() == 200
+    got = formats.read_materialized(spark, f"{tmp_path}/m", "chr1", 500, 700).collect()
+    assert sorted(r["start"] for r in got) == [x for x in range(10, 2000, 20) if x + 50 > 500 and x < 700]
+
+
+def test_both_outputs_of_one_computation(spark, tmp_path):
+    rows = spark.range(30).withColumn("x", F.rand())  # two computations would differ
+    formats.write_both(rows, lambda d: d.select("id", "x"), lambda d: d.select("x", "id"), f"{tmp_path}/a", f"{tmp_path}/b")
+    a, b = (spark.read.csv(f"{tmp_path}/{n}", sep="\t").collect() for n in "ab")
+    assert sorted(map(tuple, a)) == sorted((y, x) for x, y in b)
+
+
+def test_index_finds_records(spark, tmp_path):
+    rows = [("r%d" % i, 99, i % 2, 700 * (i // 2), 60, "4M", i % 2, 600, 100, "ACGT", "IIII", 0, "4", "AACC", None, i) for i in range(400)] + [("u", 4, -1, -1, 0, "*", -1, -1, 0, "AC", None, 0, "", None, None, 999)]
+    schema = "qname string, flag int, rid int, pos int, mapq int, cigar string, mrid int, mpos int, tlen int, seq string, qual string, nm int, md string, bc string, rg string, read_id long"
+    binary.write_bam(spark.createDataFrame(rows, schema).repartition(5), [("chr1", 10**6), ("chr2", 10**6)], f"{tmp_path}/x.bam", index=True)
+    data, bai = (tmp_path / "x.bam").read_bytes(), (tmp_path / "x.bam.bai").read_bytes()
+    with pytest.raises(ValueError):
+        binary.write_bam(spark.createDataFrame(rows, schema), [], f"{tmp_path}/y.bam", ordered=False, index=True)
+    blocks, at = {}, 0
+    while at < len(data):
+        size = struct.unpack_from("<H", data, at + 16)[0] + 1
+        blocks[at] = (zlib.decompress(data[at + 18 : at + size - 8], -15), at + size)
+        at += size
+
+    def records(begin, end):
+        coffset, u = begin >> 16, begin & 0xFFFF
+        text, out = b"", []
+        k = coffset
+        while k in blocks and k <= end >> 16:
+            text, k = text + (blocks[k][0] if k < end >> 16 else blocks[k][0][: end & 0xFFFF]), blocks[k][1]
+        while u < len(text):
+            size, rid, pos = struct.unpack_from("<iii", text, u)
+            out.append((rid, pos))
+            u += 4 + size
+        return out
+
+    assert bai[:4] == b"BAI\1"
+    found, at = [], 8
+    for rid in range(struct.unpack_from("<i", bai, 4)[0]):
+        n_bin, at = struct.unpack_from("<i", bai, at)[0], at + 4
+        for _ in range(n_bin):
+            where, n = struct.unpack_from("<Ii", bai, at)
+            at += 8
+            for _ in range(n):
+                got = records(*struct.unpack_from("<QQ", bai, at))
+                assert got and all(r == rid and binary._bin(p, p + 4) == where for r, p in got)
+                found += got
+                at += 16
+        n, at = struct.unpack_from("<i", bai, at)[0], at + 4
+        assert n == (700 * 199 + 3 >> 14) + 1
+        at += 8 * n
+    assert sorted(found) == sorted((r[2], r[3]) for r in rows[:-1]) and at == len(bai)
+
+
+def test_gathered_shards_equal_one_run(spark, tmp_path):
+    import random
+
+    from fragmill import presets
+    from fragmill.operators import barcode, qc
+    from fragmill.sources import shards
+
+    r = random.Random(17)
+    cells = ["AAAACCCC", "GGGGTTTT", "ACGTACGT"]
+    spoil = lambda b: b if r.random() < 0.7 else b[:3] + r.choice("ACGTN") + b[4:] if r.random() < 0.8 else "TTTTTTTT"
+    reads = [(i, spoil(r.choice(cells)), "IIIIIIII", r.randint(0, 1)) for i in range(300)]
+    rows = [(i, f"chr{r.randint(1, 2)}", 50 * r.randint(0, 5), 50, r.choice([0, 40, 60]), 1, 1, 50, 50) for i in range(300) if r.random() < 0.9]
+    kinds = "read_id long, chrom string, start long, len long, mapq long, dir long, uniq int, pos_len int, neg_len int"
+    whitelist = spark.createDataFrame([(c,) for c in cells], "bc string")
+    p = presets.preset("atac")
+    for shard in range(3):
+        mine = lambda x: [(y[0] - 100 * shard, *y[1:]) for y in x if y[0] // 100 == shard]  # noqa: E731, B023
+        f = spark.createDataFrame(mine(rows), kinds).withColumnRenamed("read_id", "local_read_id")
+        shards.write(f, spark.createDataFrame(mine(reads), "local_read_id long, bc string, qual string, cachehit int"), f"{tmp_path}/s", shard, "one")
+    got, counts = shards.collect(spark, f"{tmp_path}/s", 3, whitelist, p, "one")
+    raw = spark.createDataFrame(reads, "read_id long, bc string, qual string, cachehit int")
+    fixed = barcode.correct(raw, barcode.abundance(raw, whitelist), "read_id").select(F.col("id").alias("read_id"), F.col("corrected").alias("bc"))
+    whole = dedup.dedup(spark.createDataFrame(rows, kinds).join(fixed.where("bc is not null"), "read_id"))
+    want = dedup.mapq_filter(whole, p.least_mapq).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, qc.summary(whole, whitelist, fixed.join(raw.select("read_id", "cachehit"), "read_id")).collect()))
+    assert tuple(counts.agg(F.sum("total"), F.sum("cachehit")).first()) == (300, sum(x[3] for x in reads))
+    for n, contract in ((4, "one"), (3, "two")):
+        with pytest.raises(ValueError):
+            shards.read(spark, f"{tmp_path}/s", n, contract)
