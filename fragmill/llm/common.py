@@ -126,8 +126,9 @@ def bounded_sample(df: DataFrame, where: Column, limit: int, id_col: str = "doc_
     ids = [r[0] for r in df.where(where).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(limit).collect()]
     if not ids:
         return []
-    chosen = df.sparkSession.createDataFrame([(i,) for i in ids], "chosen_id long")
-    rows = df.where(where).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen_id"), "left_semi")
+    name = unused(df, "chosen_id")
+    chosen = df.sparkSession.createDataFrame([(i,) for i in ids], f"{name} long")
+    rows = df.where(where).join(F.broadcast(chosen), F.col(id_col) == F.col(name), "left_semi")
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
     return rows.orderBy("id", F.xxhash64("text")).limit(limit).collect()
 

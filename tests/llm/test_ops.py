@@ -685,3 +685,27 @@ def test_digest_queries_have_their_columns(spark):
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
     held = queries.queries()["op7_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+
+
+def test_queries_equal_brute_force_on_whole_tables(spark):
+    from fragmill.llm import queries
+
+    q = queries.queries()
+    docs = sorted((r["doc_id"], r["text"], None, None, 0) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert rows_of(q["op9_minhash_neardup"](spark, SF), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(docs, 85, 3)
+    got = sorted(q["op10_lm_scoring"](spark, SF).collect(), key=lambda r: r["doc_id"])
+    train = [t for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    for r, w in zip(got, brute_lm(train, [t for _, t, *_ in docs]), strict=True):
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+        assert r["base_score"] == pytest.approx(w[3], rel=1e-9) and r["score"] == pytest.approx(w[4], rel=1e-9)
+    w = packing.WordTokens(WORD_BPE)
+    ids = {i: np.array([*w._ids(t or ""), 0], "<u4") for i, t, *_ in docs}
+    rows = q["op6_best_fit_packing"](spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == Counter((i, k, 2048 * k, len(x[2048 * k : 2048 * k + 2048]), zlib.crc32(x[2048 * k : 2048 * k + 2048].tobytes())) for i, x in ids.items() for k in range(-(-len(x) // 2048)))
+    assert len({r["sequence_id"] for r in rows}) <= math.ceil(sum(map(len, ids.values())) / 2048) + 2
+    for r, (i, t, *_) in zip(sorted(q["op4_quality_rules"](spark, SF).collect(), key=lambda r: r["doc_id"]), docs, strict=True):
+        assert (r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (i, *brute_counts(t))
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    judged = q["op8_quality_classifier"](spark, SF).collect()
+    held = [(r["score"], labels[r["doc_id"]]) for r in judged if r["held_out"] and r["doc_id"] in labels]
+    assert len(judged) == len(docs) and all(a > b for a, x in held for b, y in held if x > y)
