@@ -242,7 +242,8 @@ def fit(df: DataFrame, where: Column | None = None, id_col: str = "doc_id", text
     size = train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(4, -(-size // SHARD_BYTES))
     seen = Counter(h for r in bounded_sample(train.where(F.col(id_col).isNotNull()), F.col(text_col).isNotNull(), SAMPLE, id_col, text_col) for h in tokens(r["text"].encode()).tolist())
-    hot = tuple(h for h, k in seen.items() if k * 2 * shards >= sum(seen.values()))
+    least = seen.total() / (2 * shards)
+    hot = tuple(h for h, k in seen.items() if k >= least)
     hot_words = np.array(hot, _U)
 
     groups = shards if shards <= FAN_OUT else int(np.ceil(shards**0.5))
