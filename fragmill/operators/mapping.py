@@ -13,18 +13,23 @@ from fragmill.functions import kernels
 def minimizers(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "read_id", seq: str = "seq") -> DataFrame:
     """id, hash, pos (of the k-mer's last base), strand of each sequence's minimizers."""
 
+    def frame(ids: list[int], pieces: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        key, place, strand = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        return pd.DataFrame({"id": np.repeat(ids, [len(p[0]) for p in pieces]), "hash": key.astype(np.int64), "pos": place, "strand": strand})
+
     def run(batches):
         for pdf in batches:
-            held, n = [], 0
+            ids, pieces, n = [], [], 0
             for i, s in zip(pdf["id"], pdf["seq"], strict=True):
-                for key, place, strand in kernels.minimizer_pieces(s or "", k, w):
-                    held.append(pd.DataFrame({"id": i, "hash": key.astype(np.int64), "pos": place, "strand": strand}))
-                    n += len(key)
+                for piece in kernels.minimizer_pieces(s or "", k, w):
+                    ids.append(i)
+                    pieces.append(piece)
+                    n += len(piece[0])
                     if n >= kernels.PIECE // 4:
-                        yield pd.concat(held)
-                        held, n = [], 0
-            if held:
-                yield pd.concat(held)
+                        yield frame(ids, pieces)
+                        ids, pieces, n = [], [], 0
+            if pieces:
+                yield frame(ids, pieces)
 
     return seqs.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).mapInPandas(run, "id long, hash long, pos int, strand int")
 
