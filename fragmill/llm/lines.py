@@ -2,10 +2,10 @@
 
 Runs are tables of line hashes in the shared folder, dealt by hash into the same number of
 files and sorted within them, so that Spark merges any two without a shuffle. A batch of
-documents turns into line hashes with counts of documents. A merge anti-join with the runs
-of frequent lines leaves out what is known to be frequent; merge joins with the other runs
-add what they have counted, which tells the lines that have become frequent; the batch is
-added as a run. Two runs of a level are compacted into one of the next.
+documents turns into line hashes with counts of documents. A merge anti-join with each run
+leaves out the lines that it knows to be frequent and adds what it has counted of the
+others, which tells the lines that have become frequent; the batch is added as a run. Two
+runs of a level are compacted into one of the next.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class LineRuns:
     """Counts of documents by line, kept as runs in the shared folder; only the runs' places are on the driver.
 
     A run is a table h1, h2, n, total: n documents that its batches have, total with what had come before. Where the
-    total has reached min_docs the row belongs to the frequent lines, and later batches leave the line out.
+    total has reached min_docs a row is frequent, and later batches leave its line out: a line is frequent in one run only.
     """
 
     #: Lets Spark rely on the order of a file that is all of its bucket.
@@ -69,8 +69,7 @@ class LineRuns:
         self.spark, self.min_docs = spark, min_docs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = shared_folder(spark, "line_runs")
-        self.rare: dict[int, list[str]] = {}
-        self.hot: dict[int, list[str]] = {}
+        self.levels: dict[int, list[str]] = {}
 
     @contextmanager
     def _ordered(self) -> Iterator[None]:
@@ -87,46 +86,39 @@ class LineRuns:
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _run(self, name: str) -> DataFrame:
-        return self.spark.table(name)
+    def names(self) -> list[str]:
+        return [x for found in self.levels.values() for x in found]
 
-    def _names(self, levels: dict[int, list[str]]) -> list[str]:
-        return [x for found in levels.values() for x in found]
+    def _totals(self, keys: DataFrame) -> DataFrame:
+        """h1, h2, n, total of a batch's lines that the runs don't know as frequent.
 
-    def _without_hot(self, df: DataFrame) -> DataFrame:
-        """df less the frequent lines: merge anti-joins with their runs."""
-        hot = [self._run(x).select("h1", "h2") for x in self._names(self.hot)]
-        return reduce(lambda d, h: d.join(h.hint("merge"), ["h1", "h2"], "left_anti"), hot, df)
+        One merge join with each run is its anti-join, as lines that it holds as frequent go, and adds what it counts of
+        the others. As an anti-join of its own Catalyst would push it below the counting, where a line has all its rows.
+        """
+        counted = keys.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+        # dealt and sorted as the runs' buckets are, so that the batch is merged as it stands
+        out = counted.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").withColumn("total", F.col("n"))
+        for name in self.names():
+            run = self.spark.table(name).select("h1", "h2", F.col("n").alias("more"), F.col("total").alias("before"))
+            out = out.join(run.hint("merge"), ["h1", "h2"], "left").where(F.col("before").isNull() | (F.col("before") < self.min_docs))
+            out = out.select("h1", "h2", "n", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
+        return out
 
     def add(self, keys: DataFrame) -> None:
         """keys(doc_id, h1, h2) of a batch; a document must not be spread over batches."""
-        counted = keys.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        dealt = counted.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
         with self._ordered():
-            batch = self._write(dealt)
-            merged = self._without_hot(self._run(batch)).withColumn("total", F.col("n"))
-            for name in self._names(self.rare):
-                run = self._run(name).select("h1", "h2", F.col("n").alias("more"))
-                merged = merged.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0))).drop("more")
-            whole = self._write(merged.select("h1", "h2", "n", "total"))
-            self._drop(batch)
-            frequent = F.col("total") >= self.min_docs
-            self.hot.setdefault(0, []).append(self._write(self._run(whole).where(frequent)))
-            self.rare.setdefault(0, []).append(self._write(self._run(whole).where(~frequent)))
-            self._drop(whole)
-            self._compact(self.hot)
-            self._compact(self.rare)
-
-    def _compact(self, levels: dict[int, list[str]]) -> None:
-        """Merges two runs of a level into one of the next, without lines that have become frequent meanwhile."""
+            self.levels.setdefault(0, []).append(self._write(self._totals(keys)))
+            self._compact()
+
+    def _compact(self) -> None:
+        """Merges two runs of a level into one of the next."""
         level = 0
-        while len(levels.get(level, ())) > 1:
-            a, b = levels.pop(level)
-            side = lambda x, k: self._run(x).select("h1", "h2", F.col("n").alias(f"n{k}"), F.col("total").alias(f"total{k}"))
+        while len(self.levels.get(level, ())) > 1:
+            a, b = self.levels.pop(level)
+            side = lambda x, k: self.spark.table(x).select("h1", "h2", F.col("n").alias(f"n{k}"), F.col("total").alias(f"total{k}"))
             both = side(a, 1).join(side(b, 2).hint("merge"), ["h1", "h2"], "full")
-            added = lambda c: (F.coalesce(f"{c}1", F.lit(0)) + F.coalesce(f"{c}2", F.lit(0))).alias(c)
-            both = both.select("h1", "h2", added("n"), F.greatest("total1", "total2").alias("total"))
-            levels.setdefault(level + 1, []).append(self._write(both if levels is self.hot else self._without_hot(both)))
+            n = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            self.levels.setdefault(level + 1, []).append(self._write(both.select("h1", "h2", n.alias("n"), F.greatest("total1", "total2").alias("total"))))
             self._drop(a)
             self._drop(b)
             level += 1
@@ -137,13 +129,13 @@ class LineRuns:
 
     def frequent(self) -> DataFrame:
         """h1, h2 of the lines in min_docs documents or more, each once."""
-        runs = [self._run(x).select("h1", "h2") for x in self._names(self.hot)]
+        runs = [self.spark.table(x).where(F.col("total") >= self.min_docs).select("h1", "h2") for x in self.names()]
         return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], "h1 long, h2 long")
 
     def close(self) -> None:
-        for name in [*self._names(self.rare), *self._names(self.hot)]:
+        for name in self.names():
             self._drop(name)
-        self.rare, self.hot = {}, {}
+        self.levels = {}
 
 
 def drop_frequent(df: DataFrame, min_docs: int = 10, least_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), batches: int = BATCHES) -> DataFrame:

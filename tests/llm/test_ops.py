@@ -105,10 +105,15 @@ def test_runs_are_merged_and_add_up(spark):
     for b in range(5):
         runs.add(spark.createDataFrame([(10 * b + i, i % 3, 7) for i in range(6)] + [(b, 99, 1), (b, 50 + b, 2)], "doc_id long, h1 long, h2 long"))
         assert rows_of(runs.frequent(), "h1") == [(i,) for i in (0, 1, 2)] * (b >= 2) + [(99,)] * (b == 4)
-    assert len(runs._names(runs.rare)) <= 3 and len(runs._names(runs.hot)) <= 3
+    assert len(runs.names()) <= 3
+    batch = spark.createDataFrame([(90, 1, 7), (91, 60, 2), (92, 53, 2), (93, 99, 1), (94, 99, 1)], "doc_id long, h1 long, h2 long").repartition(2)
     with runs._ordered():
-        plan = runs._without_hot(runs._run(runs._names(runs.rare)[0]))._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        more = runs._totals(batch)
+        assert rows_of(more, "h1", "n", "total") == [(53, 1, 2), (60, 1, 1)]
+        plan = more._jdf.queryExecution().executedPlan().toString()
+    # what stands above the batch's dealing is merged as it lies
+    above = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert above.count("SortMergeJoin") == len(runs.names()) and above.count("Exchange") == 1 and above.count("Sort [") == 1
     runs.close()
 
 
