@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -46,6 +46,51 @@ def _packed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return fwd, rev
 
 
+#: Longest k-mers that kmer_counts() counts in an array of all of them.
+DENSE = 12
+_UPPER = np.full(256, 4, np.uint8)
+_UPPER[[ord(_c) for _c in CODES]] = list(CODES.values())
+
+
+def kmer_counts(seqs: Iterable[str | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(packed k-mers, their counts) over all windows of k upper-case bases without others, the first base most
+    significant. Short k-mers come once, longer ones once for each PIECE of bases, so that memory is bounded."""
+    if not 0 < k <= 31:
+        raise ValueError("a packed k-mer has 1 to 31 bases")
+    dense = np.zeros(1 << 2 * k, np.int64) if k <= DENSE else None
+
+    def packed(parts: list[str]) -> np.ndarray:
+        codes = _UPPER[np.frombuffer("\n".join(parts).encode("latin-1", "replace"), np.uint8)]
+        n = len(codes) - k + 1
+        key, bases = np.zeros(n, np.int64), (codes & 3).astype(np.int64)
+        for i in range(k):
+            key <<= 2
+            key |= bases[i : i + n]
+        unknown = np.cumsum(np.append(0, codes > 3))
+        return key[unknown[k:] == unknown[:-k]]
+
+    def pieces() -> Iterator[np.ndarray]:
+        parts, n = [], 0
+        for s in seqs:
+            for start in range(0, len(s or "") - k + 1, PIECE):
+                parts.append(s[start : start + PIECE + k - 1])
+                n += len(parts[-1])
+                if n >= PIECE:
+                    yield packed(parts)
+                    parts, n = [], 0
+        if parts:
+            yield packed(parts)
+
+    for key in pieces():
+        if dense is None:
+            yield np.unique(key, return_counts=True)
+        else:
+            dense += np.bincount(key, minlength=len(dense))
+    if dense is not None:
+        found = np.flatnonzero(dense)
+        yield found, dense[found]
+
+
 def minimizer_pieces(seq: str, k: int, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, place of the k-mer's last base, strand) of the k-mers that are least in a window of w, piece by piece.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,19 @@ def minimizers(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "read_id"
     return seqs.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).mapInPandas(run, "id long, hash long, pos int, strand int")
 
 
+def kmer_counts(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """key, n: of each packed k-mer of upper-case bases its windows in all sequences. A task counts its own rows
+    before anything is shuffled, so no row for each window is made."""
+
+    def run(batches):
+        texts = (s for b in batches for s in b.column(0).to_pylist())
+        for key, n in kernels.kmer_counts(texts, k):
+            for at in range(0, len(key), kernels.PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + kernels.PIECE].astype(np.int64)) for x in (key, n)], ["key", "n"])
+
+    return seqs.select(F.col(seq)).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def build_index(ref: DataFrame, k: int = 17, w: int = 7) -> DataFrame:
     """hash, rid, pos, strand, n_occ of ref(rid, seq). Written sorted by hash it is the index."""
     m = minimizers(ref, k, w, "rid").withColumnRenamed("id", "rid")

@@ -6,7 +6,11 @@ it needs. read_id orders otherwise equal rows; rows that share it are equal thro
 
 from __future__ import annotations
 
+import string
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FRAG_PE = """
 select l_orderkey * 8 + l_linenumber as read_id, concat('chr', cast(l_suppkey % 5 + 1 as string)) as chrom,
@@ -52,11 +56,29 @@ select * from (values (0, 'chr1'), (1, 'chr2'), (2, 'chrY'), (3, 'Y'), (4, 'chr_
 TABLES = {"frag_pe": (FRAG_PE, "lineitem"), "frag_se": (FRAG_SE, "lineitem"), "peaks": (PEAKS, "orders"), "barcodes": (BARCODES, "events"), "pairs": (PAIRS, "lineitem"), "sequences": (SEQUENCES, "documents"), "drafts": (DRAFTS, "lineitem"), "sam_lite": (SAM_LITE, "lineitem"), "slots": (SLOTS, "events"), "names": (NAMES, "part"), "contigs": (CONTIGS, None)}
 
 
+_LETTERS = string.ascii_letters.encode()
+_TO_BASES = bytes.maketrans(_LETTERS, b"ACGTACGTACGTACGTACGTACGTAC" * 2)
+_NO_LETTERS = bytes(set(range(256)).difference(_LETTERS))
+
+
+def _sequences(docs: DataFrame) -> DataFrame:
+    """SEQUENCES by a byte table, since Spark's regexp_replace and translate take half a microsecond a character."""
+
+    def run(batches):
+        for b in batches:
+            seqs = [t if t is None else t.translate(_TO_BASES, _NO_LETTERS) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary()).cast(pa.string())], ["doc_id", "seq"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, seq string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, source = TABLES[name]
     sql = sql.replace("{g}", "")
     if source is None:
         return spark.sql(sql)
+    if name == "sequences":
+        return _sequences(spark.read.parquet(f"{sf_dir}/{source}.parquet"))
     return spark.sql(sql.replace(f"from {source}", "from {source}"), source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
 
 

@@ -1,6 +1,7 @@
 """Invariants and traps of the operators on small tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from fragmill.functions import kernels
 from fragmill.operators import barcode, dedup, gather, intervals, mapping, peaks, qc
 from fragmill.sources import formats
 
+SF = "/root/testdata/sf0.001"
 FRAG = "read_id long, chrom string, start long, len long, bc long, mapq long, dir long, uniq int, pos_len int, neg_len int"
 
 
@@ -360,3 +362,31 @@ def test_presets_and_rules():
             presets.preset("atac", **bad)
     assert presets.size("8G") == 8 << 30 and presets.size("512M") == 512 << 20
     assert presets.y_paths("d/x_R1.fastq.gz") == ("d/y_separated/x_Y_R1.fastq.gz", "d/y_separated/x_noY_R1.fastq.gz")
+
+
+def test_kmers_are_counted_without_a_row_for_each_window(spark):
+    from fragmill.plans import catalogue
+
+    r = random.Random(5)
+    texts = [None, "", "ACG", "acgtacgtacgt", "ACGTNACGTACGTé", *("".join(r.choices("ACGT", k=n)) for n in (11, 12, 3000))]
+    before, kernels.PIECE = kernels.PIECE, 100
+    try:
+        for k in (3, 11, 13, 31):
+            want = Counter(s[i : i + k] for s in texts if s for i in range(len(s) - k + 1) if set(s[i : i + k]) <= set("ACGT"))
+            got = Counter()
+            for keys, n in kernels.kmer_counts(texts, k):
+                for key, m in zip(keys.tolist(), n.tolist(), strict=True):
+                    got["".join("ACGT"[key >> 2 * i & 3] for i in range(k - 1, -1, -1))] += m
+            assert got == want
+    finally:
+        kernels.PIECE = before
+    assert "Generate" not in catalogue.queries()["kmer_spectrum"](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_sequences_are_what_their_sql_says(spark):
+    from fragmill.plans import fixtures
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Aé-b\n Zz\u212a\u0130 xyz"), (4, "".join(map(chr, range(1, 600))))], "doc_id long, text string")
+    want = spark.sql(fixtures.SEQUENCES.replace("{g}", "").replace("from documents", "from {docs}"), docs=docs)
+    got = fixtures._sequences(docs)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
