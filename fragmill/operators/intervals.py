@@ -35,10 +35,28 @@ def overlap_join(a: DataFrame, b: DataFrame, distance: int = 0, bin_size: int =
     return x.join(y, meet & near & once).drop("a_first", "a_bin", "b_first", "b_bin")
 
 
-def overlap_count(a: DataFrame, b: DataFrame, key: list[str], distance: int = 0, bin_size: int = 200) -> DataFrame:
-    """Of each row of a (by key) the rows of b that it overlaps; 0 for none."""
-    n = overlap_join(a, b, distance, bin_size).groupBy(*(F.col(f"a_{k}").alias(k) for k in key)).agg(F.count(F.lit(1)).alias("n"))
-    return a.join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def overlap_totals(a: DataFrame, b: DataFrame, distance: int = 0) -> DataFrame:
+    """chrom, start, stop, n: of each distinct interval of a the rows of b that it overlaps within distance, 0 for none.
+
+    No pair is made: of the rows of b that start before a's end, those that end by a's start don't overlap it. Both
+    numbers are running sums over the distinct places, so the work grows with the rows, not with the depth.
+    """
+    place = lambda c, s=0, e=0: F.struct(c.cast("bigint").alias("pos"), F.lit(s).alias("s"), F.lit(e).alias("e"))
+    good = lambda d: d.where(F.col("stop") > F.col("start")).select("chrom", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+    mine = cut(good(a).distinct())
+    counted = good(b).select("chrom", F.inline(F.array(place(F.col("start"), s=1), place(F.col("stop"), e=1))))
+    asked = mine.select("chrom", F.inline(F.array(place(F.col("stop") + distance), place(F.col("start") - distance))))
+    at = counted.unionByName(asked).groupBy("chrom", "pos").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    run = cut(_scan(cut(at), ["pos"], sums={"starts": F.col("s"), "ends": F.col("e")}))
+    before = run.select("chrom", (F.col("pos") - distance).alias("stop"), (F.col("starts") - F.col("s")).alias("_starts"))
+    gone = run.select("chrom", (F.col("pos") + distance).alias("start"), F.col("ends").alias("_ends"))
+    return mine.join(before, ["chrom", "stop"]).join(gone, ["chrom", "start"]).select("chrom", "start", "stop", (F.col("_starts") - F.col("_ends")).alias("n"))
+
+
+def overlap_count(a: DataFrame, b: DataFrame, key: list[str], distance: int = 0) -> DataFrame:
+    """key, n: the rows of b that the rows of a with that key overlap; 0 for none."""
+    n = overlap_totals(a, b, distance)
+    return a.join(n, ["chrom", "start", "stop"], "left").groupBy(*key).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def _scan(df: DataFrame, order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, inclusive: bool = True, following: str | None = None) -> DataFrame:

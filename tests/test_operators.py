@@ -391,3 +391,30 @@ def test_sequences_are_what_their_sql_says(spark):
     want = spark.sql(fixtures.SEQUENCES.replace("{g}", "").replace("from documents", "from {docs}"), docs=docs)
     got = fixtures._sequences(docs)
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
+def _deep(spark, n=300, seed=3):
+    """Fragments and peaks, most of them in the same places, some empty, one id twice."""
+    r = random.Random(seed)
+    f = [(i, r.choice(["c1", "c2", None]), r.randint(0, 30) * 50, r.choice([50, 100, 0]), r.randint(0, 3)) for i in range(n)]
+    p = [(i, r.choice(["c1", "c2", "c3"]), s := r.randint(0, 30) * 50, s + r.choice([60, 80, 300, 0])) for i in range(n // 4)]
+    p.append((0, "c1", 100, 700))
+    return f, p, spark.createDataFrame(f, "read_id long, chrom string, start long, len long, bc long"), spark.createDataFrame(p, "peak_id long, chrom string, start long, stop long")
+
+
+def _meet(f, p, distance=0):
+    return f[1] == p[1] and f[3] > 0 and p[3] > p[2] and f[2] < p[3] + distance and p[2] - distance < f[2] + f[3]
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    f, p, df, dp = _deep(spark)
+    b = df.withColumn("stop", F.col("start") + F.col("len")).select("chrom", "start", "stop")
+    for distance in (0, 100):
+        got = intervals.overlap_count(dp, b, ["peak_id"], distance)
+        want = {i: sum(_meet(x, y, distance) for x in f for y in p if y[0] == i) for i, *_ in p}
+        assert {r["peak_id"]: r["n"] for r in got.collect()} == want and got.count() == len(want)
+    # 2,000 fragments and 2,000 peaks in one place have four million pairs, of which no row is made
+    many = spark.range(2000).select(F.lit("c").alias("chrom"), F.lit(0).alias("start"), F.lit(50).alias("stop"), F.col("id").alias("peak_id"))
+    got = intervals.overlap_count(many, many, ["peak_id"])
+    assert got.agg(F.min("n"), F.max("n"), F.count("n")).first() == (2000, 2000, 2000)
+    assert "b_bin" not in got._jdf.queryExecution().toString()
