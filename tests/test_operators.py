@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fragmill import presets
 from fragmill.functions import kernels
-from fragmill.operators import barcode, dedup, gather, intervals, mapping, peaks, qc
+from fragmill.operators import barcode, dedup, gather, intervals, mapping, matrix, peaks, qc
 from fragmill.sources import formats
 
 SF = "/root/testdata/sf0.001"
@@ -418,3 +418,15 @@ def test_overlaps_are_counted_without_pairs(spark):
     got = intervals.overlap_count(many, many, ["peak_id"])
     assert got.agg(F.min("n"), F.max("n"), F.count("n")).first() == (2000, 2000, 2000)
     assert "b_bin" not in got._jdf.queryExecution().toString()
+
+
+def test_cells_over_peaks_make_no_pair_for_each_row(spark):
+    f, p, df, dp = _deep(spark)
+    want = Counter((x[4], y[0]) for x in f for y in p if _meet(x, y))
+    got = matrix.cell_by_peak(df, dp)
+    assert {(r["bc"], r["peak_id"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
+    # a barcode's 3,000 fragments over 3,000 peaks in one place: the overlap join makes one row of nine million
+    deep = spark.range(3000).select(F.lit(1).alias("bc"), F.lit("c").alias("chrom"), F.lit(0).alias("start"), F.lit(50).alias("len"))
+    peaks_ = spark.range(3000).select(F.col("id").alias("peak_id"), F.lit("c").alias("chrom"), F.lit(10).alias("start"), F.lit(60).alias("stop"))
+    assert matrix._by_place(deep, peaks_, 200).collect() == [(1, "c", 10, 60, 3000)]
+    assert matrix.cell_by_peak(deep, peaks_).agg(F.min("n"), F.max("n"), F.count("n")).first() == (3000, 3000, 3000)
