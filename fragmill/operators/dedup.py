@@ -69,19 +69,20 @@ def seed_duplicates(reads: DataFrame, seed: int = 16) -> DataFrame:
     return keyed.groupBy("bc", "seed1", "seed2").agg(F.min("read_id").alias("read_id"), F.count(F.lit(1)).alias("n"))
 
 
-def allocate_multi(frags: DataFrame, distance: int = 0, seed: int = 11, unique_mapq: int = 4, bin_size: int = 512) -> DataFrame:
+def allocate_multi(frags: DataFrame, distance: int = 0, seed: int = 11, unique_mapq: int = 4) -> DataFrame:
     """Unique rows, and one row of each multi-mapping read (mapq below unique_mapq): a row is drawn with the
     weight of the unique rows that it overlaps within distance; reads without any weight go.
 
     The draw is a hash of the read, so that any partitioning gives the same rows.
     """
-    from fragmill.operators.intervals import overlap_join
+    from fragmill.operators.intervals import overlap_totals
 
     unique, multi = frags.where(F.col("mapq") >= unique_mapq), frags.where(F.col("mapq") < unique_mapq)
     spans = lambda d: d.withColumn("stop", F.col("start") + F.col("len"))
     keys = ["read_id", "chrom", "start", "len", "bc"]
-    hits = overlap_join(spans(multi).select(*keys, "stop"), spans(unique).select("chrom", "start", "stop"), distance, bin_size)
-    weights = hits.groupBy(*(F.col(f"a_{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("weight"))
+    over = overlap_totals(spans(multi), spans(unique), distance).where("n > 0")
+    rows = spans(multi.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    weights = rows.join(over, ["chrom", "start", "stop"]).select(*keys, (F.col("n") * F.col("_rows")).alias("weight"))
     w = Window.partitionBy("read_id").orderBy("chrom", "start", "len", "bc")
     summed = weights.withColumn("upto", F.sum("weight").over(w)).withColumn("total", F.sum("weight").over(Window.partitionBy("read_id")))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("read_id")), F.col("total"))

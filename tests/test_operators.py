@@ -439,3 +439,23 @@ def test_peaks_are_numbered_before_counts_are_spread(spark):
     met = Counter((x[4], y[0]) for x in f for y in p if _meet(x, y))
     ids = {i: k for k, i in enumerate(sorted({i for _, i in met}))}
     assert Counter({(r["feat_idx"], r["n"]): 1 for r in got.collect()}) == Counter({(ids[i], n): 1 for (_, i), n in met.items()})
+
+
+def test_multi_mapping_weights_make_no_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i % 40, r.choice(["c1", "c2"]), r.randint(0, 20) * 50, r.choice([50, 100]), r.randint(0, 2), r.choice([0, 30])) for i in range(600)]
+    f = spark.createDataFrame(rows, "read_id long, chrom string, start long, len long, bc long, mapq long")
+    unique, multi = [x for x in rows if x[5] >= 4], [x for x in rows if x[5] < 4]
+    weight = Counter()
+    for x in multi:
+        weight[x[:5]] += sum(y[1] == x[1] and x[2] - 60 < y[2] + y[3] and y[2] < x[2] + x[3] + 60 for y in unique)
+    want = []
+    for i in {x[0] for x in multi}:
+        mine = sorted(k for k in weight if k[0] == i and weight[k])
+        if total := sum(weight[k] for k in mine):
+            draw = spark.range(1).select(F.pmod(F.xxhash64(F.lit(11), F.lit(i).cast("long")), F.lit(total))).first()[0]
+            want.append(next(k for n, k in enumerate(mine) if draw < sum(weight[x] for x in mine[: n + 1])))
+    monkeypatch.setattr(intervals, "overlap_join", None)  # makes a row for each pair
+    got = [tuple(x) for x in dedup.allocate_multi(f, distance=60).collect()]
+    assert sorted(x[:5] for x in got if x[5] < 4) == sorted(want)
+    assert sorted(x for x in got if x[5] >= 4) == sorted(unique)
