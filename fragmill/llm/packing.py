@@ -9,16 +9,19 @@ nothing helps. What a group leaves underfull is dealt and packed again with othe
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +32,38 @@ CAPACITY = 2048
 GROUP = 8192
 #: Texts of these characters alone may be cut at spaces and encoded word by word: nothing in them composes.
 PLAIN = re.compile("[\t\n\r -~\xa1-\xff]*")
+#: Characters of plain texts that are split together.
+AT_ONCE = 1 << 22
+#: Where a tokenizer cuts by this pattern, after lower-casing, nothing goes across a letter and an ASCII sign but "'" after it.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SIGN, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LOWER[65:91] += 32
 #: Not in PLAIN: stands between words that are encoded together.
 MARK = "\x01"
 
 
+def _apart(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """PLAIN texts in lower case, with a space between a letter and a sign behind it: words with and without a comma
+    are one to learn. Of letters beyond ASCII, which stay as they are, those of UTF-8's first byte 0xc3 count."""
+    if not len(texts):
+        return texts
+    _, places, data = texts.buffers()
+    ends = np.frombuffer(places, np.int64, len(texts) + 1)
+    if not ends[-1]:
+        return texts
+    raw = np.frombuffer(data, np.uint8, ends[-1])
+    letter = _LETTER[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    cut = np.append(False, letter[:-1] & _SIGN[raw[1:]])
+    cut[ends[:-1][ends[:-1] < len(raw)]] = False
+    before = np.cumsum(cut)
+    out = np.full(len(raw) + int(before[-1]), 32, np.uint8)
+    out[np.arange(len(raw)) + before] = _LOWER[raw]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends + np.append(0, before)[ends]), pa.py_buffer(out))
+
+
 class WordTokens:
     """A tokenizer that drops white space; the ids of the last words met are kept, up to about twice `most`."""
 
@@ -45,11 +76,15 @@ class WordTokens:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most = most
+        state = lambda x: json.loads(x.__getstate__()) if x else {}
+        first = state(self.tokenizer.pre_tokenizer).get("pretokenizers", [{}])[0]
+        cut = first.get("behavior") in ("Removed", "Isolated") and first.get("pattern", {}).get("Regex") == CUTS
+        self.composes = cut and state(self.tokenizer.normalizer).get("normalizers", [{}])[-1] == {"type": "Lowercase"}
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # places in the text aren't needed
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
@@ -63,23 +98,50 @@ class WordTokens:
             for w, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True):
                 self.known[w] = data[a:b]
 
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        new = []
+        for w in set(words).difference(self.known):
+            if (old := self.older.get(w)) is not None:
+                self.known[w] = old
+            else:
+                new.append(w)
+        self._learn(new)
+        found = [self.known[w] for w in words]
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        return found
+
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts of PLAIN characters. Arrow splits the texts and numbers their distinct words, of which each
+        is looked up once; numpy strings the words' ids together."""
+        array = pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(_apart(array) if self.composes else array)
+        words = split.flatten().dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        index = words.indices.to_numpy()
+        each = length[index]
+        upto = np.append(0, np.cumsum(each))  # ids before each word of the texts
+        shift = (np.cumsum(length) - length)[index] - upto[:-1]
+        data = np.frombuffer(b"".join(ids), "<u4")[np.repeat(shift, each) + np.arange(upto[-1])].tobytes()
+        ends = (4 * upto[split.offsets.to_numpy()]).tolist()
+        for start, end in pairwise(ends):
+            yield data[start:end]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
+        some, n = [], 0
         for text in texts:
-            if not PLAIN.fullmatch(text):
+            plain = PLAIN.fullmatch(text)
+            if plain:
+                some.append(text)
+                n += len(text)
+            if not plain or n >= AT_ONCE:
+                yield from self._plain(some)
+                some, n = [], 0
+            if not plain:
                 yield np.array(self._ids(text), "<u4").tobytes()
-                continue
-            words = text.split()
-            new = []
-            for w in set(words).difference(self.known):
-                if (old := self.older.get(w)) is not None:
-                    self.known[w] = old
-                else:
-                    new.append(w)
-            self._learn(new)
-            yield b"".join(map(self.known.__getitem__, words))
-            if len(self.known) > self.most:
-                self.known, self.older = {}, self.known
+        yield from self._plain(some)
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_col: str = "doc_id", text_col: str = "text", most: int = 700_000) -> DataFrame:

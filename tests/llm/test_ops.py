@@ -377,6 +377,16 @@ def test_word_tokens_equal_the_library():
         assert next(w.encode([s])) == np.array(w._ids(s), "<u4").tobytes(), s
 
 
+def test_word_tokens_learn_a_word_once_whatever_sign_follows():
+    w = packing.WordTokens(WORD_BPE)
+    texts = ["Word, word. WORD!", "", "\n", "(word) Été, été; it's word's don't.", "漢 word,", "×, é÷. ß? a,b.c!d", "word"]
+    assert list(w.encode(texts)) == [np.array(w._ids(s), "<u4").tobytes() for s in texts]
+    assert {x for x in w.known if x.startswith("word")} == {"word", "word's"}
+    r = random.Random(4)
+    texts = ["".join(r.choices("abAB,.!'`s é\xd7\xdf\xc9\xaa1\n", k=r.randint(0, 30))) for _ in range(500)]
+    assert list(w.encode(texts)) == [np.array(w._ids(s), "<u4").tobytes() for s in texts]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bins_are_within_capacity_and_few(seed):
     n = np.random.default_rng(seed).integers(*((1, 2049), (500, 1200), (1, 300), (900, 1100))[seed], 800)
