@@ -164,6 +164,31 @@ def cluster_hits(at: np.ndarray, n_minimizers: int, errors: int, least: int) ->
     return out
 
 
+def cluster_groups(group: np.ndarray, at: np.ndarray, n_minimizers: int, errors: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, place, support) of cluster_hits() of many groups at once; rows are sorted by group and place.
+
+    A part without a gap that has at most n_minimizers hits never closes early: it is one cluster, at its first longest
+    run of equal places. Parts of fewer than `least` hits go; longer ones are taken one by one.
+    """
+    if not len(at):
+        return group, at, at
+    new = np.append(True, (group[1:] != group[:-1]) | (np.diff(at) > errors))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    runs = np.flatnonzero(new | np.append(True, at[1:] != at[:-1]))
+    length = np.diff(np.append(runs, len(at)))
+    part = np.cumsum(new)[runs] - 1
+    highest = np.maximum.reduceat(length, np.searchsorted(runs, first))
+    top = np.flatnonzero(length == highest[part])
+    place = at[runs[top[np.searchsorted(part[top], np.arange(len(first)))]]]
+    whole = (size >= least) & (size <= n_minimizers)
+    out = [(group[first[whole]], place[whole], highest[whole])]
+    for p in np.flatnonzero((size >= least) & (size > n_minimizers)):
+        found = np.array(cluster_hits(at[first[p] : first[p] + size[p]], n_minimizers, errors, least), at.dtype).reshape(-1, 2)
+        out.append((np.repeat(group[first[p]], len(found)), found[:, 0], found[:, 1]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def banded_distances(patterns: list[str], texts: list[str], errors: int) -> tuple[np.ndarray, np.ndarray]:
     """(edits, ends): least edits of each text against a stretch of its pattern that starts and stays within a band of
     2 * errors + 1 diagonals, and where it ends in the pattern; of equal ends the band's middle wins, then the first.

@@ -90,11 +90,13 @@ def candidates(hits: DataFrame, n_minimizers: DataFrame, errors: int = 8, least:
     rows = hits.join(n_minimizers.select("id", F.col("n").alias("n_min")), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (same, rid), part in pdf.groupby(["same", "rid"], sort=True):
-            for at, count in kernels.cluster_hits(np.sort(part["at"].to_numpy()), int(pdf["n_min"].iloc[0]), errors, least):
-                out.append((pdf["id"].iloc[0], same, rid, at, count))
-        return pd.DataFrame(out, columns=["id", "same", "rid", "at", "count"])
+        same, rid, at = (pdf[c].to_numpy() for c in ("same", "rid", "at"))
+        order = np.lexsort((at, rid, same))
+        same, rid, at = same[order], rid[order], at[order]
+        group = np.cumsum(np.append(False, (same[1:] != same[:-1]) | (rid[1:] != rid[:-1])))
+        g, place, count = kernels.cluster_groups(group, at, int(pdf["n_min"].iloc[0]), errors, least)
+        heads = np.searchsorted(group, g)
+        return pd.DataFrame({"id": pdf["id"].iloc[0], "same": same[heads], "rid": rid[heads], "at": place, "count": count})
 
     return rows.groupBy("id").applyInPandas(run, "id long, same int, rid long, at long, count int")
 

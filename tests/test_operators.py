@@ -459,3 +459,19 @@ def test_multi_mapping_weights_make_no_pairs(spark, monkeypatch):
     got = [tuple(x) for x in dedup.allocate_multi(f, distance=60).collect()]
     assert sorted(x[:5] for x in got if x[5] < 4) == sorted(want)
     assert sorted(x for x in got if x[5] >= 4) == sorted(unique)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_of_many_groups_are_those_of_each(seed, monkeypatch):
+    r = np.random.default_rng(seed)
+    group = np.sort(r.integers(0, 300, 2000))
+    at = r.integers(0, (12, 60, 400, 5000)[seed], 2000)
+    order = np.lexsort((at, group))
+    group, at = group[order], at[order]
+    for n in (1, 3, 9, 50):
+        want = sorted((g, *c) for g in set(group.tolist()) for c in kernels.cluster_hits(at[group == g], n, 8, 2))
+        assert sorted(zip(*(x.tolist() for x in kernels.cluster_groups(group, at, n, 8, 2)), strict=True)) == want
+    assert all(len(x) == 0 for x in kernels.cluster_groups(group[:0], at[:0], 3, 8, 2))
+    # groups within the read's minimizers are never taken one by one
+    monkeypatch.setattr(kernels, "cluster_hits", None)
+    kernels.cluster_groups(group, at, 2000, 8, 2)
