@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fragmill import presets
 from fragmill.functions import kernels
 from fragmill.operators import barcode, dedup, gather, intervals, mapping, matrix, peaks, qc
+from fragmill.plans import catalogue
 from fragmill.sources import formats
 
 SF = "/root/testdata/sf0.001"
@@ -420,6 +421,32 @@ def test_overlaps_are_counted_without_pairs(spark):
     assert "b_bin" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_pairs_of_deep_stacks_come_from_many_tasks(spark, monkeypatch, block):
+    f, p, df, dp = _deep(spark)
+    a = df.withColumn("stop", F.col("start") + F.col("len")).select("read_id", "chrom", "start", "stop", "bc")
+    twice = a.unionByName(a.where("read_id % 5 = 0"))  # equal rows stay as many as they are
+    monkeypatch.setattr(intervals, "BLOCK", block)
+    for distance in (0, 100):
+        got, want = intervals.overlap_pairs(twice, dp, distance), intervals.overlap_join(twice, dp, distance)
+        assert got.columns == want.columns and Counter(got.collect()) == Counter(want.collect())
+    assert intervals.overlap_pairs(a.where("false"), dp).count() == 0
+    # 600 reads and 600 peaks in each of 20 places of a bin: the overlap join leaves all pairs to one task
+    monkeypatch.setattr(intervals, "BLOCK", 100)
+    deep = spark.range(12_000).select(F.lit("c").alias("chrom"), (F.col("id") % 20 * 10).alias("start"), (F.col("id") % 20 * 10 + 10).alias("stop"), F.col("id").alias("peak_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        by_task = [r["count"] for r in intervals.overlap_pairs(deep, deep).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(by_task) == 20 * 600 * 600 and max(by_task) < sum(by_task) / 2
+
+
+def test_query_of_overlaps_stacks_equal_intervals(spark):
+    plan = catalogue.queries()["overlap_join"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" in plan
+
+
 def test_cells_over_peaks_make_no_pair_for_each_row(spark):
     f, p, df, dp = _deep(spark)
     want = Counter((x[4], y[0]) for x in f for y in p if _meet(x, y))
