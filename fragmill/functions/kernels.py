@@ -91,6 +91,26 @@ def kmer_counts(seqs: Iterable[str | None], k: int) -> Iterator[tuple[np.ndarray
         yield found, dense[found]
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """A row of bytes for each unsigned number, least byte first, as wide as the largest needs."""
+    x = np.ascontiguousarray(x, "<u8")
+    return x.view(np.uint8).reshape(-1, 8)[:, : max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)]
+
+
+def from_planes(b: bytes, n: int) -> np.ndarray:
+    """The n numbers whose planes() were written byte by byte: all least bytes, then all next ones."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(b) // n] = np.frombuffer(b, np.uint8).reshape(-1, n).T
+    return out.view("<u8").ravel()
+
+
+def frequent(key: np.ndarray, least: int) -> np.ndarray:
+    """The numbers that are found `least` times or more, sorted."""
+    low = (key & np.uint64((1 << 20) - 1)).astype(np.int64)
+    found, n = np.unique(key[np.bincount(low, minlength=1 << 20)[low] >= least], return_counts=True)
+    return found[n >= least]
+
+
 def minimizer_pieces(seq: str, k: int, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, place of the k-mer's last base, strand) of the k-mers that are least in a window of w, piece by piece.
 

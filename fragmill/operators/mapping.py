@@ -75,6 +75,151 @@ def two_rounds(mins: DataFrame, index: DataFrame, k: int = 17, first: int = 500,
     return low.unionByName(seed_hits(without, index, k, second))
 
 
+#: Shares that self_hits() deals hashes into, by their low bits.
+PARTS = 1 << 10
+_PACKED = "part int, base long, n int, hash binary, ids binary, places binary, often binary"
+
+
+def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
+    """The minimizers of seqs(id, seq) as a row for each share and PIECE of them: numbers by byte planes, ids from a
+    base on, places with the strand as their last bit. Seeds that a PIECE alone holds `second` times go as `often`,
+    without their places: they are too frequent whatever the other pieces hold."""
+
+    def frame(ids: list[int], pieces: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, place, strand = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        ids = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in pieces])
+        place = place * 2 + strand
+        often = kernels.frequent(key, second)
+        if len(often):
+            rare = ~np.isin(key, often)
+            key, ids, place = key[rare], ids[rare], place[rare]
+        share = np.uint64(PARTS - 1)
+        part = (key & share).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        base = int(ids.min(initial=np.iinfo(np.int64).max))
+        cols = [kernels.planes(x[order]) for x in (key // np.uint64(PARTS), (ids - base).view(np.uint64), place.astype(np.uint64))]
+        ends = np.cumsum(np.bincount(part, minlength=PARTS)).tolist()
+        common = [often[often & share == np.uint64(p)].astype("<u8").tobytes() for p in range(PARTS)] if len(often) else [b""] * PARTS
+        rows = [(p, stop - start, start, stop) for p, (start, stop) in enumerate(zip([0, *ends], ends)) if stop > start or common[p]]
+        parts, n = [r[0] for r in rows], [r[1] for r in rows]
+        packs = [[c[start:stop].T.tobytes() for _, _, start, stop in rows] for c in cols]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in packs), pa.array([common[p] for p in parts], pa.binary())], ["part", "base", "n", "hash", "ids", "places", "often"])
+
+    def run(batches):
+        ids, pieces, n = [], [], 0
+        for b in batches:
+            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for piece in kernels.minimizer_pieces(s or "", k, w):
+                    ids.append(i)
+                    pieces.append(piece)
+                    n += len(piece[0])
+                    if n >= kernels.PIECE:
+                        yield frame(ids, pieces)
+                        ids, pieces, n = [], [], 0
+        if n:
+            yield frame(ids, pieces)
+
+    return seqs.mapInArrow(run, _PACKED)
+
+
+def _shares(batches):
+    """(hashes, first row of each hash, n of each, ids, places) of each share, sorted by hash. batches: _packed() rows
+    sorted by share, each share whole. An n is 2^31 where a piece had the seed too often."""
+
+    def share(part: int, rows: list[dict]):
+        full = [r for r in rows if r["n"]]
+        none = [np.zeros(0, np.uint64)]
+        key = np.concatenate([kernels.from_planes(r["hash"], r["n"]) for r in full] or none) * np.uint64(PARTS) + np.uint64(part)
+        ids = np.concatenate([kernels.from_planes(r["ids"], r["n"]).view(np.int64) + r["base"] for r in full] or none).astype(np.int64)
+        places = np.concatenate([kernels.from_planes(r["places"], r["n"]) for r in full] or none).astype(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        n = np.diff(np.append(first, len(key)))
+        often = np.frombuffer(b"".join(r["often"] for r in rows), "<u8")
+        n_occ = np.where(np.isin(key[first], often), 1 << 31, n) if len(often) else n
+        return key[first].astype(np.int64), n, n_occ, ids[order], places[order]
+
+    part, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["part"] != part and rows:
+                yield share(part, rows)
+                rows = []
+            part = r["part"]
+            rows.append(r)
+    if rows:
+        yield share(part, rows)
+
+
+def _seeds(dealt: DataFrame, least: int, below: int) -> DataFrame:
+    """hash, ids, places of the seeds that are found `least` times to fewer than `below`: a row for each."""
+
+    def run(batches):
+        for key, n, n_occ, ids, places in _shares(batches):
+            keep = (n_occ >= least) & (n_occ < below)
+            mine = np.repeat(keep, n)
+            key, n, ids, places = key[keep], n[keep], ids[mine], places[mine]
+            ends = np.append(0, np.cumsum(n))
+            at = 0
+            while at < len(key):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + kernels.PIECE // 16, "right")) - 1)
+                offsets = pa.array((ends[at : to + 1] - ends[at]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[ends[at] : ends[to]])) for x in (ids, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at:to]), *lists], ["hash", "ids", "places"])
+                at = to
+
+    return dealt.mapInArrow(run, "hash long, ids array<long>, places array<long>")
+
+
+def _asked(dealt: DataFrame, first: int, second: int) -> DataFrame:
+    """id, hash: the ids with a seed found fewer than `first` times, with a null hash, and for others the seeds found
+    `first` times to fewer than `second`. An id can come both ways, from two tasks."""
+
+    def run(batches):
+        known, keys, ids = np.zeros(0, np.int64), [], []
+        for key, n, n_occ, of, _ in _shares(batches):
+            known = np.union1d(known, of[np.repeat(n_occ < first, n)])
+            some = np.repeat((n_occ >= first) & (n_occ < second), n)
+            keys.append(np.repeat(key, n)[some])
+            ids.append(of[some])
+        if keys:
+            key, of = np.concatenate(keys), np.concatenate(ids)
+            new = ~np.isin(of, known)
+            key, of = pa.array(key[new], pa.int64()), pa.array(of[new], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.nulls(len(known), pa.int64())], ["id", "hash"])
+            yield pa.RecordBatch.from_arrays([of, key], ["id", "hash"])
+
+    return dealt.mapInArrow(run, "id long, hash long")
+
+
+def self_hits(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "rid", seq: str = "seq", first: int = 500, second: int = 1000) -> DataFrame:
+    """two_rounds() of sequences against an index of the same ones.
+
+    Their minimizers are dealt out once, packed, and a seed's places meet in the task that has them: no join. A
+    sequence hits itself by each of its seeds, so those without a hit below `first` have no seed below it.
+    """
+    tasks = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = _packed(seqs.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")), k, w, second)
+    dealt = packed.repartition(tasks, "part").sortWithinPartitions("part")
+
+    def pairs(seeds: DataFrame) -> DataFrame:
+        mine = seeds.select("*", F.posexplode("ids").alias("_i", "id"))
+        if "asked" in seeds.columns:
+            mine = mine.where(F.array_contains("asked", F.col("id")))
+        mine = mine.select("id", F.col("places")[F.col("_i")].alias("place"), "ids", "places")
+        both = mine.select("id", "place", "places", F.posexplode("ids").alias("_j", "rid"))
+        both = both.select("id", "rid", "place", F.col("places")[F.col("_j")].alias("ref"))
+        pos, ref = (F.shiftright(c, 1).cast("int") for c in ("place", "ref"))
+        same = F.col("place").bitwiseAND(1) == F.col("ref").bitwiseAND(1)
+        at = F.when(same, ref - pos).otherwise(ref + pos - k + 1)
+        return both.select("id", same.cast("int").alias("same"), "rid", at.alias("at")).where("at >= 0")
+
+    without = _asked(dealt, first, second).groupBy("id").agg(F.max(F.col("hash").isNull()).alias("known"), F.collect_set("hash").alias("hashes")).where("not known")
+    asked = without.select("id", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.collect_set("id").alias("asked"))
+    return pairs(_seeds(dealt, 1, first)).unionByName(pairs(_seeds(dealt, first, second).join(asked, "hash")))
+
+
 def repetitive_length(mins: DataFrame, index: DataFrame, k: int = 17, w: int = 7, least: int = 500) -> DataFrame:
     """id, rep_len, rep_seeds: bases that frequent seeds cover, near ones counted by their distance."""
     often = index.where(F.col("n_occ") >= least).select("hash").distinct()

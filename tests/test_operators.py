@@ -1,5 +1,6 @@
 """Invariants and traps of the operators on small tables."""
 
+import os
 import random
 from collections import Counter
 
@@ -502,3 +503,45 @@ def test_clusters_of_many_groups_are_those_of_each(seed, monkeypatch):
     # groups within the read's minimizers are never taken one by one
     monkeypatch.setattr(kernels, "cluster_hits", None)
     kernels.cluster_groups(group, at, 2000, 8, 2)
+
+
+def _hits(df):
+    return sorted(map(tuple, df.select("id", "same", "rid", "at").collect()))
+
+
+def test_sequences_against_themselves_hit_as_by_joins(spark):
+    r = random.Random(5)
+    common = ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(4)]
+    seqs = ["".join(r.choice([*common, "N", "ACGTACGTT", "".join(r.choice("ACGTn") for _ in range(30))]) for _ in range(r.randint(0, 6))) for _ in range(60)]
+    rows = [(i * 10**13 - 3 * 10**14, s) for i, s in enumerate([*seqs, None, "", "ACG", *common, *common[:2] * 4, kernels.revcomp(common[3])])] + [(7, common[0]), (7, seqs[0])]
+    df = spark.createDataFrame(rows, "doc_id long, seq string").repartition(3)
+    m, index = mapping.minimizers(df, id_col="doc_id"), mapping.build_index(df.withColumnRenamed("doc_id", "rid"))
+    second_rounds = 0
+    for first, second in ((500, 1000), (40, 60), (10, 45), (2, 30), (2, 3), (1, 1000)):
+        want = _hits(mapping.two_rounds(m, index, 17, first, second))
+        second_rounds += len(want) > mapping.seed_hits(m, index, 17, first).count()
+        assert _hits(mapping.self_hits(df, id_col="doc_id", first=first, second=second)) == want
+    assert second_rounds >= 2
+    assert mapping.self_hits(df.where("false"), id_col="doc_id").count() == 0
+
+
+def test_seeds_of_sequences_are_dealt_out_once(spark):
+    """What is shuffled stays below four times the compressed texts; joins of rows took seven times."""
+    sf = "/root/testdata/sf0.01"
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    catalogue.queries()["seed_join_hits"](spark, sf).write.format("noop").mode("overwrite").save()
+    assert 0 < written() - before < 4 * os.path.getsize(f"{sf}/documents.parquet")
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 1 << 34, (1 << 63) + 1])
+def test_numbers_come_back_from_their_planes(most):
+    x = np.array([0, most, most // 3, 0], np.uint64)
+    planes = kernels.planes(x)
+    assert planes.shape[1] == max(1, (most.bit_length() + 7) // 8)
+    assert kernels.from_planes(planes.T.tobytes(), 4).tolist() == x.tolist()
