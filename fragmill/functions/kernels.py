@@ -150,6 +150,72 @@ def minimizer_pieces(seq: str, k: int, w: int) -> Iterator[tuple[np.ndarray, np.
             yield key[last : last + 1], place[last : last + 1], strand[last : last + 1]
 
 
+#: Bases that minimizers_of() gets at a time, so few that its vectors stay in a core's cache.
+BATCH = 1 << 15
+
+
+def _doubled(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """_packed() from k-mers of 1, 2, 4 and more bases, each joined from two shorter ones."""
+    one = np.minimum(codes, 3).astype(np.uint64)
+    base = one, np.uint64(3) - one
+    (fwd, rev), m = base, 1
+
+    def joined(last: tuple[np.ndarray, np.ndarray], more: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(fwd) - more
+        return (fwd[:n] << np.uint64(2 * more)) | last[0][m : m + n], rev[:n] | (last[1][m : m + n] << np.uint64(2 * m))
+
+    for bit in f"{k:b}"[1:]:
+        fwd, rev = joined((fwd, rev), m)
+        m *= 2
+        if bit == "1":
+            fwd, rev = joined(base, 1)
+            m += 1
+    return fwd, rev
+
+
+def minimizers_of(seqs: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the sequence, hash, place, strand) of all of minimizer_pieces() of many sequences, laid end to end.
+
+    What stands between two is no base, so no window reaches from one into the next.
+    """
+    none, bad = np.uint64((1 << 64) - 1), np.uint64((1 << 64) - 2)
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    codes = _CODE[np.frombuffer("\n".join([*seqs, ""]).encode("latin-1", "replace"), np.uint8)]
+    if len(codes) < k:
+        return begin[:0], np.zeros(0, np.uint64), begin[:0], begin[:0]
+    fwd, rev = _doubled(codes, k)
+    unknown = np.cumsum(np.append(0, codes > 3))
+    known = unknown[k:] == unknown[:-k]
+    at = np.flatnonzero(~known | (fwd != rev))
+    hf, hr = hash64(fwd[at], 2 * k), hash64(rev[at], 2 * k)
+    key = np.where(known[at], hash64(np.minimum(hf, hr), 2 * k), none)
+    chosen = np.zeros(len(key), bool)
+    if len(key) >= w:
+        n = len(key) - w + 1
+        least, size = key, 1
+        while size < w:
+            step = min(size, w - size)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            size += step
+        unclear = np.cumsum(np.append(0, key == none))
+        least = np.where(unclear[w:] == unclear[:-w], least, bad)
+        for i in range(w):
+            chosen[i : i + n] |= key[i : i + n] == least
+    # a sequence's last w k-mers give their least one, of equal ones the last
+    first, end = np.searchsorted(at, begin), np.searchsorted(at, begin + lengths - k + 1)
+    first, end = first[end > first], end[end > first]
+    low, where = np.full(len(end), none), np.zeros(len(end), np.int64)
+    for i in range(1, w + 1):
+        here = np.maximum(end - i, first)
+        less = (end - i >= first) & (key[here] < low)
+        low, where = np.where(less, key[here], low), np.where(less, here, where)
+    chosen[where[low != none]] = True
+    found = np.flatnonzero(chosen)
+    of = np.searchsorted(begin, at[found], "right") - 1
+    return of, key[found], at[found] - begin[of] + k - 1, (hf[found] >= hr[found]).astype(np.int64)
+
+
 def minimizers(seq: str, k: int, w: int) -> list[tuple[int, int, int]]:
     """All of minimizer_pieces() in the order of their places."""
     pieces = list(minimizer_pieces(seq, k, w))

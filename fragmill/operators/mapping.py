@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -85,9 +87,8 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
     base on, places with the strand as their last bit. Seeds that a PIECE alone holds `second` times go as `often`,
     without their places: they are too frequent whatever the other pieces hold."""
 
-    def frame(ids: list[int], pieces: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, place, strand = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        ids = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in pieces])
+    def frame(pieces: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        ids, key, place, strand = (np.concatenate(x) for x in zip(*pieces, strict=True))
         place = place * 2 + strand
         often = kernels.frequent(key, second)
         if len(often):
@@ -105,19 +106,36 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
         packs = [[c[start:stop].T.tobytes() for _, _, start, stop in rows] for c in cols]
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in packs), pa.array([common[p] for p in parts], pa.binary())], ["part", "base", "n", "hash", "ids", "places", "often"])
 
-    def run(batches):
-        ids, pieces, n = [], [], 0
+    def found(batches) -> Iterator[tuple[np.ndarray, ...]]:
+        ids, seqs, n = [], [], 0
+
+        def many() -> tuple[np.ndarray, ...]:
+            of, *rest = kernels.minimizers_of(seqs, k, w)
+            return np.array(ids, np.int64)[of], *rest
+
         for b in batches:
             for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for piece in kernels.minimizer_pieces(s or "", k, w):
+                if len(s or "") > kernels.BATCH:
+                    yield from ((np.full(len(p[0]), i, np.int64), *p) for p in kernels.minimizer_pieces(s, k, w))
+                elif s:
                     ids.append(i)
-                    pieces.append(piece)
-                    n += len(piece[0])
-                    if n >= kernels.PIECE:
-                        yield frame(ids, pieces)
-                        ids, pieces, n = [], [], 0
+                    seqs.append(s)
+                    n += len(s)
+                if n >= kernels.BATCH:
+                    yield many()
+                    ids, seqs, n = [], [], 0
+        yield many()
+
+    def run(batches):
+        pieces, n = [], 0
+        for piece in found(batches):
+            pieces.append(piece)
+            n += len(piece[0])
+            if n >= kernels.PIECE:
+                yield frame(pieces)
+                pieces, n = [], 0
         if n:
-            yield frame(ids, pieces)
+            yield frame(pieces)
 
     return seqs.mapInArrow(run, _PACKED)
 
@@ -179,7 +197,7 @@ def _asked(dealt: DataFrame, first: int, second: int) -> DataFrame:
     def run(batches):
         known, keys, ids = np.zeros(0, np.int64), [], []
         for key, n, n_occ, of, _ in _shares(batches):
-            known = np.union1d(known, of[np.repeat(n_occ < first, n)])
+            known = pd.unique(np.append(known, of[np.repeat(n_occ < first, n)]))
             some = np.repeat((n_occ >= first) & (n_occ < second), n)
             keys.append(np.repeat(key, n)[some])
             ids.append(of[some])

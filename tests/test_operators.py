@@ -512,8 +512,9 @@ def _hits(df):
 def test_sequences_against_themselves_hit_as_by_joins(spark):
     r = random.Random(5)
     common = ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(4)]
+    long = "".join(r.choice("ACGT") for _ in range(3 * kernels.BATCH // 2))
     seqs = ["".join(r.choice([*common, "N", "ACGTACGTT", "".join(r.choice("ACGTn") for _ in range(30))]) for _ in range(r.randint(0, 6))) for _ in range(60)]
-    rows = [(i * 10**13 - 3 * 10**14, s) for i, s in enumerate([*seqs, None, "", "ACG", *common, *common[:2] * 4, kernels.revcomp(common[3])])] + [(7, common[0]), (7, seqs[0])]
+    rows = [(i * 10**13 - 3 * 10**14, s) for i, s in enumerate([*seqs, None, "", "ACG", *common, *common[:2] * 4, kernels.revcomp(common[3]), long, long[50:90]])] + [(7, common[0]), (7, seqs[0])]
     df = spark.createDataFrame(rows, "doc_id long, seq string").repartition(3)
     m, index = mapping.minimizers(df, id_col="doc_id"), mapping.build_index(df.withColumnRenamed("doc_id", "rid"))
     second_rounds = 0
@@ -539,6 +540,17 @@ def test_seeds_of_sequences_are_dealt_out_once(spark):
     assert 0 < written() - before < 4 * os.path.getsize(f"{sf}/documents.parquet")
 
 
+@pytest.mark.parametrize(("k", "w"), [(17, 7), (4, 3), (2, 7), (5, 1), (31, 10)])
+def test_minimizers_of_many_sequences_are_those_of_each(k, w):
+    r = random.Random(k)
+    pick = [lambda n: ("ACGT" * n)[:n], lambda n: "A" * n, lambda n: "".join(r.choice("ACGTacgt") for _ in range(n)), lambda n: "".join(r.choice("ACGTNé€") for _ in range(n))]
+    for _ in range(60):
+        seqs = [r.choice(pick)(r.choice([0, 1, k - 1, k, k + 1, k + w - 2, k + w - 1, 60, 300])) for _ in range(r.randint(0, 12))]
+        of, *found = kernels.minimizers_of(seqs, k, w)
+        got = sorted(zip(of.tolist(), *(x.astype(np.int64).tolist() for x in found), strict=True))
+        assert got == sorted((i, *x) for i, s in enumerate(seqs) for x in kernels.minimizers(s, k, w))
+
+
 @pytest.mark.parametrize("most", [0, 1, 255, 256, 1 << 34, (1 << 63) + 1])
 def test_numbers_come_back_from_their_planes(most):
     x = np.array([0, most, most // 3, 0], np.uint64)
