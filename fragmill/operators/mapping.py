@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,13 +79,15 @@ def two_rounds(mins: DataFrame, index: DataFrame, k: int = 17, first: int = 500,
 
 #: Shares that self_hits() deals hashes into, by their low bits.
 PARTS = 1 << 10
+#: Minimizers that are packed at a time, so few that Arrow's batches of 10,000 rows stay small.
+_PACK = kernels.PIECE // 4
 _PACKED = "part int, base long, n int, hash binary, ids binary, places binary, often binary"
 
 
-def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
-    """The minimizers of seqs(id, seq) as a row for each share and PIECE of them: numbers by byte planes, ids from a
-    base on, places with the strand as their last bit. Seeds that a PIECE alone holds `second` times go as `often`,
-    without their places: they are too frequent whatever the other pieces hold."""
+def _packed(seqs: DataFrame, k: int, w: int, second: int, clean: Callable | None) -> DataFrame:
+    """The minimizers of seqs(id, seq), each seq through clean, as a row for each share and _PACK of them: numbers by byte planes, ids from a
+    base on, places with the strand as their last bit. Seeds that a pack alone holds `second` times go as `often`,
+    without their places: they are too frequent whatever the other packs hold."""
 
     def frame(pieces: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         ids, key, place, strand = (np.concatenate(x) for x in zip(*pieces, strict=True))
@@ -115,6 +117,7 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
 
         for b in batches:
             for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = clean(s) if clean and s else s
                 if len(s or "") > kernels.BATCH:
                     yield from ((np.full(len(p[0]), i, np.int64), *p) for p in kernels.minimizer_pieces(s, k, w))
                 elif s:
@@ -131,7 +134,7 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
         for piece in found(batches):
             pieces.append(piece)
             n += len(piece[0])
-            if n >= kernels.PIECE:
+            if n >= _PACK:
                 yield frame(pieces)
                 pieces, n = [], 0
         if n:
@@ -140,23 +143,30 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int) -> DataFrame:
     return seqs.mapInArrow(run, _PACKED)
 
 
-def _shares(batches):
-    """(hashes, first row of each hash, n of each, ids, places) of each share, sorted by hash. batches: _packed() rows
-    sorted by share, each share whole. An n is 2^31 where a piece had the seed too often."""
+def _shares(batches, least: int):
+    """(hashes, n of each, n in all, ids, places, ids of the rest) of each share, sorted by hash. batches: _packed() rows
+    sorted by share, each share whole. Of seeds whose low bits are found fewer than `least` times, which spares sorting
+    them, only the ids come, as the rest. The n in all is 2^31 where a pack had the seed too often."""
 
     def share(part: int, rows: list[dict]):
         full = [r for r in rows if r["n"]]
-        none = [np.zeros(0, np.uint64)]
-        key = np.concatenate([kernels.from_planes(r["hash"], r["n"]) for r in full] or none) * np.uint64(PARTS) + np.uint64(part)
-        ids = np.concatenate([kernels.from_planes(r["ids"], r["n"]).view(np.int64) + r["base"] for r in full] or none).astype(np.int64)
-        places = np.concatenate([kernels.from_planes(r["places"], r["n"]) for r in full] or none).astype(np.int64)
+        ids = np.concatenate([kernels.from_planes(r["ids"], r["n"]).view(np.int64) + r["base"] for r in full] or [np.zeros(0, np.int64)])
+        key, places = (np.concatenate([kernels.from_planes(r[c], r["n"]) for r in full] or [np.zeros(0, np.uint64)]) for c in ("hash", "places"))
+        often = np.frombuffer(b"".join(r["often"] for r in rows), "<u8")
+        rest = ids[:0]
+        if least > 1:
+            low = lambda x: (x & np.uint64((1 << 18) - 1)).astype(np.int64)
+            many = np.bincount(low(key), minlength=1 << 18) >= least
+            many[low(often // np.uint64(PARTS))] = True
+            mine = many[low(key)]
+            rest, key, ids, places = ids[~mine], key[mine], ids[mine], places[mine]
+        key = key * np.uint64(PARTS) + np.uint64(part)
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         n = np.diff(np.append(first, len(key)))
-        often = np.frombuffer(b"".join(r["often"] for r in rows), "<u8")
         n_occ = np.where(np.isin(key[first], often), 1 << 31, n) if len(often) else n
-        return key[first].astype(np.int64), n, n_occ, ids[order], places[order]
+        return key[first].astype(np.int64), n, n_occ, ids[order], places[order].astype(np.int64), rest
 
     part, rows = None, []
     for b in batches:
@@ -174,7 +184,7 @@ def _seeds(dealt: DataFrame, least: int, below: int) -> DataFrame:
     """hash, ids, places of the seeds that are found `least` times to fewer than `below`: a row for each."""
 
     def run(batches):
-        for key, n, n_occ, ids, places in _shares(batches):
+        for key, n, n_occ, ids, places, _ in _shares(batches, least):
             keep = (n_occ >= least) & (n_occ < below)
             mine = np.repeat(keep, n)
             key, n, ids, places = key[keep], n[keep], ids[mine], places[mine]
@@ -190,35 +200,45 @@ def _seeds(dealt: DataFrame, least: int, below: int) -> DataFrame:
     return dealt.mapInArrow(run, "hash long, ids array<long>, places array<long>")
 
 
-def _asked(dealt: DataFrame, first: int, second: int) -> DataFrame:
-    """id, hash: the ids with a seed found fewer than `first` times, with a null hash, and for others the seeds found
-    `first` times to fewer than `second`. An id can come both ways, from two tasks."""
+def _asked(dealt: DataFrame, first: int, second: int, tasks: int) -> DataFrame:
+    """id, hash: of the ids without a seed found fewer than `first` times, their seeds found fewer than `second`.
 
-    def run(batches):
+    A task tells the ids that have such a seed there, with -1, and of others the seeds that may be asked for.
+    """
+    batch = lambda of, key: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (of, key)], ["id", "hash"])
+
+    def tell(batches):
         known, keys, ids = np.zeros(0, np.int64), [], []
-        for key, n, n_occ, of, _ in _shares(batches):
-            known = pd.unique(np.append(known, of[np.repeat(n_occ < first, n)]))
+        for key, n, n_occ, of, _, rest in _shares(batches, first):
+            known = pd.unique(np.concatenate([known, rest, of[np.repeat(n_occ < first, n)]]))
             some = np.repeat((n_occ >= first) & (n_occ < second), n)
             keys.append(np.repeat(key, n)[some])
             ids.append(of[some])
         if keys:
             key, of = np.concatenate(keys), np.concatenate(ids)
             new = ~np.isin(of, known)
-            key, of = pa.array(key[new], pa.int64()), pa.array(of[new], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.nulls(len(known), pa.int64())], ["id", "hash"])
-            yield pa.RecordBatch.from_arrays([of, key], ["id", "hash"])
+            yield batch(known, np.full(len(known), -1))
+            yield batch(of[new], key[new])
+
+    def ask(batches):
+        rows = [[b.column(c).to_numpy() for c in ("id", "hash")] for b in batches if b.num_rows]
+        if rows:
+            of, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+            new = (key >= 0) & ~np.isin(of, of[key < 0])
+            yield batch(of[new], key[new])
 
-    return dealt.mapInArrow(run, "id long, hash long")
+    return dealt.mapInArrow(tell, "id long, hash long").repartition(tasks, "id").mapInArrow(ask, "id long, hash long")
 
 
-def self_hits(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "rid", seq: str = "seq", first: int = 500, second: int = 1000) -> DataFrame:
-    """two_rounds() of sequences against an index of the same ones.
+def self_hits(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "rid", seq: str = "seq", first: int = 500, second: int = 1000, clean: Callable | None = None) -> DataFrame:
+    """two_rounds() of sequences against an index of the same ones. clean: makes a sequence of what seq holds, in the
+    Python worker that takes its minimizers.
 
     Their minimizers are dealt out once, packed, and a seed's places meet in the task that has them: no join. A
     sequence hits itself by each of its seeds, so those without a hit below `first` have no seed below it.
     """
     tasks = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _packed(seqs.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")), k, w, second)
+    packed = _packed(seqs.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")), k, w, second, clean)
     dealt = packed.repartition(tasks, "part").sortWithinPartitions("part")
 
     def pairs(seeds: DataFrame) -> DataFrame:
@@ -233,8 +253,7 @@ def self_hits(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "rid", seq
         at = F.when(same, ref - pos).otherwise(ref + pos - k + 1)
         return both.select("id", same.cast("int").alias("same"), "rid", at.alias("at")).where("at >= 0")
 
-    without = _asked(dealt, first, second).groupBy("id").agg(F.max(F.col("hash").isNull()).alias("known"), F.collect_set("hash").alias("hashes")).where("not known")
-    asked = without.select("id", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.collect_set("id").alias("asked"))
+    asked = _asked(dealt, first, second, tasks).groupBy("hash").agg(F.collect_set("id").alias("asked"))
     return pairs(_seeds(dealt, 1, first)).unionByName(pairs(_seeds(dealt, first, second).join(asked, "hash")))
 
 

@@ -61,6 +61,16 @@ _TO_BASES = bytes.maketrans(_LETTERS, b"ACGTACGTACGTACGTACGTACGTAC" * 2)
 _NO_LETTERS = bytes(set(range(256)).difference(_LETTERS))
 
 
+def bases(text: bytes) -> str:
+    """A text of `documents` as its sequence."""
+    return text.translate(_TO_BASES, _NO_LETTERS).decode()
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text (its bytes): what bases() makes of them is `sequences`."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary"))
+
+
 def _sequences(docs: DataFrame) -> DataFrame:
     """SEQUENCES by a byte table, since Spark's regexp_replace and translate take half a microsecond a character."""
 

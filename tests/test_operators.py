@@ -12,6 +12,7 @@ from fragmill import presets
 from fragmill.functions import kernels
 from fragmill.operators import barcode, dedup, gather, intervals, mapping, matrix, peaks, qc
 from fragmill.plans import catalogue
+from fragmill.plans.fixtures import table
 from fragmill.sources import formats
 
 SF = "/root/testdata/sf0.001"
@@ -524,6 +525,9 @@ def test_sequences_against_themselves_hit_as_by_joins(spark):
         assert _hits(mapping.self_hits(df, id_col="doc_id", first=first, second=second)) == want
     assert second_rounds >= 2
     assert mapping.self_hits(df.where("false"), id_col="doc_id").count() == 0
+    s = table(spark, SF, "sequences")
+    want = mapping.two_rounds(mapping.minimizers(s, id_col="doc_id"), mapping.build_index(s.withColumnRenamed("doc_id", "rid")))
+    assert _hits(catalogue.queries()["seed_join_hits"](spark, SF)) == _hits(want)
 
 
 def test_seeds_of_sequences_are_dealt_out_once(spark):
