@@ -21,13 +21,26 @@ def revcomp(s: str) -> str:
 def hash64(x: np.ndarray, bits: int) -> np.ndarray:
     """An invertible mix of numbers of so many bits. The shifts are fixed values."""
     u, mask = np.uint64, np.uint64((1 << bits) - 1)
-    x = (~x + (x << u(21))) & mask
-    x = x ^ (x >> u(24))
-    x = (x + (x << u(3)) + (x << u(8))) & mask
-    x = x ^ (x >> u(14))
-    x = (x + (x << u(2)) + (x << u(4))) & mask
-    x = x ^ (x >> u(28))
-    return (x + (x << u(31))) & mask
+    t = x << u(21)
+    x = ~x
+    x += t
+    x &= mask
+    x ^= np.right_shift(x, u(24), out=t)
+    np.left_shift(x, u(8), out=t)
+    t += x
+    x <<= u(3)
+    x += t
+    x &= mask
+    x ^= np.right_shift(x, u(14), out=t)
+    np.left_shift(x, u(4), out=t)
+    t += x
+    x <<= u(2)
+    x += t
+    x &= mask
+    x ^= np.right_shift(x, u(28), out=t)
+    x += np.left_shift(x, u(31), out=t)
+    x &= mask
+    return x
 
 
 #: k-mers that minimizers() has in memory at a time.
@@ -97,10 +110,13 @@ def planes(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint8).reshape(-1, 8)[:, : max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)]
 
 
-def from_planes(b: bytes, n: int) -> np.ndarray:
-    """The n numbers whose planes() were written byte by byte: all least bytes, then all next ones."""
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : len(b) // n] = np.frombuffer(b, np.uint8).reshape(-1, n).T
+def from_planes(packs: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The numbers of packs of so many each, whose planes() were written byte by byte: all least bytes, then all next."""
+    out = np.zeros((sum(sizes), 8), np.uint8)
+    wide = max((len(b) // n for b, n in zip(packs, sizes, strict=True) if n), default=0)
+    for i in range(wide):
+        plane = b"".join([b[i * n : i * n + n] or bytes(n) for b, n in zip(packs, sizes, strict=True)])
+        out[:, i] = np.frombuffer(plane, np.uint8)
     return out.view("<u8").ravel()
 
 

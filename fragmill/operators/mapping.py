@@ -80,7 +80,7 @@ def two_rounds(mins: DataFrame, index: DataFrame, k: int = 17, first: int = 500,
 #: Shares that self_hits() deals hashes into, by their low bits.
 PARTS = 1 << 10
 #: Minimizers that are packed at a time, so few that Arrow's batches of 10,000 rows stay small.
-_PACK = kernels.PIECE // 4
+_PACK = kernels.PIECE // 2
 _PACKED = "part int, base long, n int, hash binary, ids binary, places binary, often binary"
 
 
@@ -148,11 +148,11 @@ def _shares(batches, least: int):
     sorted by share, each share whole. Of seeds whose low bits are found fewer than `least` times, which spares sorting
     them, only the ids come, as the rest. The n in all is 2^31 where a pack had the seed too often."""
 
-    def share(part: int, rows: list[dict]):
-        full = [r for r in rows if r["n"]]
-        ids = np.concatenate([kernels.from_planes(r["ids"], r["n"]).view(np.int64) + r["base"] for r in full] or [np.zeros(0, np.int64)])
-        key, places = (np.concatenate([kernels.from_planes(r[c], r["n"]) for r in full] or [np.zeros(0, np.uint64)]) for c in ("hash", "places"))
-        often = np.frombuffer(b"".join(r["often"] for r in rows), "<u8")
+    def share(part: int, rows: list[tuple]):
+        base, n, *packs, often = zip(*rows, strict=True)
+        key, ids, places = (kernels.from_planes(x, n) for x in packs)
+        ids = ids.view(np.int64) + np.repeat(np.array(base, np.int64), n)
+        often = np.frombuffer(b"".join(often), "<u8")
         rest = ids[:0]
         if least > 1:
             low = lambda x: (x & np.uint64((1 << 18) - 1)).astype(np.int64)
@@ -170,11 +170,11 @@ def _shares(batches, least: int):
 
     part, rows = None, []
     for b in batches:
-        for r in b.to_pylist():
-            if r["part"] != part and rows:
+        for p, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if p != part and rows:
                 yield share(part, rows)
                 rows = []
-            part = r["part"]
+            part = p
             rows.append(r)
     if rows:
         yield share(part, rows)

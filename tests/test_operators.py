@@ -560,4 +560,5 @@ def test_numbers_come_back_from_their_planes(most):
     x = np.array([0, most, most // 3, 0], np.uint64)
     planes = kernels.planes(x)
     assert planes.shape[1] == max(1, (most.bit_length() + 7) // 8)
-    assert kernels.from_planes(planes.T.tobytes(), 4).tolist() == x.tolist()
+    packs = [planes.T.tobytes(), b"", kernels.planes(x[:1]).T.tobytes(), planes[:2].T.tobytes()]
+    assert kernels.from_planes(packs, [4, 0, 1, 2]).tolist() == [*x.tolist(), 0, 0, most]
