@@ -266,8 +266,9 @@ def cluster_hits(at: np.ndarray, n_minimizers: int, errors: int, least: int) ->
     return out
 
 
-def cluster_groups(group: np.ndarray, at: np.ndarray, n_minimizers: int, errors: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, place, support) of cluster_hits() of many groups at once; rows are sorted by group and place.
+def cluster_groups(group: np.ndarray, at: np.ndarray, n_minimizers: int | np.ndarray, errors: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, place, support) of cluster_hits() of many groups at once; rows are sorted by group and place. n_minimizers: of all,
+    or of each row's read.
 
     A part without a gap that has at most n_minimizers hits never closes early: it is one cluster, at its first longest
     run of equal places. Parts of fewer than `least` hits go; longer ones are taken one by one.
@@ -283,10 +284,11 @@ def cluster_groups(group: np.ndarray, at: np.ndarray, n_minimizers: int, errors:
     highest = np.maximum.reduceat(length, np.searchsorted(runs, first))
     top = np.flatnonzero(length == highest[part])
     place = at[runs[top[np.searchsorted(part[top], np.arange(len(first)))]]]
-    whole = (size >= least) & (size <= n_minimizers)
+    n = np.broadcast_to(n_minimizers, len(at))[first]
+    whole = (size >= least) & (size <= n)
     out = [(group[first[whole]], place[whole], highest[whole])]
-    for p in np.flatnonzero((size >= least) & (size > n_minimizers)):
-        found = np.array(cluster_hits(at[first[p] : first[p] + size[p]], n_minimizers, errors, least), at.dtype).reshape(-1, 2)
+    for p in np.flatnonzero((size >= least) & (size > n)):
+        found = np.array(cluster_hits(at[first[p] : first[p] + size[p]], int(n[p]), errors, least), at.dtype).reshape(-1, 2)
         out.append((np.repeat(group[first[p]], len(found)), found[:, 0], found[:, 1]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmill.functions import kernels
+from fragmill.plans.lineage import mounted_folder
 
 
 def minimizers(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "read_id", seq: str = "seq") -> DataFrame:
@@ -84,6 +88,30 @@ _PACK = kernels.PIECE // 2
 _PACKED = "part int, base long, n int, hash binary, ids binary, places binary, often binary"
 
 
+def _found(batches, k: int, w: int, clean: Callable | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, hashes, places, strands) of the minimizers of many sequences at a time, or of a piece of a long one, whose pieces
+    follow each other."""
+    ids, seqs, n = [], [], 0
+
+    def many() -> tuple[np.ndarray, ...]:
+        of, *rest = kernels.minimizers_of(seqs, k, w)
+        return np.array(ids, np.int64)[of], *rest
+
+    for b in batches:
+        for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            s = clean(s) if clean and s else s
+            if len(s or "") > kernels.BATCH:
+                yield from ((np.full(len(p[0]), i, np.int64), *p) for p in kernels.minimizer_pieces(s, k, w))
+            elif s:
+                ids.append(i)
+                seqs.append(s)
+                n += len(s)
+            if n >= kernels.BATCH:
+                yield many()
+                ids, seqs, n = [], [], 0
+    yield many()
+
+
 def _packed(seqs: DataFrame, k: int, w: int, second: int, clean: Callable | None) -> DataFrame:
     """The minimizers of seqs(id, seq), each seq through clean, as a row for each share and _PACK of them: numbers by byte planes, ids from a
     base on, places with the strand as their last bit. Seeds that a pack alone holds `second` times go as `often`,
@@ -108,30 +136,9 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int, clean: Callable | None
         packs = [[c[start:stop].T.tobytes() for _, _, start, stop in rows] for c in cols]
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([base] * len(rows), pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.binary()) for x in packs), pa.array([common[p] for p in parts], pa.binary())], ["part", "base", "n", "hash", "ids", "places", "often"])
 
-    def found(batches) -> Iterator[tuple[np.ndarray, ...]]:
-        ids, seqs, n = [], [], 0
-
-        def many() -> tuple[np.ndarray, ...]:
-            of, *rest = kernels.minimizers_of(seqs, k, w)
-            return np.array(ids, np.int64)[of], *rest
-
-        for b in batches:
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = clean(s) if clean and s else s
-                if len(s or "") > kernels.BATCH:
-                    yield from ((np.full(len(p[0]), i, np.int64), *p) for p in kernels.minimizer_pieces(s, k, w))
-                elif s:
-                    ids.append(i)
-                    seqs.append(s)
-                    n += len(s)
-                if n >= kernels.BATCH:
-                    yield many()
-                    ids, seqs, n = [], [], 0
-        yield many()
-
     def run(batches):
         pieces, n = [], 0
-        for piece in found(batches):
+        for piece in _found(batches, k, w, clean):
             pieces.append(piece)
             n += len(piece[0])
             if n >= _PACK:
@@ -144,7 +151,7 @@ def _packed(seqs: DataFrame, k: int, w: int, second: int, clean: Callable | None
 
 
 def _shares(batches, least: int):
-    """(hashes, n of each, n in all, ids, places, ids of the rest) of each share, sorted by hash. batches: _packed() rows
+    """(hashes, n of each, n in all, ids, places, ids of the rest, `often`) of each share, sorted by hash. batches: _packed() rows
     sorted by share, each share whole. Of seeds whose low bits are found fewer than `least` times, which spares sorting
     them, only the ids come, as the rest. The n in all is 2^31 where a pack had the seed too often."""
 
@@ -166,7 +173,7 @@ def _shares(batches, least: int):
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         n = np.diff(np.append(first, len(key)))
         n_occ = np.where(np.isin(key[first], often), 1 << 31, n) if len(often) else n
-        return key[first].astype(np.int64), n, n_occ, ids[order], places[order].astype(np.int64), rest
+        return key[first].astype(np.int64), n, n_occ, ids[order], places[order].astype(np.int64), rest, np.unique(often).astype(np.int64)
 
     part, rows = None, []
     for b in batches:
@@ -184,7 +191,7 @@ def _seeds(dealt: DataFrame, least: int, below: int) -> DataFrame:
     """hash, ids, places of the seeds that are found `least` times to fewer than `below`: a row for each."""
 
     def run(batches):
-        for key, n, n_occ, ids, places, _ in _shares(batches, least):
+        for key, n, n_occ, ids, places, *_ in _shares(batches, least):
             keep = (n_occ >= least) & (n_occ < below)
             mine = np.repeat(keep, n)
             key, n, ids, places = key[keep], n[keep], ids[mine], places[mine]
@@ -209,7 +216,7 @@ def _asked(dealt: DataFrame, first: int, second: int, tasks: int) -> DataFrame:
 
     def tell(batches):
         known, keys, ids = np.zeros(0, np.int64), [], []
-        for key, n, n_occ, of, _, rest in _shares(batches, first):
+        for key, n, n_occ, of, _, rest, _ in _shares(batches, first):
             known = pd.unique(np.concatenate([known, rest, of[np.repeat(n_occ < first, n)]]))
             some = np.repeat((n_occ >= first) & (n_occ < second), n)
             keys.append(np.repeat(key, n)[some])
@@ -283,6 +290,215 @@ def candidates(hits: DataFrame, n_minimizers: DataFrame, errors: int = 8, least:
     return rows.groupBy("id").applyInPandas(run, "id long, same int, rid long, at long, count int")
 
 
+#: Files of an index, each of neighbouring shares; minimizers that are looked up, and hits that are clustered, at a time.
+FILES, LOOK, HITS = 1 << 8, 1 << 20, 1 << 22
+
+
+@dataclass(frozen=True)
+class _Index:
+    """Seeds found twice or more, in files: sorted seeds, where each one's places start, and the places as numbers of `width` bytes,
+    an id from a base on before a place with its strand. Seeds found `second` times or more have no places there."""
+
+    folder: str
+    k: int
+    base: int
+    id_bits: int
+    place_bits: int
+
+    @property
+    def width(self) -> int:
+        return (self.id_bits + self.place_bits + 7) // 8
+
+    @property
+    def low_bits(self) -> int:
+        """Bits of a seed within its file."""
+        return max(2 * self.k - (PARTS - 1).bit_length(), 0) + (PARTS // FILES - 1).bit_length()
+
+    def turned(self, key: np.ndarray) -> np.ndarray:
+        """Hashes with the bits of their share first: file, then seed within it."""
+        share = (PARTS - 1).bit_length()
+        return (key & (PARTS - 1)) << max(2 * self.k - share, 0) | key >> share
+
+    @property
+    def types(self) -> tuple[str, str, str]:
+        return "<u4" if self.low_bits <= 32 else "<u8", "<u4", f"V{self.width}"
+
+    def path(self, file: int, what: int) -> str:
+        return f"{self.folder}/{file}.{what}"
+
+    def write(self, batches, second: int) -> Iterator[pa.RecordBatch]:
+        """Writes the files of shares that come in order; each whole or not at all, and the same however often it is written."""
+        file, open_, names, total = None, [], [], 0
+
+        def close() -> None:
+            if open_:
+                open_[1].write(np.array([total], "<u4").tobytes())
+            for f, name in zip(open_, names, strict=True):
+                f.close()
+                os.replace(name, name.rsplit(".", 2)[0])
+
+        for key, n, n_occ, ids, places, _, often in _shares(batches, 1):
+            keep = (n_occ > 1) & (n_occ < second)
+            mine = np.repeat(keep, n)
+            common = np.union1d(key[n_occ >= second], often)
+            seeds = self.turned(np.append(key[keep], common))
+            if not len(seeds):
+                continue
+            if seeds[0] >> self.low_bits != file:
+                close()
+                file, total = int(seeds[0] >> self.low_bits), 0
+                names = [f"{self.path(file, i)}.{os.getpid()}.{os.urandom(4).hex()}" for i in range(3)]
+                open_ = [open(name, "wb") for name in names]
+            order = np.argsort(seeds, kind="stable")
+            size = np.append(n[keep], np.zeros(len(common), np.int64))[order]
+            ends = total + np.cumsum(size)
+            if ends[-1] >= 1 << 32:
+                raise OverflowError("a file of the index holds fewer than 2^32 places")
+            number = ((ids[mine] - self.base) << self.place_bits | places[mine]).astype("<u8")
+            open_[0].write((seeds[order] & ((1 << self.low_bits) - 1)).astype(self.types[0]).tobytes())
+            open_[1].write((ends - size).astype("<u4").tobytes())
+            open_[2].write(number.view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes())
+            total = int(ends[-1])
+        close()
+        yield from ()
+
+    def files(self, file: int) -> list[np.ndarray] | None:
+        return _mapped(self, file)
+
+    def numbers(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), 8), np.uint8)
+        out[:, : self.width] = rows.view(np.uint8).reshape(-1, self.width)
+        return out.view("<i8").ravel()
+
+
+@lru_cache(4 * FILES)
+def _mapped(index: _Index, file: int) -> list[np.ndarray] | None:
+    paths = [index.path(file, i) for i in range(3)]
+    if not os.path.exists(paths[2]):
+        return None
+    return [np.asarray(np.memmap(p, t, "r")) if os.path.getsize(p) else np.zeros(0, t) for p, t in zip(paths, index.types, strict=True)]
+
+
+def _clusters(index: _Index, found: tuple[np.ndarray, ...], errors: int, least: int, first: int, second: int, at_once: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, same, rid, at, count) of the clusters of whole sequences, whose minimizers are in `found`; some at a time."""
+    ids, key, pos, strand = found
+    heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    n_min = np.diff(np.append(heads, len(ids)))
+    read = np.repeat(np.arange(len(heads)), n_min)
+    seeds = index.turned(key.astype(np.int64))
+    order = np.argsort(seeds)
+    seeds, read, pos, strand = seeds[order], read[order], pos[order], strand[order]
+    start, n = np.full(len(seeds), -1), np.ones(len(seeds), np.int64)  # a seed that the index lacks is found once, here
+    cuts = np.searchsorted(seeds, np.arange(FILES + 1) << index.low_bits)
+    for f in range(FILES):
+        some = slice(cuts[f], cuts[f + 1])
+        here = index.files(f) if cuts[f + 1] > cuts[f] else None
+        if here is not None:
+            mine = (seeds[some] & ((1 << index.low_bits) - 1)).astype(index.types[0])
+            at = np.minimum(np.searchsorted(here[0], mine), len(here[0]) - 1)
+            known = here[0][at] == mine
+            begin, end = here[1][at].astype(np.int64), here[1][at + 1].astype(np.int64)
+            start[some] = np.where(known, begin, -1)
+            n[some] = np.where(known, end - begin, 1)
+    low = (n > 0) & (n < first)
+    more = np.bincount(read[low], minlength=len(heads)) == 0
+    n[~(low | (more[read] & (n < second)))] = 0
+
+    at_bits = index.place_bits
+    same_bit = index.id_bits + at_bits
+    most = 1 << max(62 - same_bit, 0)  # sequences that the numbers of a chunk have room for
+    hits = np.append(0, np.cumsum(np.bincount(read, n, len(heads)).astype(np.int64)))
+    a = 0
+    while a < len(heads):
+        b = min(max(a + 1, int(np.searchsorted(hits, hits[a] + at_once, "right")) - 1), a + most)
+        number, used = np.empty(hits[b] - hits[a], np.int64), 0
+        mine = (read >= a) & (read < b) & (n > 0)
+        alone = read[mine & (start < 0)]
+        number[: len(alone)] = ((alone - a) << (same_bit + 1)) | 1 << same_bit | (ids[heads[alone]] - index.base) << at_bits
+        used = len(alone)
+        some = np.flatnonzero(mine & (start >= 0))
+        ends = np.searchsorted(some, cuts)
+        for f in range(FILES):
+            q = some[ends[f] : ends[f + 1]]
+            if not len(q):
+                continue
+            size = n[q]
+            stop = np.cumsum(size)
+            ref = index.numbers(index.files(f)[2][np.repeat(start[q] - stop + size, size) + np.arange(stop[-1])])
+            place = ref & ((1 << index.place_bits) - 1)
+            same = (place & 1) == np.repeat(strand[q], size)
+            place >>= 1
+            mine_at = np.repeat(pos[q], size)
+            at = place + np.where(same, -mine_at, mine_at - index.k + 1)
+            ref >>= index.place_bits
+            ref <<= at_bits
+            ref |= at
+            ref |= np.repeat((read[q] - a) << (same_bit + 1), size)
+            ref |= same.astype(np.int64) << same_bit
+            ref = ref[at >= 0]
+            number[used : used + len(ref)] = ref
+            used += len(ref)
+        number = number[:used]
+        number.sort()
+        # places of two groups lie further apart than `errors`, as at_bits leave room for it
+        begin = np.flatnonzero(np.append(True, np.diff(number) > errors)[:used])
+        size = np.diff(np.append(begin, used))
+        number = number[np.repeat(size >= least, size)]
+        group, at = number >> at_bits, number & ((1 << at_bits) - 1)
+        of = group >> (index.id_bits + 1)
+        group, at, count = kernels.cluster_groups(group, at, n_min[of + a], errors, least)
+        of = group >> (index.id_bits + 1)
+        yield ids[heads[of + a]], group >> index.id_bits & 1, (group & ((1 << index.id_bits) - 1)) + index.base, at, count
+        a = b
+
+
+def self_candidates(seqs: DataFrame, k: int = 17, w: int = 7, id_col: str = "rid", seq: str = "seq", errors: int = 8, least: int = 2, first: int = 500, second: int = 1000, clean: Callable | None = None, look: int = LOOK, hits: int = HITS) -> DataFrame:
+    """candidates() of self_hits(), without a row for each hit.
+
+    Seeds found twice or more go to files in the shared folder, which must be mounted. A worker maps them, looks up all
+    minimizers of a sequence, and clusters its hits where they are found: no hit is dealt out. Ids that are found twice, or
+    so far apart that an id and a place need more than 60 bits, take the way of self_hits(). clean makes no text longer.
+    look, hits: minimizers that are looked up, and hits that are clustered, at a time; a sequence's stay together.
+    """
+    spark = seqs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seqs = seqs.select(F.col(id_col).cast("long").alias("id"), F.col(seq).alias("seq"))
+    rows, ids, low, high, longest = seqs.agg(F.count(F.lit(1)), F.count_distinct("id"), F.min("id"), F.max("id"), F.max(F.octet_length("seq"))).first()
+    id_bits = max(((high or 0) - (low or 0)).bit_length(), 1)
+    place_bits = (2 * (longest or 0) + errors + 1).bit_length()
+    if rows > ids or id_bits + place_bits > 60:
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array(p[0], pa.int64())], ["id"]) for p in _found(batches, k, w, clean))
+        n = seqs.mapInArrow(sizes, "id long").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        return candidates(self_hits(seqs, k, w, "id", "seq", first, second, clean), n, errors, least)
+    index = _Index(mounted_folder(spark, "seeds"), k, low or 0, id_bits, place_bits)
+    os.makedirs(index.folder, exist_ok=True)
+    shares = F.shiftright("part", (PARTS // FILES - 1).bit_length())
+    dealt = _packed(seqs, k, w, second, clean).repartition(tasks, shares).sortWithinPartitions("part")
+    dealt.mapInArrow(lambda batches: index.write(batches, second), "file int").count()
+    names = ["id", "same", "rid", "at", "count"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+
+    def run(batches):
+        def some(pieces):
+            for out in _clusters(index, tuple(np.concatenate(x) for x in zip(*pieces, strict=True)), errors, least, first, second, hits):
+                for at in range(0, len(out[0]), kernels.PIECE // 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + kernels.PIECE // 16], t) for x, t in zip(out, types, strict=True)], names)
+
+        pieces, n = [], 0
+        for piece in _found(batches, k, w, clean):
+            if not len(piece[0]):
+                continue
+            if n >= look and piece[0][0] != pieces[-1][0][-1]:
+                yield from some(pieces)
+                pieces, n = [], 0
+            pieces.append(piece)
+            n += len(piece[0])
+        if n:
+            yield from some(pieces)
+
+    return seqs.mapInArrow(run, "id long, same int, rid long, at long, count int")
+
+
 def in_order(cands: DataFrame) -> DataFrame:
     """Adds nth to candidates (id, same, rid, at, count) of each read: most support first, then by place."""
     w = Window.partitionBy("id").orderBy(F.desc("count"), "rid", "at", "same")

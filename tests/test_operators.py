@@ -562,3 +562,41 @@ def test_numbers_come_back_from_their_planes(most):
     assert planes.shape[1] == max(1, (most.bit_length() + 7) // 8)
     packs = [planes.T.tobytes(), b"", kernels.planes(x[:1]).T.tobytes(), planes[:2].T.tobytes()]
     assert kernels.from_planes(packs, [4, 0, 1, 2]).tolist() == [*x.tolist(), 0, 0, most]
+
+
+def _slow_candidates(df, **limits):
+    m = mapping.minimizers(df, id_col="doc_id")
+    hits = mapping.two_rounds(m, mapping.build_index(df.withColumnRenamed("doc_id", "rid")), 17, **limits)
+    return sorted(map(tuple, mapping.candidates(hits, m.groupBy("id").agg(F.count("*").alias("n"))).collect()))
+
+
+def test_clusters_of_sequences_in_themselves_are_those_of_their_hits(spark):
+    r = random.Random(5)
+    common = ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(4)]
+    long = "".join(r.choice("ACGT") for _ in range(3 * kernels.BATCH // 2))
+    seqs = ["".join(r.choice([*common, "N", "ACGTACGTT", "".join(r.choice("ACGTn") for _ in range(30))]) for _ in range(r.randint(0, 6))) for _ in range(60)]
+    texts = [*seqs, None, "", "ACG", *common, *common[:2] * 4, kernels.revcomp(common[3]), long, long[50:90], long[::-1], "ACGTTGCA" * 40, "A" * 90]
+    near = [(i * 7 - 100, s) for i, s in enumerate(texts)]
+    far = [(i * 10**17 - 3 * 10**18, s) for i, s in enumerate(texts[:40])]
+    for rows in (near, far, near + near[:3]):
+        df = spark.createDataFrame(rows, "doc_id long, seq string").repartition(3).cache()
+        for n, (first, second) in enumerate(((500, 1000), (40, 60), (10, 45), (2, 30), (1, 1000))[: 5 if rows is near else 1]):
+            got = mapping.self_candidates(df, id_col="doc_id", first=first, second=second, **({"look": 50, "hits": 100} if n % 2 else {}))
+            assert sorted(map(tuple, got.collect())) == _slow_candidates(df, first=first, second=second) and got.count() > 10
+    assert mapping.self_candidates(df.where("false"), id_col="doc_id").count() == 0
+    got = catalogue.queries()["candidate_clusters"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == _slow_candidates(table(spark, SF, "sequences"), first=500, second=1000)
+
+
+def test_hits_of_candidate_clusters_are_not_dealt_out(spark):
+    """What is shuffled stays below four times the compressed texts, as the seeds alone are."""
+    sf = "/root/testdata/sf0.01"
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    catalogue.queries()["candidate_clusters"](spark, sf).write.format("noop").mode("overwrite").save()
+    assert 0 < written() - before < 4 * os.path.getsize(f"{sf}/documents.parquet")
