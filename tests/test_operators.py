@@ -600,3 +600,17 @@ def test_hits_of_candidate_clusters_are_not_dealt_out(spark):
     before = written()
     catalogue.queries()["candidate_clusters"](spark, sf).write.format("noop").mode("overwrite").save()
     assert 0 < written() - before < 4 * os.path.getsize(f"{sf}/documents.parquet")
+
+
+def test_blocks_of_stacks_are_dealt_out_once(spark):
+    """What is shuffled is some 70 bytes for each of 12,000 rows a side; blocks dealt out once for each meeting took 360."""
+    rows = spark.range(12_000).select(F.lit("c").alias("chrom"), (F.col("id") % 200 * 10).alias("start"), (F.col("id") % 200 * 10 + 100).alias("stop"), F.xxhash64("id").alias("read_id"))
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    intervals.overlap_pairs(rows, rows.withColumnRenamed("read_id", "peak_id")).write.format("noop").mode("overwrite").save()
+    assert 0 < written() - before < 130 * 12_000
